@@ -2,18 +2,49 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from sievemark.llm.mixing import mix
 from sievemark.llm.ngram_join import ngram_components
-from sievemark.session import table
+from sievemark.llm.packing import pack
+from sievemark.llm.piece_ids import public_path
+from sievemark.llm.token_shards import read_shards, write_shards
+from sievemark.llm.topk_search import top_k
+from sievemark.session import shared_dir, table
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op3_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/token-shards-{uuid.uuid4().hex}"
+    write_shards(table(spark, sf_dir, "documents"), path, public_path("word_bpe_49k.json"), end_id=2)
+    return read_shards(spark, path)
+
+
+def op9_uniform_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
+def op10_bin_completion_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op3_weighted_fair_mix": op3_weighted_fair_mix,
+    "op6_token_shards": op6_token_shards,
+    "op9_uniform_threshold_topk": op9_uniform_threshold_topk,
+    "op10_bin_completion_packing": op10_bin_completion_packing,
 }
