@@ -9,23 +9,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
+from sievemark.llm.chat import digest, format_conversations
 from sievemark.llm.mixing import mix
 from sievemark.llm.ngram_join import ngram_components
 from sievemark.llm.packing import pack
 from sievemark.llm.piece_ids import public_path
+from sievemark.llm.tiff import digest_media, encode_texts
 from sievemark.llm.token_shards import read_shards, write_shards
 from sievemark.llm.topk_search import top_k
-from sievemark.session import shared_dir, table
+from sievemark.session import materialize, shared_dir, table
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op2_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    return digest(materialize(format_conversations(turns.unionByName(extra)), "chat-examples"))
+
+
 def op3_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op4_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_media(encode_texts(table(spark, sf_dir, "documents")))
+
+
 def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/token-shards-{uuid.uuid4().hex}"
     write_shards(table(spark, sf_dir, "documents"), path, public_path("word_bpe_49k.json"), end_id=2)
@@ -43,7 +56,9 @@ def op10_bin_completion_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_prefix_target_chat": op2_prefix_target_chat,
     "op3_weighted_fair_mix": op3_weighted_fair_mix,
+    "op4_tiff_media": op4_tiff_media,
     "op6_token_shards": op6_token_shards,
     "op9_uniform_threshold_topk": op9_uniform_threshold_topk,
     "op10_bin_completion_packing": op10_bin_completion_packing,
