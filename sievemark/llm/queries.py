@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemark.llm.chat import digest, format_conversations
+from sievemark.llm import language_id, toxicity
 from sievemark.llm.mixing import mix
 from sievemark.llm.ngram_join import ngram_components
 from sievemark.llm.packing import pack
@@ -39,12 +40,24 @@ def op4_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_media(encode_texts(table(spark, sf_dir, "documents")))
 
 
+def op5_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(toxicity.crc_mod("doc_id", 3) != 1))
+    return toxicity.score(docs, model).select("doc_id", (toxicity.crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/token-shards-{uuid.uuid4().hex}"
     write_shards(table(spark, sf_dir, "documents"), path, public_path("word_bpe_49k.json"), end_id=2)
     return read_shards(spark, path)
 
 
+def op8_marginal_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(toxicity.crc_mod("doc_id", 4) != 2), public_path("piece_bpe_32k.model"))
+    return language_id.identify(docs, model).select("doc_id", (toxicity.crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op9_uniform_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
@@ -59,7 +72,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_prefix_target_chat": op2_prefix_target_chat,
     "op3_weighted_fair_mix": op3_weighted_fair_mix,
     "op4_tiff_media": op4_tiff_media,
+    "op5_counterfactual_toxicity": op5_counterfactual_toxicity,
     "op6_token_shards": op6_token_shards,
+    "op8_marginal_language_id": op8_marginal_language_id,
     "op9_uniform_threshold_topk": op9_uniform_threshold_topk,
     "op10_bin_completion_packing": op10_bin_completion_packing,
 }
