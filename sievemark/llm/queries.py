@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemark.llm.chat import digest, format_conversations
-from sievemark.llm import language_id, toxicity
+from sievemark.llm import language_id, pii_crf, toxicity
 from sievemark.llm.mixing import mix
 from sievemark.llm.ngram_join import ngram_components
 from sievemark.llm.packing import pack
@@ -52,6 +52,13 @@ def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(spark, path)
 
 
+def op7_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii_crf.find_pii(docs, pii_crf.fit(docs))
+    count = lambda kind: F.regexp_count("base", F.lit(f"{kind}:")).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *(count(k) for k in pii_crf.KINDS), F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op8_marginal_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs.where(toxicity.crc_mod("doc_id", 4) != 2), public_path("piece_bpe_32k.model"))
@@ -74,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_tiff_media": op4_tiff_media,
     "op5_counterfactual_toxicity": op5_counterfactual_toxicity,
     "op6_token_shards": op6_token_shards,
+    "op7_skip_chain_pii": op7_skip_chain_pii,
     "op8_marginal_language_id": op8_marginal_language_id,
     "op9_uniform_threshold_topk": op9_uniform_threshold_topk,
     "op10_bin_completion_packing": op10_bin_completion_packing,
