@@ -1,15 +1,68 @@
-"""The corpus pipeline: each stage works on what the one before it kept."""
+"""The corpus pipeline: five operators in a row, each on all that the one before it kept.
+
+Toxic documents go; one document of each near-duplicate group stays; personal data is
+replaced by its kind; sources are mixed to their targets; the mix is packed.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sievemark.llm import pii_crf, toxicity
+from sievemark.llm.mixing import mix
+from sievemark.llm.ngram_join import ngram_components
+from sievemark.llm.packing import pack
+from sievemark.llm.piece_ids import public_path
+from sievemark.session import materialize, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones, does not reject."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.keep_clean(docs, model)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of linked documents, the one with the smallest doc_id.
+
+    Rows that repeat the kept id stay; rows without an id stay, as no group can name them.
+    """
+    kept = ngram_components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    clean = pii_crf.redact(docs, pii_crf.fit(docs))
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix begins it; rows without words, or not reached, are not taken."""
+    copies = materialize(mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies")), "mix-copies")
+    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["doc_id"])).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+    return taken.select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs, public_path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", keep_one_of_each_group),
+    ("pii", redact_personal_data),
+    ("mix", mix_sources),
+    ("pack", pack_sequences),
+]
 
-STAGES: list = []
+#: SQL can express neither the fitted models nor the tokens.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over the documents, each written and read again before the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -183,3 +183,17 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     scored = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int")).withColumnRenamed("id", id_col)
+
+
+def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """``docs`` without the rows whose text scores ``threshold`` or more; all columns stay."""
+    weights, bias = model.weights, model.bias
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = ToxicityModel(weights, bias)
+        for batch in batches:
+            for lo, hi in slices(batch, text_col):
+                part = cut(batch, lo, hi)
+                yield part.filter(pa.array([own.score(t or "") < threshold for t in part.column(text_col).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
