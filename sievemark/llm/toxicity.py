@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from sievemark.llm.arrow_text import cut, slices
 from sievemark.session import materialize
 
-#: Labelled texts of either class from which the model is fitted, at most; the choice is by a hash of the id.
+#: Labelled texts of either class (which weigh alike) from which the model is fitted, at most; the choice is by a hash of the id.
 FIT_TOXIC, FIT_NEUTRAL = 3_000, 9_000
 #: Features kept for fitting, at most: those whose counts differ most between the classes.
 FIT_FEATURES = 1 << 15
@@ -52,9 +52,24 @@ def words_of(text: str) -> set[str]:
     return found
 
 
+#: Lengths of beginnings that are features of their own.
+BEGINNINGS = (4, 5, 6, 7)
+
+
 def features_of(words: set[str]) -> set[str]:
-    """Features of distinct words: the words, and their first four letters where there are more."""
-    return {"w" + w for w in words} | {"p" + w[:4] for w in words if len(w) > 4}
+    """Features of distinct words: the words, their beginnings, and beginnings that two or more of them share."""
+    found = {"w" + w for w in words}
+    for n in BEGINNINGS:
+        starts = [w[:n] for w in words if len(w) > n]
+        once = set(starts)
+        found.update(f"p{x}" for x in once)
+        if len(starts) > len(once):
+            seen: set[str] = set()
+            for x in starts:
+                if x in seen:
+                    found.add(f"2{x}")
+                seen.add(x)
+    return found
 
 
 @dataclass
@@ -62,17 +77,24 @@ class ToxicityModel:
     weights: dict[str, float] = field(default_factory=dict)
     bias: float = -20.0
 
+    def __post_init__(self) -> None:
+        self.words = {f[1:] for f in self.weights if f[0] == "w"}
+        self.heads = {f[1:5] for f in self.weights if f[0] != "w"}
+
     def score(self, text: str) -> float:
-        weights = self.weights
         total = self.bias
         words = words_of(text)
-        if weights:
-            total += sum(weights[f] for f in features_of(words) if f in weights)
+        near = {w for w in words if w[:4] in self.heads} | (words & self.words)  # no other word has a weight
+        if near:
+            total += sum(self.weights[f] for f in sorted(features_of(near) & self.weights.keys()))
         return float(1 / (1 + np.exp(-np.clip(total, -30, 30))))
 
 
 def _minimise(rows: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[np.ndarray, np.ndarray]], size: int, l1: float, penalty: float, steps: int) -> tuple[np.ndarray, float]:
-    """Proximal gradient with momentum: logistic loss, the swaps' squared change of score, and an L1 norm."""
+    """Proximal gradient with momentum: logistic loss, the swaps' squared change of score, and an L1 norm.
+
+    Weights are not negative: what marks a text as toxic is what it holds, and no other word makes up for it.
+    """
     flat = np.concatenate([np.zeros(0, np.int64), *rows])
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     weight = np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum()))
@@ -92,7 +114,7 @@ def _minimise(rows: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[np.n
             change = np.bincount(into[1], y[into[0]], len(swaps)) - np.bincount(out[1], y[out[0]], len(swaps))
             gradient += 2 * penalty / len(swaps) * (np.bincount(into[0], change[into[1]], size) - np.bincount(out[0], change[out[1]], size))
         step = y - rate * gradient
-        new = np.sign(step) * np.maximum(np.abs(step) - rate * l1, 0)
+        new = np.maximum(step - rate * l1, 0)
         new_bias = by - 0.5 * error.sum()
         t, last = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
         if float(((y - new) * (new - w) / rate).sum()) > 0:  # momentum points uphill
@@ -103,7 +125,7 @@ def _minimise(rows: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[np.n
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
-    """Fit the model from at most ``FIT_TOXIC`` and ``FIT_NEUTRAL`` labelled texts; all labels set the bias.
+    """Fit the model from at most ``FIT_TOXIC`` and ``FIT_NEUTRAL`` labelled texts, as classes of equal weight.
 
     A document with several labels counts as toxic if any says so; null labels, and
     documents without text, teach nothing. Without both classes the model scores near 0.
@@ -155,7 +177,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             uses = sum(1 for row in x if place["w" + t] in row)
             swaps += [(np.array(sorted(feats[t] - feats[o]), np.int64), np.array(sorted(feats[o] - feats[t]), np.int64)) for o in kind if o != t] * min(uses, 20)
     w, bias = _minimise(x, y, swaps, len(names), L1, SWAP_PENALTY, STEPS)
-    bias += float(np.log(counts[1] / counts[0]))  # the classes weigh alike in the fit, not among all labels
     return ToxicityModel({f: float(v) for f, v in zip(names, w, strict=True) if abs(v) > 1e-6}, bias)
 
 
