@@ -20,11 +20,24 @@ CLASS_BY_EXTENSION = {"pdf": "pdf_digital", "docx": "docx", "xlsx": "xlsx", "csv
 
 def inventory(spark: SparkSession, directory: str) -> DataFrame:
     """All files below ``directory`` but hidden ones: path, name, extension, size, sha256, content, declared and sniffed type."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory).select("path", "content")
+    files = files.unionByName(_empty_files(spark, directory))
     name = F.element_at(F.split("path", "/"), -1)
     return describe(files.withColumn("name", name).where(~F.col("name").startswith(".")).select("path", "name", "content"))
 
 
+def _empty_files(spark: SparkSession, directory: str) -> DataFrame:
+    """Files without content, which the reader leaves out; the driver lists them as it lists the others."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    found = []
+    while listed.hasNext():
+        status = listed.next()
+        if status.getLen() == 0:
+            found.append((status.getPath().toString(), bytearray()))
+    return spark.createDataFrame(found, "path string, content binary")
+
+
 def describe(files: DataFrame) -> DataFrame:
     """Hash, size, extension and types of rows ``path, name, content``."""
     declared = F.create_map(*[F.lit(x) for pair in MIME_BY_EXTENSION.items() for x in pair])
