@@ -68,10 +68,10 @@ def vocabulary(path: str) -> Vocabulary:
     pieces = sorted(p for p in {p.lower() for p in pieces} | {"▁"} if len(p) <= LONGEST)
     hashes = np.zeros(len(pieces), _U)
     for k, piece in enumerate(pieces):
-        h = _U(0)
-        for c in _char_hashes(np.array([ord(x) for x in piece])):
-            h = np.multiply(h, _BASE) + c
-        hashes[k] = h ^ _U(len(piece))
+        h = 0
+        for c in _char_hashes(np.array([ord(x) for x in piece])).tolist():
+            h = (h * int(_BASE) + c) & (2**64 - 1)
+        hashes[k] = h ^ len(piece)
     order = np.argsort(hashes, kind="stable")
     return Vocabulary(hashes[order], order, len(pieces))
 

@@ -100,27 +100,41 @@ def _minimise(rows: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[np.n
     weight = np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum()))
     out = np.concatenate([np.zeros(0, np.int64), *(a for a, _ in swaps)]), np.repeat(np.arange(len(swaps)), [len(a) for a, _ in swaps])
     into = np.concatenate([np.zeros(0, np.int64), *(b for _, b in swaps)]), np.repeat(np.arange(len(swaps)), [len(b) for _, b in swaps])
+    width = np.array([len(a) + len(b) for a, b in swaps], float)
+    share = 2 * penalty / max(1, len(swaps))
+
+    def value(v: np.ndarray, c: float) -> tuple[float, np.ndarray, np.ndarray]:
+        """The objective, and what its gradient needs: probabilities and the swaps' changes."""
+        z = np.bincount(owner, v[flat], len(rows)) + c
+        change = np.bincount(into[1], v[into[0]], len(swaps)) - np.bincount(out[1], v[out[0]], len(swaps)) if swaps else np.zeros(0)
+        loss = float((weight * (np.logaddexp(0, z) - labels * z)).sum() + share / 2 * (change**2).sum() + l1 * v.sum())
+        return loss, 1 / (1 + np.exp(-np.clip(z, -50, 50))), change
+
     w = y = np.zeros(size)
     bias = by = 0.0
     t = 1.0
-    # Features of unlike frequency are scaled alike: the curvature in each is bounded by its weighted count.
+    # Features of unlike frequency are scaled alike, by a bound on the curvature in each; steps that do not gain are halved.
     density = np.bincount(flat, weight[owner], size) * 0.25
-    rate = 1.0 / (np.maximum(density, 1e-4) * 12 + penalty * 4 / max(1, len(swaps)) * (np.bincount(out[0], minlength=size) + np.bincount(into[0], minlength=size)))
+    swapped = share * (np.bincount(out[0], width[out[1]], size) + np.bincount(into[0], width[into[1]], size)) if swaps else 0.0
+    rate = 1.0 / (np.maximum(density, 1e-4) * 12 + swapped)
+    best = value(w, bias)[0]
     for _ in range(steps):
-        z = np.clip(np.bincount(owner, y[flat], len(rows)) + by, -30, 30)
-        error = weight * (1 / (1 + np.exp(-z)) - labels)
+        _, p, change = value(y, by)
+        error = weight * (p - labels)
         gradient = np.bincount(flat, error[owner], size)
         if swaps:
-            change = np.bincount(into[1], y[into[0]], len(swaps)) - np.bincount(out[1], y[out[0]], len(swaps))
-            gradient += 2 * penalty / len(swaps) * (np.bincount(into[0], change[into[1]], size) - np.bincount(out[0], change[out[1]], size))
-        step = y - rate * gradient
-        new = np.maximum(step - rate * l1, 0)
+            gradient += share * (np.bincount(into[0], change[into[1]], size) - np.bincount(out[0], change[out[1]], size))
+        new = np.maximum(y - rate * gradient - rate * l1, 0)
         new_bias = by - 0.5 * error.sum()
+        found = value(new, new_bias)[0]
+        if found > best + 1e-12:
+            if t == 1.0:
+                rate = rate / 2
+            y, by, t = w, bias, 1.0
+            continue
         t, last = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
-        if float(((y - new) * (new - w) / rate).sum()) > 0:  # momentum points uphill
-            t, last = 1.0, 1.0
         y, by = new + (last - 1) / t * (new - w), new_bias + (last - 1) / t * (new_bias - bias)
-        w, bias = new, new_bias
+        w, bias, best = new, new_bias, found
     return w, float(bias)
 
 
@@ -163,8 +177,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = known.value
         for batch in batches:
-            found = [sorted(place[f] for f in features if f in place) for features in batch.column("features").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(found, pa.list_(pa.int32()))], ["id", "y", "features"])
+            for lo in range(0, len(batch), 64):
+                part = batch.slice(lo, 64)
+                found = [sorted(place[f] for f in features if f in place) for features in part.column("features").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), pa.array(found, pa.list_(pa.int32()))], ["id", "y", "features"])
 
     held = rows.mapInArrow(index, "id string, y int, features array<int>").orderBy("id", "y").toArrow()  # the bounded sample
     x = [np.array(f, np.int64) for f in held.column("features").to_pylist()]
