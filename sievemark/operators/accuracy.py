@@ -106,3 +106,38 @@ def category_table(results: DataFrame) -> DataFrame:
     n = lambda o: F.count_if(F.col("outcome") == o)
     t = results.groupBy("category").agg(n("tp").alias("tp"), n("fp").alias("fp"), n("fn").alias("fn"), n("tn").alias("tn"))
     return t.withColumns({"precision": F.round(F.try_divide("tp", F.col("tp") + F.col("fp")), 4), "recall": F.round(F.try_divide("tp", F.col("tp") + F.col("fn")), 4)})
+
+
+def mention_truth(mentions: DataFrame, plantings: DataFrame) -> DataFrame:
+    """The planted person whose values a mention shares most in its document; the first planted on ties, null without any.
+
+    ``mentions (mention_id, doc, id_type, value)``, ``plantings (uid, doc, id_type, value, place)``.
+    """
+    shared = mentions.join(plantings, ["doc", "id_type", "value"]).groupBy("mention_id", "uid").agg(F.count_distinct("id_type", "value").alias("n"), F.min("place").alias("place"))
+    best = F.row_number().over(Window.partitionBy("mention_id").orderBy(F.desc("n"), F.asc("place"), F.asc("uid")))
+    won = shared.withColumn("_r", best).where("_r = 1").select("mention_id", "uid")
+    return mentions.select("mention_id").distinct().join(won, "mention_id", "left")
+
+
+def trap_scorecard(evidence: DataFrame, traps: DataFrame) -> DataFrame:
+    """Flags that rest on a planted trap value, by category: ``evidence (flag_id, doc, value, category)``, ``traps (doc, value)``."""
+    leaked = evidence.join(traps.distinct(), ["doc", "value"], "left_semi")
+    return leaked.groupBy("category").agg(F.count_distinct("flag_id").alias("flags"), F.count(F.lit(1)).alias("rows"))
+
+
+def calibration(scored: DataFrame, truth: DataFrame, autos: tuple[float, ...] = (0.75, 0.80, 0.85, 0.90)) -> DataFrame:
+    """Pair precision, recall and F1 of linking at each threshold: ``scored (left_id, right_id, score, hard_reason)``, ``truth (mention_id, uid)``.
+
+    Recall counts the true pairs from group sizes, so no pair outside the candidates is formed.
+    """
+    spark = scored.sparkSession
+    of = lambda s: truth.withColumnsRenamed({"mention_id": f"{s}_id", "uid": f"{s}_uid"})
+    pairs = scored.join(of("left"), "left_id").join(of("right"), "right_id").withColumn("same", F.col("left_uid") == F.col("right_uid"))
+    real = truth.where("uid is not null").groupBy("uid").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias("real"))
+    levels = F.broadcast(spark.createDataFrame([(a,) for a in autos], "auto double"))  # the thresholds
+    out = pairs.crossJoin(levels).groupBy("auto").agg(
+        F.count_if((F.col("score") >= F.col("auto")) & F.col("hard_reason").isNull()).alias("linked"),
+        F.count_if((F.col("score") >= F.col("auto")) & F.col("hard_reason").isNull() & F.col("same")).alias("right"),
+    ).crossJoin(F.broadcast(real))
+    out = out.withColumns({"precision": F.round(F.when(F.col("linked") > 0, F.col("right") / F.col("linked")).otherwise(1.0), 4), "recall": F.round(F.when(F.col("real") > 0, F.col("right") / F.col("real")).otherwise(1.0), 4)})
+    return out.withColumn("f1", F.round(F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0), 4))

@@ -95,3 +95,42 @@ def vote_columns(votes: DataFrame, column: str, kind: str, rows: str = "n_rows")
 def escalate(chunks: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Whether a chunk goes to the second tier: invalid after repair, least confidence under the threshold, or a valid hit missed."""
     return chunks.withColumn("escalate", F.coalesce(~F.col("valid"), F.lit(True)) | (F.coalesce("confidence", F.lit(0.0)) < threshold) | (F.coalesce("missed_hits", F.lit(0)) > 0))
+
+
+def sheet_mentions(rows: DataFrame, header_types: list[str | None], separator: str = " | ") -> tuple[DataFrame, DataFrame]:
+    """Mentions and elements that mapped columns give, without a model: one mention per row with a name.
+
+    ``rows`` is the outcome of ``sheet_rows`` for sheets with these header types. Returns
+    ``(passage_id, row_number, name_raw, dob_raw)`` and ``(passage_id, row_number,
+    element_type, value_raw, char_start, char_end)``; an empty cell gives nothing, nor does
+    one whose characters are not the passage's at its span.
+    """
+    cell = lambda k: F.trim(F.coalesce(F.try_element_at("cells", F.lit(k)), F.lit("")))
+    place = {t: k for k, t in reversed(list(enumerate(header_types, 1))) if t}
+    mentions = rows.withColumns({"name_raw": cell(place["name"]) if "name" in place else F.lit(""), "dob_raw": cell(place["dob"]) if "dob" in place else F.lit(None).cast("string")})
+    mentions = mentions.where("name_raw <> ''")
+    kinds = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(t).alias("t")) for k, t in enumerate(header_types, 1) if t])
+    each = mentions.withColumn("_c", F.explode(kinds)) if place else mentions.withColumn("_c", F.explode(F.array().cast("array<struct<k:int,t:string>>")))
+    span = cell_span(F.col("cells"), F.col("_c.k"), F.col("line_start"), separator)
+    each = each.withColumns({"value_raw": F.try_element_at("cells", F.col("_c.k")), "_s": span})
+    same = F.substring("text", F.col("_s.start") + 1, F.col("_s.end") - F.col("_s.start")) == F.col("value_raw")
+    elements = each.where(same & (F.trim("value_raw") != "")).select("passage_id", "row_number", F.col("_c.t").alias("element_type"), "value_raw", F.col("_s.start").alias("char_start"), F.col("_s.end").alias("char_end"))
+    return mentions.select("passage_id", "row_number", "name_raw", "dob_raw"), elements
+
+
+def tier_outcome(chunks: DataFrame) -> DataFrame:
+    """Which tier's output stands: the second where it was asked for and is valid, else a valid first with a review, else a review alone."""
+    second, first = F.coalesce("tier2_valid", F.lit(False)), F.coalesce("tier1_valid", F.lit(False))
+    return chunks.withColumns({
+        "outcome": F.when(~F.col("escalate") & first, "llm_tier1").when(second, "llm_tier2").when(first, "llm_tier1"),
+        "review": F.when(~F.col("escalate") & first, False).otherwise(~second),
+    })
+
+
+def tier0_agreement(found: DataFrame, hits: DataFrame) -> DataFrame:
+    """Whether detection agrees with each reported value: null without a hit, false if any hit is trapped.
+
+    ``found (passage_id, element_type, value)``, ``hits (passage_id, element_type, value, trap_reason)``.
+    """
+    seen = hits.groupBy("passage_id", "element_type", "value").agg(F.bool_and(F.col("trap_reason").isNull()).alias("agreement"))
+    return found.join(seen, ["passage_id", "element_type", "value"], "left")

@@ -185,4 +185,51 @@ cats AS (SELECT unnest(['ssn', 'dob', 'drivers_license', 'passport', 'financial_
 g AS (SELECT c_custkey AS uid, category, EXISTS (SELECT 1 FROM flags f WHERE f.person_id = c_custkey AND f.category = cats.category AND evidence_count >= 2) AS e, EXISTS (SELECT 1 FROM flags f WHERE f.person_id = c_custkey AND f.category = cats.category AND confidence >= 0.5) AS p FROM customer, cats WHERE c_custkey <= 400),
 t AS (SELECT category, count(*) FILTER (WHERE e AND p) AS tp, count(*) FILTER (WHERE p AND NOT e) AS fp, count(*) FILTER (WHERE e AND NOT p) AS fn, count(*) FILTER (WHERE NOT e AND NOT p) AS tn FROM g GROUP BY category)
 SELECT *, CASE WHEN tp + fp > 0 THEN round(tp / CAST(tp + fp AS DOUBLE), 4) END AS precision, CASE WHEN tp + fn > 0 THEN round(tp / CAST(tp + fn AS DOUBLE), 4) END AS recall FROM t""",
+    "merged_ledger": """
+WITH l AS (SELECT c_custkey % 300 AS p FROM customer), x AS (
+  SELECT p AS person_id, 'rule' AS method, p % 10 NOT IN (1, 2) AS active FROM l UNION ALL SELECT p - p % 10, 'reviewer', true FROM l WHERE p % 10 IN (1, 2))
+SELECT person_id, method, active, count(*) AS n FROM x GROUP BY ALL
+""",
+    "split_ledger": """
+WITH x AS (SELECT c_custkey % 300 AS person_id, 'rule' AS method, c_custkey % 50 <> 0 AS active FROM customer UNION ALL SELECT -c_custkey - 1, 'reviewer', true FROM customer WHERE c_custkey % 50 = 0)
+SELECT person_id, method, active, count(*) AS n FROM x GROUP BY ALL
+""",
+    "merge_approvals": """
+WITH h AS (SELECT c_custkey % 300 AS p, count(*) AS n FROM customer GROUP BY p), m AS (SELECT i AS absorbed, i - 1 AS survivor FROM range(300) t(i) WHERE i % 10 IN (1, 2))
+SELECT absorbed, survivor, coalesce(a.n, 0) AS n_absorbed, coalesce(b.n, 0) AS n_survivor FROM m LEFT JOIN h a ON a.p = absorbed LEFT JOIN h b ON b.p = survivor WHERE coalesce(a.n, 0) + coalesce(b.n, 0) > 9
+""",
+    "person_counts": """
+SELECT CASE WHEN c_custkey % 10 IN (1, 2) THEN c_custkey % 300 - c_custkey % 10 ELSE c_custkey % 300 END AS person_id, count(*) AS mention_count, count(DISTINCT c_nationkey) AS document_count FROM customer GROUP BY 1
+""",
+    "superseded_items": """
+WITH i AS (SELECT o_orderkey, o_custkey AS l, (o_custkey + 300 * (o_orderkey % 2) + o_orderkey % 3) % (SELECT count(*) FROM customer) AS r FROM orders WHERE o_orderkey <= 20000),
+c AS (SELECT DISTINCT least(l, r) AS lo, greatest(l, r) AS hi FROM i WHERE o_orderkey % 5 = 0),
+s AS (SELECT CASE WHEN coalesce(a.c_custkey % 300 = b.c_custkey % 300, false) OR EXISTS (SELECT 1 FROM c WHERE lo = least(l, r) AND hi = greatest(l, r)) THEN 'dismissed' ELSE 'open' END AS status FROM i LEFT JOIN customer a ON a.c_custkey = l LEFT JOIN customer b ON b.c_custkey = r)
+SELECT status, count(*) AS n FROM s GROUP BY status
+""",
+    "element_decisions": """
+WITH e AS (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_linenumber = 1), v AS (SELECT user_id AS id, max(event_id) % 3 AS k FROM events GROUP BY user_id)
+SELECT CASE WHEN k = 0 THEN 'valid' ELSE 'format_only' END AS validation_status, CASE WHEN k = 0 THEN 'reviewer' ELSE 'regex' END AS detector, CASE WHEN k = 1 THEN 'p1' END AS person_id, CASE WHEN k = 2 THEN 'reviewer_dismissed' END AS trap_reason, count(*) AS n
+FROM e LEFT JOIN v USING (id) GROUP BY ALL
+""",
+    "quote_checks": "SELECT doc_id % 2 = 0 AS verified, count(*) AS n FROM documents GROUP BY 1",
+    "run_counter_row": f"""WITH {_DOCUMENTS}
+SELECT (SELECT count(*) FROM docs) AS documents, (SELECT count(*) FROM docs WHERE status = 'done') AS documents_done, (SELECT count(*) FROM docs WHERE status = 'quarantined') AS documents_quarantined, (SELECT count(*) FROM docs WHERE status = 'failed') AS documents_failed,
+  count(*) AS elements, count(*) FILTER (WHERE l_tax > 0.06) AS elements_trapped, count(*) FILTER (WHERE l_quantity > 25) AS elements_valid FROM lineitem""",
+    "mention_ground_truth": """
+WITH m AS (SELECT DISTINCT l_orderkey AS mention_id, l_orderkey % 50 AS doc, l_partkey % 40 AS v FROM lineitem), p AS (SELECT p_partkey % 120 AS uid, p_partkey % 50 AS doc, p_partkey % 40 AS v, p_partkey AS place FROM part),
+s AS (SELECT mention_id, uid, count(DISTINCT v) AS n, min(place) AS place FROM m JOIN p USING (doc, v) GROUP BY mention_id, uid), b AS (SELECT mention_id, uid FROM s QUALIFY row_number() OVER (PARTITION BY mention_id ORDER BY n DESC, place, uid) = 1)
+SELECT mention_id, coalesce(uid, -1) AS uid FROM (SELECT DISTINCT mention_id FROM m) LEFT JOIN b USING (mention_id)
+""",
+    "trap_leaks": """
+SELECT l_returnflag AS category, count(DISTINCT l_orderkey) AS flags, count(*) AS rows FROM lineitem WHERE EXISTS (SELECT 1 FROM part WHERE p_partkey % 20 < 5 AND p_partkey % 20 = l_suppkey % 20 AND p_size % 100 = l_partkey % 100) GROUP BY l_returnflag
+""",
+    "threshold_calibration": """
+WITH s AS (SELECT o_custkey AS l, (o_custkey + o_orderkey % 7 * 40) % (SELECT count(*) FROM customer) AS r, round(o_totalprice / 500000, 2) AS score, o_orderkey % 9 = 0 AS hard FROM orders),
+p AS (SELECT score, hard, a.c_custkey % 40 = b.c_custkey % 40 AS same FROM s JOIN customer a ON a.c_custkey = l JOIN customer b ON b.c_custkey = r WHERE l < r),
+real AS (SELECT CAST(sum(n * (n - 1) // 2) AS BIGINT) AS real FROM (SELECT count(*) AS n FROM customer GROUP BY c_custkey % 40)),
+g AS (SELECT auto, count(*) FILTER (WHERE score >= auto AND NOT hard) AS linked, count(*) FILTER (WHERE score >= auto AND NOT hard AND same) AS "right" FROM p, (SELECT unnest([0.25, 0.5, 0.75]::DOUBLE[]) AS auto) GROUP BY auto),
+x AS (SELECT g.*, real, round(CASE WHEN linked > 0 THEN "right" / CAST(linked AS DOUBLE) ELSE 1 END, 4) AS precision, round("right" / CAST(real AS DOUBLE), 4) AS recall FROM g, real)
+SELECT *, round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 4) AS f1 FROM x
+""",
 }

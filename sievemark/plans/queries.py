@@ -12,7 +12,7 @@ from sievemark.functions.names import canonicals, deletion_keys, iso_date, norma
 from sievemark.functions.regex_spans import regex_spans
 from sievemark.functions.similarity import jaro_winkler
 from sievemark.functions.validate import luhn_valid, nanp_valid, ssn_valid
-from sievemark.operators import accuracy, exposure, extract, relational, resolve
+from sievemark.operators import accuracy, exposure, extract, relational, resolve, review
 from sievemark.operators.components import connected_components
 from sievemark.operators.detect import detect
 from sievemark.plans import star
@@ -386,3 +386,92 @@ def flag_category_table(s, d):
     expected = star.flags(s, d).where("evidence_count >= 2").select(F.col("person_id").alias("uid"), "category")
     images = c.select("uid", (F.col("uid") % 3 == 0).alias("all_images"))
     return accuracy.category_table(accuracy.flag_results(c, expected, f, images))
+
+
+def _ledger(s, d):
+    c = table(s, d, "customer")
+    return c.select((F.col("c_custkey") % 300).alias("person_id"), F.col("c_custkey").alias("mention_id"), F.lit("rule").alias("method"), F.lit(True).alias("active"))
+
+
+def _merges(s, d):
+    n = s.range(300).select(F.col("id").alias("absorbed"), (F.col("id") - 1).alias("survivor"))
+    return n.where("absorbed % 10 in (1, 2)")
+
+
+@query
+def merged_ledger(s, d):
+    """Persons 10k+2 and 10k+1 go into 10k by a chain of merges."""
+    return review.merge_persons(_ledger(s, d), _merges(s, d)).groupBy("person_id", "method", "active").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def split_ledger(s, d):
+    splits = table(s, d, "customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("mention_id"))
+    return review.split_mentions(_ledger(s, d), splits).groupBy("person_id", "method", "active").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def merge_approvals(s, d):
+    return review.needs_approval(_ledger(s, d), _merges(s, d), bound=9).select("absorbed", "survivor", "n_absorbed", "n_survivor")
+
+
+@query
+def person_counts(s, d):
+    mentions = table(s, d, "customer").select(F.col("c_custkey").alias("mention_id"), F.col("c_nationkey").alias("doc_id"))
+    return review.person_counters(review.merge_persons(_ledger(s, d), _merges(s, d)), mentions)
+
+
+@query
+def superseded_items(s, d):
+    o = table(s, d, "orders").where("o_orderkey <= 20000")
+    n = table(s, d, "customer").count()
+    items = o.select("o_orderkey", F.col("o_custkey").alias("left_id"), ((F.col("o_custkey") + 300 * (F.col("o_orderkey") % 2) + F.col("o_orderkey") % 3) % n).alias("right_id"), F.lit("open").alias("status"))
+    scored = items.where("o_orderkey % 5 = 0").select(F.col("right_id").alias("left_id"), F.col("left_id").alias("right_id"), F.lit("hard_conflict").alias("hard_reason"))
+    return review.close_superseded(items, _ledger(s, d), scored).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def element_decisions(s, d):
+    li = table(s, d, "lineitem").where("l_linenumber = 1")
+    elements = li.select(F.col("l_orderkey").alias("element_id"), F.col("l_returnflag").alias("value_normalized"), F.lit("format_only").alias("validation_status"), F.lit("regex").alias("detector"), F.lit(None).cast("string").alias("person_id"), F.lit(None).cast("string").alias("trap_reason")).dropDuplicates(["element_id"])
+    e = table(s, d, "events")
+    verbs = F.element_at(F.array(*map(F.lit, ("correct", "attach", "dismiss"))), (F.col("event_id") % 3 + 1).cast("int"))
+    log = e.select(F.col("user_id").alias("element_id"), verbs.alias("verb"), F.lit("fixed").alias("value"), F.lit("p1").alias("person_id"), F.col("event_id").alias("seq"))
+    return review.decide_elements(elements, log).groupBy("validation_status", "detector", "person_id", "trap_reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def quote_checks(s, d):
+    docs = table(s, d, "documents")
+    quotes = docs.select((F.col("doc_id")).alias("flag_id"), F.when(F.col("doc_id") % 2 == 0, F.substring("text", 5, 12)).otherwise(F.lit("nowhere to be found")).alias("quote"))
+    evidence = docs.select(F.col("doc_id").alias("flag_id"), F.col("doc_id").alias("passage_id"))
+    return review.verified_quotes(quotes, evidence, docs.select(F.col("doc_id").alias("passage_id"), "text")).groupBy("verified").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def run_counter_row(s, d):
+    e = table(s, d, "lineitem").select(F.when(F.col("l_tax") > 0.06, "test_record").alias("trap_reason"), F.when(F.col("l_quantity") > 25, VALID).otherwise("format_only").alias("validation_status"))
+    return review.run_counters(star.documents(s, d), e)
+
+
+@query
+def mention_ground_truth(s, d):
+    li = table(s, d, "lineitem")
+    m = li.select(F.col("l_orderkey").alias("mention_id"), (F.col("l_orderkey") % 50).alias("doc"), F.lit("ssn").alias("id_type"), (F.col("l_partkey") % 40).alias("value"))
+    p = table(s, d, "part").select((F.col("p_partkey") % 120).alias("uid"), (F.col("p_partkey") % 50).alias("doc"), F.lit("ssn").alias("id_type"), (F.col("p_partkey") % 40).alias("value"), F.col("p_partkey").alias("place"))
+    return accuracy.mention_truth(m, p).select("mention_id", F.coalesce("uid", F.lit(-1)).alias("uid"))
+
+
+@query
+def trap_leaks(s, d):
+    e = table(s, d, "lineitem").select(F.col("l_orderkey").alias("flag_id"), (F.col("l_suppkey") % 20).alias("doc"), (F.col("l_partkey") % 100).alias("value"), F.col("l_returnflag").alias("category"))
+    traps = table(s, d, "part").select((F.col("p_partkey") % 20).alias("doc"), (F.col("p_size") % 100).cast("long").alias("value")).where("doc < 5")
+    return accuracy.trap_scorecard(e, traps)
+
+
+@query
+def threshold_calibration(s, d):
+    o = table(s, d, "orders")
+    n = table(s, d, "customer").count()
+    scored = o.select(F.col("o_custkey").alias("left_id"), ((F.col("o_custkey") + F.col("o_orderkey") % 7 * 40) % n).alias("right_id"), F.round(F.col("o_totalprice") / 500000, 2).alias("score"), F.when(F.col("o_orderkey") % 9 == 0, "hard_conflict").alias("hard_reason")).where("left_id < right_id")
+    return accuracy.calibration(scored, table(s, d, "customer").select(F.col("c_custkey").alias("mention_id"), (F.col("c_custkey") % 40).alias("uid")), (0.25, 0.5, 0.75))
