@@ -50,14 +50,34 @@ def _header_case() -> str:
     return "CASE trim(regexp_replace(lower(header), '[^a-z0-9]+', ' ', 'g')) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in HEADERS.items()) + " END"
 
 
-ORACLES: dict[str, str] = {
-    "detect_values": r"""
-WITH padded AS (SELECT doc_id, regexp_replace(' ' || text || ' ', '([^0-9A-Za-z@._%+-])', '\1\1', 'g') AS t FROM documents),
+_FOUND = r"""
+padded AS (SELECT doc_id, regexp_replace(' ' || text || ' ', '([^0-9A-Za-z@._%+-])', '\1\1', 'g') AS t, regexp_replace(' ' || text || ' ', '([^0-9-])', '\1\1', 'g') AS u, text FROM documents),
 found AS (
   SELECT doc_id, 'email' AS element_type, unnest(regexp_extract_all(t, '[^A-Za-z0-9._%+@-]([A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})', 1)) AS value_raw FROM padded
-  UNION ALL SELECT doc_id, 'credit_card', unnest(regexp_extract_all(t, '[^0-9-]([0-9]{13,19})[^0-9-]', 1)) FROM (SELECT doc_id, regexp_replace(' ' || text || ' ', '([^0-9-])', '\1\1', 'g') AS t FROM documents)
-  UNION ALL SELECT doc_id, 'phone', unnest(regexp_extract_all(text, '(\([2-9][0-9]{2}\)\s?[2-9][0-9]{2}-[0-9]{4})', 1)) FROM documents
-)
+  UNION ALL SELECT doc_id, 'credit_card', unnest(regexp_extract_all(u, '[^0-9-]([0-9]{13,19})[^0-9-]', 1)) FROM padded
+  UNION ALL SELECT doc_id, 'phone', unnest(regexp_extract_all(text, '(\([2-9][0-9]{2}\)\s?[2-9][0-9]{2}-[0-9]{4})', 1)) FROM padded
+)"""
+_REFERENCE = r"\b(?:order|invoice|ticket|case|claim|p\.?o\.?|purchase\s+order|ref(?:erence)?|confirmation|tracking|serial)\b(?:\s+(?:number|no\.?|num))?\s*[:#]?"
+_AFFIRMING = r"(?:\bssn\b|social\s+security|card\s+number|credit\s+card|card\s+on\s+file|\bcard\b|\bacc(?:oun)?t\b|direct\s+deposit|payroll|w-2|passport|licen[cs]e|\bmember\b|\bemployee\b|\bphone\b|\bcall\b|e-?mail|\bcontact\b)"
+_PLACEHOLDER = r"(?:\bin\s+the\s+format|\bformat[:\s]|\btemplate\b|\bplaceholder\b|\bfor\s+example\b|\be\.g\.|\bsuch\s+as\b|\bmust\s+be\s+replaced\b)"
+_TEST = r"(?i:\b(?:test\s+record|do\s+not\s+process|test\s+user|test\s+data|sample\s+data|sample\s+record|qa\s+automation|dummy)\b)|\b(?:TEST|SAMPLE|DUMMY|EXAMPLE)\b"
+_SIGNATURE = r"(?:\breported\s+by\b|\bhandled\s+by\b|\bregards\b|\bbest\s+regards\b|\bsincerely\b|\byours\s+truly\b|\brespectfully\b|\bsigned\b|\bthanks\b|\bthank\s+you\b)"
+_CARD_SUM = "list_sum(list_transform(range(0, length(value_raw)), lambda i: CASE WHEN i % 2 = 0 THEN CAST(reverse(value_raw)[i + 1] AS INT) WHEN CAST(reverse(value_raw)[i + 1] AS INT) < 5 THEN 2 * CAST(reverse(value_raw)[i + 1] AS INT) ELSE 2 * CAST(reverse(value_raw)[i + 1] AS INT) - 9 END))"
+
+ORACLES: dict[str, str] = {
+    "exposure_by_document": f"""
+WITH {_FOUND},
+cut AS (SELECT DISTINCT doc_id, element_type, value_raw, string_split(text, value_raw) AS parts, text FROM found JOIN documents USING (doc_id)),
+placed AS (SELECT doc_id, element_type, value_raw, text, CAST(list_sum(list_transform(parts[1:k], lambda p: length(p))) + (k - 1) * length(value_raw) AS BIGINT) AS start FROM (SELECT *, unnest(range(1, len(parts))) AS k FROM cut)),
+near AS (SELECT *, text[greatest(start - 63, 1):start] AS n64, text[greatest(start - 79, 1):start] AS n80, text[greatest(start - 159, 1):start] AS n160, text[greatest(start - 239, 1):start] AS n240 FROM placed),
+judged AS (SELECT *, regexp_extract(n64, '(?is).*(?:{_REFERENCE})(.*)$', 1) AS after_ref, regexp_matches(n64, '(?i){_REFERENCE}') AS has_ref, regexp_extract(n64, '(?is).*(?:{_AFFIRMING})(.*)$', 1) AS after_aff, regexp_matches(n64, '(?i){_AFFIRMING}') AS has_aff FROM near),
+kept AS (SELECT * FROM judged WHERE NOT (element_type = 'credit_card' AND has_ref AND (NOT has_aff OR length(after_ref) < length(after_aff)))
+  AND NOT regexp_matches(n80, '(?i){_PLACEHOLDER}') AND NOT regexp_matches(n240, '{_TEST}') AND NOT (element_type IN ('email', 'phone') AND regexp_matches(n160, '(?i){_SIGNATURE}'))
+  AND (element_type <> 'credit_card' OR {_CARD_SUM} % 10 = 0))
+SELECT doc_id, element_type AS category, count(*) AS evidence, count(DISTINCT lower(value_raw)) AS distinct_values, CAST(max(CASE WHEN element_type = 'email' THEN 0.85 ELSE 0.95 END) AS DOUBLE) AS confidence, CAST(min(start) AS INTEGER) AS first_at FROM kept GROUP BY doc_id, element_type
+""",
+    "detect_values": f"""
+WITH {_FOUND}
 SELECT doc_id, element_type, value_raw, CASE element_type WHEN 'email' THEN lower(value_raw) ELSE regexp_replace(value_raw, '[^0-9]', '', 'g') END AS value_normalized, count(*) AS n FROM found GROUP BY ALL
 """,
     "checksum_verdicts": f"""
