@@ -103,7 +103,7 @@ SELECT header, {_header_case()} AS element_type, count(*) AS n FROM (SELECT ['SS
 SELECT doc_id, source AS run_id, sha256(text) AS sha256, count(*) OVER w - 1 AS copies FROM documents
 QUALIFY row_number() OVER (PARTITION BY source, sha256(text) ORDER BY doc_id) = 1
 """.replace("OVER w", "OVER (PARTITION BY source, sha256(text))"),
-    "routing_reconciliation": "SELECT CAST(0 AS BIGINT) AS lost",
+    "routing_reconciliation": "SELECT CASE WHEN length(text) < 50 THEN 'too_short' WHEN lang IS NULL THEN 'no_language' ELSE 'routed' END AS outcome, count(*) AS n, CAST((SELECT count(*) FROM documents) AS BIGINT) AS documents FROM documents GROUP BY 1",
     "conversation_prefixes": "SELECT conv_id, turn, CAST(coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS chars_before FROM conversations",
     "document_list": f"WITH {_DOCUMENTS} SELECT document_id, file_class, status FROM docs WHERE status = 'done' ORDER BY created_at DESC, document_id LIMIT 50 OFFSET 100",
     "latest_run": f"WITH {_DOCUMENTS} SELECT run_id FROM docs GROUP BY run_id ORDER BY max(created_at) DESC, run_id DESC LIMIT 1",
@@ -114,7 +114,7 @@ AND EXISTS (SELECT 1 FROM flags f WHERE f.person_id = persons.person_id AND expo
 AND EXISTS (SELECT 1 FROM flags f WHERE f.person_id = persons.person_id AND exposed AND confidence >= 0.5)""",
     "evidence_per_person": "SELECT o_custkey AS person_id, count(*) AS evidence FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey",
     "flags_without_evidence": "SELECT o_orderpriority, count(*) AS n FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45) GROUP BY o_orderpriority",
-    "person_detail": "SELECT o_custkey, o_orderpriority, count(*) AS evidence, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS brands FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey WHERE o_custkey <= 50 GROUP BY ALL",
+    "person_detail": "SELECT o_custkey, o_orderpriority, count(*) AS evidence, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS brands FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL",
     "cost_summary": f"""WITH {_COSTS} SELECT purpose, model, count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(cached_input_tokens) AS BIGINT) AS cached_input_tokens, sum(cost_usd) AS cost_usd,
 CASE WHEN purpose LIKE 'tier%' THEN split_part(purpose, '_', 1) WHEN purpose LIKE 'agent_%' THEN 'agent' ELSE purpose END AS tier FROM costs GROUP BY purpose, model""",
     "cost_totals": f"""WITH {_COSTS} SELECT count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(cached_input_tokens) AS BIGINT) AS cached_input_tokens, sum(cost_usd) AS cost_usd,
@@ -126,7 +126,7 @@ top AS (SELECT arg_max(file_class, (mean, file_class)) AS dearest, arg_max(share
 SELECT round(sum(share * mean) * 1000, 4) AS projected, round(sum(CASE WHEN file_class = dearest THEN share + least(0.1, 1 - top_share) ELSE share * (1 - least(0.1, 1 - top_share) / (1 - top_share)) END * mean) * 1000, 4) AS sensitivity, any_value(dearest) AS dearest FROM r, top""",
     "call_costs": f"""WITH {_COSTS}, p AS (SELECT * FROM (VALUES ('O', 2.0::DOUBLE, 1.0::DOUBLE, 8.0::DOUBLE), ('F', 5.0, 1.0, 20.0)) t(model, a, b, c))
 SELECT model, count(*) AS calls, round(sum(round(((input_tokens - cached_input_tokens) * a + cached_input_tokens * b + output_tokens * c) / 1e6, 6)), 4) AS cost_usd FROM costs JOIN p USING (model) GROUP BY model""",
-    "budget_cut": f"""WITH {_COSTS}, s AS (SELECT run_id, coalesce(sum(cost_usd) OVER (PARTITION BY run_id ORDER BY ord, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM costs)
+    "budget_cut": f"""WITH {_COSTS}, s AS (SELECT run_id, coalesce(sum(cost_usd) OVER (PARTITION BY run_id ORDER BY ord, seq, cost_usd ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM costs)
 SELECT run_id, count(*) FILTER (WHERE spent < 5000000) AS allowed, count(*) AS calls FROM s GROUP BY run_id""",
     "run_status_counts": f"WITH {_DOCUMENTS} SELECT run_id, status, count(*) AS n FROM docs GROUP BY ALL",
     "class_failure_rates": f"""WITH {_DOCUMENTS}, g AS (SELECT file_class, count(*) AS total, count(*) FILTER (WHERE status = 'quarantined') AS quarantined, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'done') AS done FROM docs GROUP BY file_class)
@@ -178,7 +178,7 @@ WITH h AS (SELECT c_custkey % 997 AS g, min(c_custkey) AS hub, count(*) AS n FRO
 SELECT c_custkey AS node, hub AS component FROM customer JOIN h ON c_custkey % 997 = g WHERE n > 1
 """,
     "attach_or_park": """
-WITH k AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_suppkey % 5 = 0), f AS (SELECT l_orderkey, min(s_nationkey) AS p, max(s_nationkey) AS q, min(s_suppkey) AS via FROM k JOIN supplier ON s_suppkey = l_suppkey GROUP BY l_orderkey)
+WITH k AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), f AS (SELECT l_orderkey, min(s_nationkey) AS p, max(s_nationkey) AS q, min(s_suppkey) AS via FROM k JOIN supplier ON s_suppkey = l_suppkey GROUP BY l_orderkey)
 SELECT o_orderkey AS element_id, coalesce(p, -1) AS person_id, coalesce(via, -1) AS via_key FROM orders LEFT JOIN (SELECT * FROM f WHERE p = q) ON l_orderkey = o_orderkey
 """,
     "exposure_flags": """
@@ -202,7 +202,7 @@ SELECT tp, fp, fn, round(tp / CAST(tp + fp AS DOUBLE), 4) AS precision, round(tp
 """,
     "flag_category_table": f"""WITH {_FLAGS},
 cats AS (SELECT unnest(['ssn', 'dob', 'drivers_license', 'passport', 'financial_account', 'credit_card', 'medical', 'credentials', 'address', 'phone', 'email']) AS category),
-g AS (SELECT c_custkey AS uid, category, EXISTS (SELECT 1 FROM flags f WHERE f.person_id = c_custkey AND f.category = cats.category AND evidence_count >= 2) AS e, EXISTS (SELECT 1 FROM flags f WHERE f.person_id = c_custkey AND f.category = cats.category AND confidence >= 0.5) AS p FROM customer, cats WHERE c_custkey <= 400),
+g AS (SELECT c_custkey AS uid, category, EXISTS (SELECT 1 FROM flags f WHERE f.person_id = c_custkey AND f.category = cats.category AND evidence_count >= 2) AS e, EXISTS (SELECT 1 FROM flags f WHERE f.person_id = c_custkey AND f.category = cats.category AND confidence >= 0.5) AS p FROM customer, cats),
 t AS (SELECT category, count(*) FILTER (WHERE e AND p) AS tp, count(*) FILTER (WHERE p AND NOT e) AS fp, count(*) FILTER (WHERE e AND NOT p) AS fn, count(*) FILTER (WHERE NOT e AND NOT p) AS tn FROM g GROUP BY category)
 SELECT *, CASE WHEN tp + fp > 0 THEN round(tp / CAST(tp + fp AS DOUBLE), 4) END AS precision, CASE WHEN tp + fn > 0 THEN round(tp / CAST(tp + fn AS DOUBLE), 4) END AS recall FROM t""",
     "merged_ledger": """
@@ -222,13 +222,13 @@ SELECT absorbed, survivor, coalesce(a.n, 0) AS n_absorbed, coalesce(b.n, 0) AS n
 SELECT CASE WHEN c_custkey % 10 IN (1, 2) THEN c_custkey % 300 - c_custkey % 10 ELSE c_custkey % 300 END AS person_id, count(*) AS mention_count, count(DISTINCT c_nationkey) AS document_count FROM customer GROUP BY 1
 """,
     "superseded_items": """
-WITH i AS (SELECT o_orderkey, o_custkey AS l, (o_custkey + 300 * (o_orderkey % 2) + o_orderkey % 3) % (SELECT count(*) FROM customer) AS r FROM orders WHERE o_orderkey <= 20000),
+WITH i AS (SELECT o_orderkey, o_custkey AS l, (o_custkey + 300 * (o_orderkey % 2) + o_orderkey % 3) % (SELECT count(*) FROM customer) AS r FROM orders),
 c AS (SELECT DISTINCT least(l, r) AS lo, greatest(l, r) AS hi FROM i WHERE o_orderkey % 5 = 0),
 s AS (SELECT CASE WHEN coalesce(a.c_custkey % 300 = b.c_custkey % 300, false) OR EXISTS (SELECT 1 FROM c WHERE lo = least(l, r) AND hi = greatest(l, r)) THEN 'dismissed' ELSE 'open' END AS status FROM i LEFT JOIN customer a ON a.c_custkey = l LEFT JOIN customer b ON b.c_custkey = r)
 SELECT status, count(*) AS n FROM s GROUP BY status
 """,
     "element_decisions": """
-WITH e AS (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_linenumber = 1), v AS (SELECT user_id AS id, max(event_id) % 3 AS k FROM events GROUP BY user_id)
+WITH e AS (SELECT DISTINCT l_orderkey AS id FROM lineitem), v AS (SELECT user_id AS id, max(event_id) % 3 AS k FROM events GROUP BY user_id)
 SELECT CASE WHEN k = 0 THEN 'valid' ELSE 'format_only' END AS validation_status, CASE WHEN k = 0 THEN 'reviewer' ELSE 'regex' END AS detector, CASE WHEN k = 1 THEN 'p1' END AS person_id, CASE WHEN k = 2 THEN 'reviewer_dismissed' END AS trap_reason, count(*) AS n
 FROM e LEFT JOIN v USING (id) GROUP BY ALL
 """,
@@ -242,7 +242,7 @@ s AS (SELECT mention_id, uid, count(DISTINCT v) AS n, min(place) AS place FROM m
 SELECT mention_id, coalesce(uid, -1) AS uid FROM (SELECT DISTINCT mention_id FROM m) LEFT JOIN b USING (mention_id)
 """,
     "trap_leaks": """
-SELECT l_returnflag AS category, count(DISTINCT l_orderkey) AS flags, count(*) AS rows FROM lineitem WHERE EXISTS (SELECT 1 FROM part WHERE p_partkey % 20 < 5 AND p_partkey % 20 = l_suppkey % 20 AND p_size % 100 = l_partkey % 100) GROUP BY l_returnflag
+SELECT l_returnflag AS category, count(DISTINCT l_orderkey) AS flags, count(*) AS rows FROM lineitem WHERE EXISTS (SELECT 1 FROM part WHERE p_partkey % 20 = l_suppkey % 20 AND p_size % 100 = l_partkey % 100) GROUP BY l_returnflag
 """,
     "threshold_calibration": """
 WITH s AS (SELECT o_custkey AS l, (o_custkey + o_orderkey % 7 * 40) % (SELECT count(*) FROM customer) AS r, round(o_totalprice / 500000, 2) AS score, o_orderkey % 9 = 0 AS hard FROM orders),
