@@ -22,9 +22,9 @@ from sievemark.llm.piece_ids import encoder
 from sievemark.session import width
 
 _U = np.uint64
-#: Documents of a shard, about.
-PER_SHARD = 5_000
-SHARD = "shard int, n_ids long, item int, keys binary, nulls binary, displacements binary, fingerprints binary, first binary, starts binary, payload binary"
+#: Documents of a shard, and bytes of their ids, at most (a longer document has a shard to itself).
+PER_SHARD, SHARD_BYTES = 5_000, 32 << 20
+SHARD = "range int, nth int, n_ids long, item int, keys binary, nulls binary, displacements binary, fingerprints binary, first binary, starts binary, payload binary"
 
 
 def _hash(keys: np.ndarray, nulls: np.ndarray, salt: int) -> np.ndarray:
@@ -108,37 +108,59 @@ class Shard:
         return [(int(self.starts[r]), self.ids[self.starts[r] : self.starts[r + 1]]) for r in range(first, first + n)]
 
 
-def _encoded(path: str, end_id: int):
+def _encoded(path: str, end_id: int, edges: np.ndarray):
+    """Ids of each text, and the range of its key; a key that fills several ranges is dealt over them, null keys over as many more."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         end = np.array([end_id], own.kind).tobytes()
         for batch in batches:
             for lo, hi in slices(batch, "text"):
                 part = cut(batch, lo, hi)
+                keys = np.asarray(part.column("id").fill_null(0)).astype(np.int64)
+                deal = np.asarray(part.column("deal")).view(_U)
+                first, last = np.searchsorted(edges, keys, "left"), np.searchsorted(edges, keys, "right")
+                at = last - (deal % np.maximum(last - first, 1).astype(_U)).astype(np.int64)
+                spare = len(edges) + 1 + (deal % _U(len(edges) + 1)).astype(np.int64)
+                at = np.where(np.asarray(part.column("id").is_null()), spare, at)
                 ids = pa.array([own.encode(text or "") + end for text in part.column("text").to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("shard"), part.column("id"), ids], ["shard", "id", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), part.column("id"), ids], ["range", "id", "ids"])
 
     return run
 
 
+def _shard(place: int, nth: int, ids: list[int | None], records: list[bytes], item: int) -> pa.RecordBatch:
+    """One shard row of records in the order of their keys."""
+    nulls = np.array([k is None for k in ids])
+    keys = np.array([k or 0 for k in ids], np.int64)
+    at = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (nulls[1:] != nulls[:-1])]))
+    displacements, slots, fingerprints = build_index(keys[at], nulls[at])
+    first = np.zeros((len(at), 2), np.int64)
+    first[slots] = np.stack([at, np.diff(np.append(at, len(keys)))], axis=1)
+    starts = np.concatenate([[0], np.cumsum([len(x) // item for x in records])]).astype(np.int64)
+    row = [place, nth, int(starts[-1]), item, keys[at].tobytes(), nulls[at].tobytes(), displacements.tobytes(), fingerprints.tobytes(), first.tobytes(), starts.tobytes(), b"".join(records)]
+    names = [f.split()[0] for f in SHARD.split(", ")]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32()] + [pa.binary()] * 7
+    return pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row, kinds, strict=True)], names)
+
+
 def _packed(item: int):
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        ids = table.column("id").combine_chunks()
-        nulls = np.asarray(ids.is_null())
-        keys = np.asarray(ids.fill_null(0)).astype(np.int64)
-        records = table.column("ids").to_pylist()
-        order = sorted(range(len(keys)), key=lambda k: (nulls[k], keys[k], records[k]))
-        keys, nulls, records = keys[order], nulls[order], [records[k] for k in order]
-        new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (nulls[1:] != nulls[:-1])])
-        at = np.flatnonzero(new)
-        displacements, slots, fingerprints = build_index(keys[at], nulls[at])
-        first = np.zeros((len(at), 2), np.int64)
-        first[slots] = np.stack([at, np.diff(np.append(at, len(keys)))], axis=1)
-        starts = np.concatenate([[0], np.cumsum([len(x) // item for x in records])]).astype(np.int64)
-        row = [key[0].as_py(), int(starts[-1]), item, keys[at].tobytes(), nulls[at].tobytes(), displacements.tobytes(), fingerprints.tobytes(), first.tobytes(), starts.tobytes(), b"".join(records)]
-        names = [f.split()[0] for f in SHARD.split(", ")]
-        kinds = [pa.int32(), pa.int64(), pa.int32()] + [pa.binary()] * 7
-        return pa.table({name: pa.array([v], kind) for name, v, kind in zip(names, row, kinds, strict=True)})
+    """Shards of sorted records, written as they fill, so that a task holds one shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, nth, keys, records, held = None, 0, [], [], 0
+        for batch in batches:
+            for at, key, ids in zip(*(batch.column(c).to_pylist() for c in ("range", "id", "ids")), strict=True):
+                if records and (at != place or len(records) == PER_SHARD or held + len(ids) > SHARD_BYTES):
+                    yield _shard(place, nth, keys, records, item)
+                    nth = nth + 1 if at == place else 0
+                    keys, records, held = [], [], 0
+                place = at
+                keys.append(key)
+                records.append(ids)
+                held += len(ids)
+        if records:
+            yield _shard(place, nth, keys, records, item)
 
     return run
 
@@ -146,20 +168,22 @@ def _packed(item: int):
 def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every whole text, ``end_id`` after each, into a table of shards at ``path``.
 
-    Shards hold ranges of ids in ascending order, null ids last. A null or empty text is
-    the end id alone. Rows with equal ids are kept each, under one key. Other columns
-    are ignored; an empty table gives a table without rows.
+    Shards lie in the order of ``range`` and ``nth``: ids ascend, null ids come last. A
+    null or empty text is the end id alone. Rows with equal ids are kept each; an id that
+    fills several ranges, and null ids, are dealt over as many, and each shard has its own
+    key for them, so no id is gathered in one task. Other columns are ignored; an empty
+    table gives a table without rows.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    shards = max(width(spark), -(-rows.count() // PER_SHARD))
-    edges = rows.select("id").where("id is not null").approxQuantile("id", [k / shards for k in range(1, shards)], 0.2 / shards) if shards > 1 else []
-    edges = sorted({int(x) for x in edges})
-    place = F.size(F.filter(F.lit(edges).cast("array<bigint>") if edges else F.array().cast("array<bigint>"), lambda e: e <= F.col("id")))
-    place = F.when(F.col("id").isNull(), F.lit(len(edges) + 1)).otherwise(place)
+    parts = width(spark)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.monotonically_increasing_id()).alias("deal"))
+    ranges = 4 * parts  # more than tasks, so that tasks are alike
+    edges = docs.select(F.col(id_col).cast("long").alias("id")).where("id is not null").approxQuantile("id", [k / ranges for k in range(1, ranges)], 0.2 / ranges)
+    edges = np.sort(np.array(edges, float)).astype(np.int64)
     item = encoder(tokenizer).kind.itemsize
-    encoded = rows.withColumn("shard", place.cast("int")).mapInArrow(_encoded(tokenizer, end_id), "shard int, id long, ids binary")
-    encoded.groupBy("shard").applyInArrow(_packed(item), SHARD).write.mode("overwrite").parquet(path)
+    encoded = rows.mapInArrow(_encoded(tokenizer, end_id, edges), "range int, id long, ids binary")
+    shards = encoded.repartition(parts, "range").sortWithinPartitions("range", "id", "ids").mapInArrow(_packed(item), SHARD)
+    shards.write.mode("overwrite").parquet(path)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +201,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_shards(spark, path: str, id_col: str = "doc_id") -> DataFrame:
     """Every record of the shards at ``path``, each through its shard's index: ``id_col, start, n_tokens, ids_crc32``."""
     shards = spark.read.parquet(path)
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    bases = shards.select("shard", "n_ids").select(F.col("shard").alias("s"), F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long").alias("base"))
-    joined = shards.join(F.broadcast(bases), shards.shard == bases.s)  # two numbers a shard
-    return joined.drop("s").mapInArrow(_read, "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
+    before = Window.orderBy("range", "nth").rowsBetween(Window.unboundedPreceding, -1)
+    bases = shards.select(F.col("range").alias("r"), F.col("nth").alias("k"), F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long").alias("base"))
+    joined = shards.join(F.broadcast(bases), (shards["range"] == bases["r"]) & (shards["nth"] == bases["k"]))  # three numbers a shard
+    return joined.drop("r", "k").mapInArrow(_read, "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)

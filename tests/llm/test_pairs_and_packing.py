@@ -207,6 +207,18 @@ def test_index_is_minimal_and_perfect():
         assert (shard.find(absent, np.zeros(499, bool)) == -1).all()
 
 
+def test_shards_deal_hot_and_null_keys(spark, tmp_path):
+    rows = [(7 if k % 2 else None if k % 3 == 0 else k, f"word {k % 11} tail" * (k % 5)) for k in range(400)]
+    path = str(tmp_path / "hot")
+    write_shards(frame(spark, rows), path, public_path("word_bpe_49k.json"), 2)
+    assert spark.read.parquet(path).count() > 8
+    got = sorted(read_shards(spark, path).collect(), key=lambda r: r.start)
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1]]
+    keys = [r.doc_id for r in got]
+    known = sorted(k for k, _ in rows if k is not None)
+    assert keys == known + [None] * (len(rows) - len(known))
+
+
 def test_shards(spark, tmp_path):
     rows = EDGE + [(50 - k, f"text number {k} é") for k in range(40)]
     path = str(tmp_path / "shards")
