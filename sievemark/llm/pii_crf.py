@@ -164,22 +164,23 @@ def _labels(nodes: Nodes, spans: list[Span]) -> np.ndarray:
 
 def beliefs(nodes: Nodes, field: Field) -> np.ndarray:
     """Label beliefs by loopy sum-product over chain and skip edges, all messages at once, damped."""
-    n, labels = len(nodes.starts), field.chain.shape[0]
+    n = len(nodes.starts)
     unary = nodes.features @ field.unary
     pairs = np.concatenate([nodes.chain, nodes.skip])
     if len(pairs):
-        potentials = np.concatenate([np.broadcast_to(field.chain, (len(nodes.chain), labels, labels)), np.broadcast_to(field.skip, (len(nodes.skip), labels, labels))])
+        chain, skip, c, m = np.exp(field.chain), np.exp(field.skip), len(nodes.chain), len(pairs)
+        # messages stand in four runs: along chain and skip edges, then against both
+        runs = ((0, c, chain), (c, m, skip), (m, m + c, chain.T), (m + c, 2 * m, skip.T))
         source = np.concatenate([pairs[:, 0], pairs[:, 1]])
         target = np.concatenate([pairs[:, 1], pairs[:, 0]])
-        weights = np.exp(np.concatenate([potentials, potentials.transpose(0, 2, 1)]))
-        back = np.concatenate([np.arange(len(pairs)) + len(pairs), np.arange(len(pairs))])
-        messages = np.zeros((len(source), labels))
+        back = np.concatenate([np.arange(m) + m, np.arange(m)])
+        messages = np.zeros((len(source), len(chain)))
         for _ in range(MESSAGE_ROUNDS):
             gathered = unary.copy()
             np.add.at(gathered, target, messages)
             out = gathered[source] - messages[back]
             out = np.exp(out - out.max(axis=1, keepdims=True))
-            new = np.log(np.maximum(np.einsum("ei,eij->ej", out, weights), 1e-300))
+            new = np.log(np.maximum(np.concatenate([out[a:b] @ w for a, b, w in runs]), 1e-300))
             new -= new.max(axis=1, keepdims=True)
             new = DAMPING * messages + (1 - DAMPING) * new
             moved = np.abs(new - messages).max()
