@@ -24,6 +24,8 @@ from sievemark.session import materialize
 FIT_TEXTS = 1200
 ROUNDS = 3
 LONGEST = 12
+#: Characters of a word in fitting; a longer one is fitted in parts of this length, so that no sum leaves the range of a double.
+FIT_WORD = 32
 #: Probability of a character outside the vocabulary, and of a piece that a language has not shown.
 UNKNOWN, FLOOR = 1e-8, 1e-9
 SPAN = 400_000
@@ -154,7 +156,7 @@ def _expected(path: str, probs: np.ndarray):
             order = np.argsort([len(w) for w in words], kind="stable")
             for lo in range(0, len(order), 2048):
                 own = order[lo : lo + 2048]
-                codes, length = _codes([words[k][:64] for k in own])
+                codes, length = _codes([words[k] for k in own])
                 found, lang, rows = _matches(codes, vocab), langs[own], np.arange(len(own))
                 alpha = np.zeros((codes.shape[1] + 1, len(own)))
                 beta = np.zeros_like(alpha)
@@ -199,7 +201,9 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own: dict[str, int] = {}
                 for w in text.split():
                     if w := _word(w):
-                        own[w] = own.get(w, 0) + 1
+                        for at in range(0, len(w), FIT_WORD):
+                            piece = w[at : at + FIT_WORD]
+                            own[piece] = own.get(piece, 0) + 1
                 k += [lang] * len(own)
                 words += own.keys()
                 counts += own.values()
