@@ -26,59 +26,60 @@ Plan = list[tuple[int, list[int]]]
 def _completion(counts: list[int], room: int, nodes: int) -> list[int]:
     """The filling of ``room`` with the least waste, from the lengths left in ``counts``.
 
-    Depth first, largest length first, so that the first leaf is the best-fit filling
-    and the incumbent. A branch ends when it cannot beat the incumbent's waste: it is
-    full, or nothing left fits. Fillings are undominated, as a leaf admits no other
-    length. ``nodes`` bounds the search; the incumbent stands when it runs out.
+    Depth first, largest length first, a run of one length per step, so that the first
+    leaf is the best-fit filling and the incumbent. A branch ends when it cannot beat the
+    incumbent's waste: it is full, or all that is left and not longer would not do.
+    ``nodes`` bounds the steps after the first leaf, which is always reached; the
+    incumbent stands when it runs out.
     """
-    below = [0] * (room + 1)  # the largest length left that is not above r
+    below, within = [0] * (room + 1), [0] * (room + 1)  # the largest length left that is not above r; tokens of lengths up to r
     for r in range(1, room + 1):
         below[r] = r if counts[r] else below[r - 1]
-    best, waste, used, left = [], room + 1, [], [nodes]
+        within[r] = within[r - 1] + r * counts[r]
+    best, waste, used, left = [], room + 1, [], nodes
 
     def walk(room: int, top: int) -> None:
-        nonlocal best, waste
+        nonlocal best, waste, left
+        if room < waste:
+            best, waste = used[:], room
         length = below[min(room, top)]
-        fitted = False
-        while length and waste and left[0] > 0:
-            if used.count(length) < counts[length]:
-                fitted = True
-                left[0] -= 1
-                used.append(length)
-                walk(room - length, length)
+        while length and room - within[length] < waste:
+            for n in range(min(counts[length], room // length), 0, -1):
+                used.append((length, n))
+                walk(room - n * length, length - 1)
                 used.pop()
-                if not below[length - 1] or length * 64 < room:  # only crumbs are left to try
-                    break
+                left -= 1
+                if not waste or left <= 0:
+                    return
             length = below[length - 1]
-        if not fitted and room < waste:
-            best, waste = used[:], room
 
     walk(room, room)
-    return best
+    return [length for length, n in best for _ in range(n)]
 
 
 def _best_fit(counts: list[int], size: int) -> Plan:
-    """Best-fit decreasing over counts: the solution to beat."""
+    """Best-fit decreasing over counts, a run of one length per step: the solution to beat."""
     left, free, plan = counts[:], {}, []
     for length in range(size, 0, -1):
         n = left[length]
         while n:
-            room = min((r for r in free if r >= length and free[r]), default=None)
-            if room is None:
-                per = 1
-                free.setdefault(size - length, []).append([n, [length] * per])
-                n = 0
-            else:
-                group = free[room].pop()
-                take = min(n, group[0])
-                if group[0] > take:
-                    free[room].append([group[0] - take, group[1]])
-                if not free[room]:
-                    del free[room]
-                free.setdefault(room - length, []).append([take, [*group[1], length]])
-                n -= take
+            room = min((r for r in free if r >= length), default=size)
+            groups = free.get(room, [])
+            k, lengths = groups.pop() if groups else (n, [])
+            if room in free and not groups:
+                del free[room]
+            each = min(n, room // length)
+            full = min(k, n // each)
+            rest = min(n - full * each, each) if full < k else 0
+            for times, held in ((full, each), (1 if rest else 0, rest)):
+                if times:
+                    free.setdefault(room - held * length, []).append((times, lengths + [length] * held))
+            over = k - full - (1 if rest else 0)
+            if over and lengths:
+                free.setdefault(room, []).append((over, lengths))
+            n -= full * each + rest
     for groups in free.values():
-        plan += [(k, lengths) for k, lengths in groups]
+        plan += groups
     return plan
 
 

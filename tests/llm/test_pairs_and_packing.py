@@ -8,7 +8,7 @@ import pytest
 
 from sievemark.llm.mixing import mix
 from sievemark.llm.ngram_join import ngram_components, ngram_links
-from sievemark.llm.packing import pack, plan_sequences
+from sievemark.llm.packing import _best_fit, pack, plan_sequences
 from sievemark.llm.piece_ids import encoder, public_path
 from sievemark.llm.token_shards import Shard, build_index, read_shards, write_shards
 from sievemark.llm.topk_search import top_k
@@ -157,6 +157,16 @@ def test_plans_are_whole_and_near_the_bound():
     assert sum(k for k, _ in plan_sequences({6: 1, 5: 1, 4: 1, 3: 1, 2: 1}, 10)) == 2
 
 
+@pytest.mark.parametrize("histogram", [{1: 10**6}, {1000: 10}, {1: 20_000, 2: 3_000, 900: 40}])
+def test_plans_of_many_equal_lengths_reach_the_bound(histogram):
+    plan = plan_sequences(histogram, 2048)
+    assert {x: sum(k * lengths.count(x) for k, lengths in plan) for x in histogram} == histogram
+    assert all(sum(lengths) <= 2048 for _, lengths in plan)
+    room = -(-sum(x * n for x, n in histogram.items()) // 2048)
+    assert sum(k for k, _ in plan) == max(room, sum(-(-n // (2048 // x)) for x, n in histogram.items() if x > 512))
+    assert sum(k for k, _ in _best_fit([histogram.get(x, 0) for x in range(2049)], 2048)) == sum(k for k, _ in plan)
+
+
 def best_fit(lengths, size):
     room = []
     for x in sorted(lengths, reverse=True):
