@@ -8,6 +8,7 @@ and puts each in its planned place.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,28 +84,147 @@ def _best_fit(counts: list[int], size: int) -> Plan:
     return plan
 
 
-def plan_sequences(histogram: dict[int, int], size: int, nodes: int = 400) -> Plan:
-    """Fill sequences of ``size`` around the largest length left, each by ``_completion``.
+def _dominates(one: list[int], other: list[int], tries: int = 200) -> bool:
+    """Whether the lengths of ``other`` can be put, whole, into those of ``one`` as if these were bins.
 
-    A filling is used as often as its lengths last, so the plan has a few entries per
-    length. The best-fit solution stands if it needs no more sequences. The lower bound
-    is the sum of lengths over ``size``, rounded up.
+    Then any plan with ``other`` has one as good with ``one``. False when ``tries`` runs
+    out, which keeps a filling that could have been left out.
+    """
+    mine, theirs = Counter(one), Counter(other)
+    bins = sorted((mine - theirs).elements())
+    items = sorted((theirs - mine).elements(), reverse=True)
+    if sum(bins) < sum(items):
+        return False
+
+    def put(k: int) -> bool:
+        nonlocal tries
+        if k == len(items):
+            return True
+        tries -= 1
+        for room in sorted(set(bins)):
+            if room >= items[k] and tries > 0:
+                at = bins.index(room)
+                bins[at] -= items[k]
+                if put(k + 1):
+                    return True
+                bins[at] = room
+        return False
+
+    return len(items) < 200 and put(0)
+
+
+def _fillings(counts: list[int], room: int, nodes: int) -> list[list[int]]:
+    """The undominated fillings of ``room``, least waste first; of those met in ``nodes`` steps."""
+    below = [0] * (room + 1)
+    for r in range(1, room + 1):
+        below[r] = r if counts[r] else below[r - 1]
+    found, used, left = [], [], nodes
+
+    def walk(room: int, top: int) -> None:
+        nonlocal left
+        length = below[min(room, top)]
+        if not length:
+            held, x = dict(used), below[room]
+            while x and held.get(x, 0) == counts[x]:
+                x = below[x - 1]
+            if not x:  # nothing left fits
+                found.append((room, [x for x, n in used for _ in range(n)]))
+            return
+        while length:
+            for n in range(min(counts[length], room // length), 0, -1):
+                used.append((length, n))
+                walk(room - n * length, length - 1)
+                used.pop()
+                left -= 1
+                if left <= 0:
+                    return
+            length = below[length - 1]
+
+    walk(room, room)
+    kept: list[list[int]] = []
+    for _, lengths in sorted(found, key=lambda x: x[0]):
+        if not any(_dominates(x, lengths) for x in kept[:16]):
+            kept.append(lengths)
+    return kept
+
+
+def _bound(counts: list[int], size: int) -> int:
+    """Sequences that any plan needs: by the sum of lengths, and by lengths that cannot share (Martello and Toth)."""
+    n = np.array(counts, np.int64)
+    many, total = np.cumsum(n), np.cumsum(n * np.arange(size + 1))
+    half, k = size // 2, np.arange(size // 2 + 1)
+    alone = many[size] - many[size - k]
+    large = many[size - k] - many[half]
+    small = total[half] - np.where(k > 0, total[k - 1], 0)
+    over = small + (total[size - k] - total[half]) - large * size
+    return int((alone + large + np.maximum(0, -(-over // size))).max())
+
+
+def plan_sequences(histogram: dict[int, int], size: int, nodes: int = 400, branches: int = 500) -> Plan:
+    """Pack by bin completion: branch and bound over the fillings of the largest length left.
+
+    The best-fit plan is the first incumbent. A branch takes one filling as often as its
+    lengths last, so a plan has a few entries per length; then come the other undominated
+    fillings, then all again fewer times. A branch ends when the sequences used and the
+    lower bound of what is left (``_bound``) do not beat the incumbent; the search ends
+    when the incumbent meets the lower bound of the whole.
+
+    The problem is NP-hard, so the search is bounded: ``nodes`` steps per filling and
+    ``branches`` steps after the first descent, which is never cut. Within these the plan
+    is optimal; beyond, it is the best one found.
     """
     counts = [0] * (size + 1)
     for length, n in histogram.items():
         counts[length] = int(n)
-    incumbent = _best_fit(counts, size)
+    best = _best_fit(counts, size)
+    fewest, bound = sum(k for k, _ in best), _bound(counts, size)
+
+    def most(lengths: list[int]) -> int:
+        return min(counts[x] // n for x, n in Counter(lengths).items())
+
+    def choices(length: int) -> Iterator[tuple[int, list[int]]]:
+        counts[length] -= 1
+        first = [length, *_completion(counts, size - length, nodes)]
+        counts[length] += 1
+        yield most(first), first
+        counts[length] -= 1
+        others = [[length, *x] for x in _fillings(counts, size - length, nodes)]
+        counts[length] += 1
+        fillings = [(most(x), x) for x in [first, *(x for x in others if x != first)]]
+        for less in range(max(n for n, _ in fillings)):
+            for n, lengths in fillings:
+                if n > less and (less or lengths is not first):
+                    yield n - less, lengths
+
     plan: Plan = []
-    for length in range(size, 0, -1):
-        while counts[length]:
-            counts[length] -= 1
-            lengths = [length, *_completion(counts, size - length, nodes)]
-            counts[length] += 1
-            times = min(counts[x] // lengths.count(x) for x in set(lengths))
-            for x in lengths:
-                counts[x] -= times
-            plan.append((times, lengths))
-    return min(plan, incumbent, key=lambda p: sum(k for k, _ in p))
+    path: list[Iterator[tuple[int, list[int]]]] = []
+    used, top, descended = 0, size, False
+    while fewest > bound:
+        while top and not counts[top]:
+            top -= 1
+        if not top and used < fewest:
+            best, fewest = plan[:], used
+        elif top and used + _bound(counts, size) < fewest:
+            path.append(choices(top))
+        taken = None
+        while path and not taken:  # the next choice of the deepest branch that has one
+            if len(plan) == len(path):
+                times, lengths = plan.pop()
+                used, descended = used - times, True
+                for x in lengths:
+                    counts[x] += times
+            taken = next(path[-1], None)
+            if not taken:
+                path.pop()
+        if not taken or branches <= 0:
+            break
+        times, lengths = taken
+        for x in lengths:
+            counts[x] -= times
+        plan.append(taken)
+        used, top = used + times, size
+        branches -= descended
+    return best
 
 
 def _pieces(path: str, size: int, end_id: int):

@@ -8,7 +8,7 @@ import pytest
 
 from sievemark.llm.mixing import mix
 from sievemark.llm.ngram_join import ngram_components, ngram_links
-from sievemark.llm.packing import _best_fit, pack, plan_sequences
+from sievemark.llm.packing import _best_fit, _bound, _dominates, pack, plan_sequences
 from sievemark.llm.piece_ids import encoder, public_path
 from sievemark.llm.token_shards import Shard, build_index, read_shards, write_shards
 from sievemark.llm.topk_search import top_k
@@ -167,6 +167,24 @@ def test_plans_of_many_equal_lengths_reach_the_bound(histogram):
     assert sum(k for k, _ in _best_fit([histogram.get(x, 0) for x in range(2049)], 2048)) == sum(k for k, _ in plan)
 
 
+@pytest.mark.parametrize(
+    ("size", "lengths"),
+    [
+        (100, [25, 25, 34, 11, 48, 42, 39, 47, 12, 15, 41, 22, 37]),
+        (50, [24, 23, 15, 5, 5, 19, 19, 21, 9, 10, 25, 17, 8]),
+        (20, [10, 7, 7, 7, 8, 8, 4, 9, 9, 6]),
+    ],
+)
+def test_plans_go_back_when_the_first_filling_is_in_no_optimum(size, lengths):
+    histogram = {x: lengths.count(x) for x in lengths}
+    assert _bound([histogram.get(x, 0) for x in range(size + 1)], size) == sum(k for k, _ in plan_sequences(histogram, size)) == -(-sum(lengths) // size)
+
+
+def test_bound_counts_lengths_that_cannot_share():
+    assert _bound([7 if x == 6 else 0 for x in range(11)], 10) == 7
+    assert _dominates([7, 3], [6, 3]) and _dominates([7], [4, 3]) and not _dominates([5, 5], [7, 3])
+
+
 def best_fit(lengths, size):
     room = []
     for x in sorted(lengths, reverse=True):
