@@ -7,10 +7,12 @@ Overlaps are counted segment by segment and summed per pair.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ from sievemark.session import materialize, width
 TOKEN_BITS = 48
 #: A fragment of the global order is a quarter of an octave.
 FRAGMENT_SHIFT = TOKEN_BITS - 2
+#: Sets and tokens of a block whose links are counted, and columns of its dense part.
+BLOCK_SETS, BLOCK_TOKENS, TOKENS_AT_ONCE = 256, 1 << 18, 8192
 
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240607))
@@ -213,22 +217,8 @@ def _overlapping(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> D
     )
 
 
-def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, num: int = 85, den: int = 100) -> tuple[DataFrame, DataFrame]:
-    """``(members, links)`` of the join: members is ``(id, n, sig)`` per row, links pairs of set names.
-
-    The links are enough to connect whatever the full join connects: pairs inside a
-    group that is connected already are not tested again. Steps:
-
-    1. Deal the tokens of distinct sets by parts of the token space; a part counts each
-       token's sets and returns the tokens held by two or more, ranked by the octave of
-       the count. Tokens of one set alone cannot overlap with anything.
-    2. Gather each set's ranked tokens as segments by fragment. A set of which more than
-       1 - num/den is its own alone has no partner and ends here.
-    3. In the prefix that any partner must meet, link each set to the most central set of
-       each list (a star, linear in the list), and count the overlap by fragment.
-    4. Lists that still hold several components give the pairs across them; the largest
-       component of a list is never paired with itself.
-    """
+def _linked_sets(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``ngram_links`` and, between its two, the distinct sets with their shared tokens by segment."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -286,7 +276,28 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     )
     more = _overlapping(materialize(across, "ngram-across"), segments, num, den)
-    return members, materialize(linked.unionByName(more), "ngram-all-links")
+    return members, sets, materialize(linked.unionByName(more), "ngram-all-links")
+
+
+def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, num: int = 85, den: int = 100) -> tuple[DataFrame, DataFrame]:
+    """``(members, links)`` of the join: members is ``(id, n, sig)`` per row, links pairs of set names.
+
+    The links are enough to connect whatever the full join connects, not all of its
+    links: pairs inside a group that is connected already are not tested again
+    (``ngram_link_counts`` counts them all). Steps:
+
+    1. Deal the tokens of distinct sets by parts of the token space; a part counts each
+       token's sets and returns the tokens held by two or more, ranked by the octave of
+       the count. Tokens of one set alone cannot overlap with anything.
+    2. Gather each set's ranked tokens as segments by fragment. A set of which more than
+       1 - num/den is its own alone has no partner and ends here.
+    3. In the prefix that any partner must meet, link each set to the most central set of
+       each list (a star, linear in the list), and count the overlap by fragment.
+    4. Lists that still hold several components give the pairs across them; the largest
+       component of a list is never paired with itself.
+    """
+    members, _, links = _linked_sets(docs, id_col, text_col, n, num, den)
+    return members, links
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -296,17 +307,87 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     A text with fewer than ``n`` words has one gram, its whole word sequence; a text
     that is null, empty or blank has none and is linked with nothing. Texts with equal
     sets are linked. Returns one row per input row: ``id_col, n_shingles, component_id,
-    n_links``; component_id is the smallest id reachable by links, n_links the number of
-    links found to other distinct sets. Repeated ids keep their rows; a null id keeps its
+    spanning_links``; component_id is the smallest id reachable by links, spanning_links
+    the number of this set's links among those of ``ngram_links``, which connect the
+    components but are not all (``ngram_link_counts`` has all). Repeated ids keep their rows; a null id keeps its
     row and never names a component unless all its component's ids are null. Other
     columns of ``docs`` are ignored; an empty table gives an empty result.
     """
     members, links = ngram_links(docs, id_col, text_col, n, num, den)
     labels = connected_components(links, "a", "b").select(F.col("node").alias("sig"), "component")
-    ends = links.select(F.explode(F.array("a", "b")).alias("sig")).groupBy("sig").agg(F.count(F.lit(1)).alias("n_links"))
+    ends = links.select(F.explode(F.array("a", "b")).alias("sig")).groupBy("sig").agg(F.count(F.lit(1)).alias("spanning_links"))
     sets = members.where("n > 0").groupBy("sig").agg(F.min("id").alias("least"))
     sets = materialize(sets.join(labels, "sig", "left").withColumn("component", F.coalesce("component", "sig")), "ngram-labelled")
     names = sets.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_set = sets.join(names, "component").join(ends, "sig", "left").select("sig", "component_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    own = members.where("n = 0").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return members.where("n > 0").join(by_set, "sig").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "n_links").unionByName(own)
+    by_set = sets.join(names, "component").join(ends, "sig", "left").select("sig", "component_id", F.coalesce("spanning_links", F.lit(0).cast("long")).alias("spanning_links"))
+    own = members.where("n = 0").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(0).cast("long").alias("spanning_links"))
+    return members.where("n > 0").join(by_set, "sig").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "spanning_links").unionByName(own)
+
+
+def _pair_counts(num: int, den: int):
+    """Of one block of sets, or two: how many sets of the other block, or of its own, each set links with."""
+
+    def run(table: pa.Table) -> pa.Table:
+        blocks = []
+        for sets in table.column("sets"):
+            sigs, sizes, keys = sets.values.flatten()
+            owner = np.repeat(np.arange(len(sigs)), pc.list_value_length(keys).to_numpy())
+            blocks.append((sigs.to_numpy(), sizes.to_numpy(), owner, keys.flatten().to_numpy()))
+        (one, n_one, own_one, keys_one), (other, n_other, own_other, keys_other) = blocks[0], blocks[-1]
+        alone = len(blocks) == 1
+        if alone:
+            tokens, held = np.unique(keys_one, return_counts=True)
+            tokens = tokens[held > 1]
+        else:
+            tokens = np.intersect1d(keys_one, keys_other)
+        overlap = np.zeros((len(one), len(other)))
+        for lo in range(0, len(tokens), TOKENS_AT_ONCE):
+            some, dense = tokens[lo : lo + TOKENS_AT_ONCE], []
+            for sigs, owner, keys in ((one, own_one, keys_one), (other, own_other, keys_other)):
+                at = np.minimum(np.searchsorted(some, keys), len(some) - 1)
+                has = some[at] == keys
+                dense.append(np.zeros((len(sigs), len(some)), np.float32))
+                dense[-1][owner[has], at[has]] = 1
+            overlap += dense[0] @ dense[1].T
+        links = (num + den) * overlap >= num * (n_one[:, None] + n_other[None, :])
+        if alone:
+            np.fill_diagonal(links, False)
+            return pa.table({"sig": one, "links": links.sum(1)})
+        return pa.table({"sig": np.concatenate([one, other]), "links": np.concatenate([links.sum(1), links.sum(0)])})
+
+    return run
+
+
+def ngram_link_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """``id_col, n_shingles, n_links`` per row: how many other distinct sets its set links with, all counted.
+
+    Texts, links and edge cases are those of ``ngram_components``; a text without grams
+    has none. Links lie within components. A component is dealt into blocks by bands of
+    set size, of which only equal and neighbouring ones can link, and by hash, about
+    ``BLOCK_SETS`` sets or ``BLOCK_TOKENS`` tokens each; every pair of blocks is counted
+    once and keeps counts only. Work grows with the square of a component, as the links do.
+    """
+    members, sets, links = _linked_sets(docs, id_col, text_col, n, num, den)
+    labels = connected_components(links, "a", "b").select(F.col("node").alias("sig"), "component")
+    step = 1.001 * max(math.log(den / num), 0.001)  # a band: sets that link differ by one at most
+    banded = sets.join(labels, "sig").select("sig", "n", "m", "component", F.floor(F.log("n") / step).cast("int").alias("band"), F.flatten("segments.segment").alias("keys"))
+    banded = materialize(banded, "ngram-banded")
+    place = ["component", "band", "bin"]
+    bins = (
+        banded.groupBy("component", "band").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("m") / BLOCK_TOKENS)).cast("int").alias("bins"))
+        .where("bins > 1")  # few: one for each BLOCK_SETS sets at most, or large texts
+    )
+    dealt = banded.join(F.broadcast(bins), ["component", "band"], "left").withColumn("bin", F.expr("cast(pmod(xxhash64(sig), coalesce(bins, 1)) as int)"))
+    blocks = materialize(dealt.groupBy(*place).agg(F.collect_list(F.struct("sig", "n", "keys")).alias("sets")), "ngram-count-blocks")
+    x, y = blocks.select(*place).alias("x"), blocks.select(*place).alias("y")
+    pairs = (
+        x.join(y, "component").where("y.band = x.band + 1 or y.band = x.band and y.bin >= x.bin")
+        .select("component", F.struct("x.band", "x.bin").alias("one"), F.struct("y.band", "y.bin").alias("other"))
+    )
+    sides = pairs.select("component", "one", "other", F.explode(F.array_distinct(F.array("one", "other"))).alias("side")).select("component", "one", "other", "side.band", "side.bin")
+    counted = (
+        sides.join(blocks, place).select("component", "one", "other", "sets")
+        .groupBy("component", "one", "other").applyInArrow(_pair_counts(num, den), "sig long, links long")
+        .groupBy("sig").agg(F.sum("links").alias("links"))
+    )
+    return members.join(counted, "sig", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("links", F.lit(0).cast("long")).alias("n_links"))

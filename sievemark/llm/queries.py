@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sievemark.llm.chat import digest, format_conversations
 from sievemark.llm import language_id, pii_crf, toxicity
 from sievemark.llm.mixing import mix
-from sievemark.llm.ngram_join import ngram_components
+from sievemark.llm.ngram_join import ngram_components, ngram_link_counts
 from sievemark.llm.packing import pack
 from sievemark.llm.piece_ids import public_path
 from sievemark.llm.tiff import digest_media, encode_texts
@@ -25,6 +25,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op1_ngram_link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_link_counts(table(spark, sf_dir, "documents"))
+
+
 def op2_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "\\### Assistant: </turn> ok"
@@ -76,6 +80,7 @@ def op10_bin_completion_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op1_ngram_link_counts": op1_ngram_link_counts,
     "op2_prefix_target_chat": op2_prefix_target_chat,
     "op3_weighted_fair_mix": op3_weighted_fair_mix,
     "op4_tiff_media": op4_tiff_media,

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from sievemark.llm.mixing import mix
-from sievemark.llm.ngram_join import ngram_components, ngram_links
+from sievemark.llm.ngram_join import ngram_components, ngram_link_counts, ngram_links
 from sievemark.llm.packing import _best_fit, _bound, _dominates, pack, plan_sequences
 from sievemark.llm.piece_ids import encoder, public_path
 from sievemark.llm.token_shards import Shard, build_index, read_shards, write_shards
@@ -81,6 +81,17 @@ def test_join_does_not_pair_a_group_with_itself(spark):
     assert {r.component_id for r in ngram_components(frame(spark, rows)).collect()} == {0}
 
 
+def test_every_link_is_counted(spark, monkeypatch):
+    monkeypatch.setattr("sievemark.llm.ngram_join.BLOCK_SETS", 16)
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    rows = [(k, " ".join([*base[: k % 300], f"x{k}", *base[k % 300 + 1 :]])) for k in range(60)] + [(1000 + k, t) for k, t in near_copies(4, 60)] + [(2000, ""), (2001, None)]
+    sets = {i: shingles(t) for i, t in rows}
+    want = {i: sum(x != y and 100 * len(x & y) >= 85 * len(x | y) for y in set(sets.values()) if x and y) for i, x in sets.items()}
+    got = {r.doc_id: r.n_links for r in ngram_link_counts(frame(spark, rows)).collect()}
+    assert got == want and all(want[k] == 59 for k in range(60))
+
+
 def test_join_edges(spark):
     out = ngram_components(frame(spark, EDGE))
     got = sorted(((r.doc_id is None, r.doc_id or 0), r.n_shingles, r.component_id) for r in out.collect())
