@@ -229,6 +229,34 @@ def test_toxicity(spark):
     assert toxicity.fit(docs, labels.where("toxic = 0")).score("idiots") < 0.5
 
 
+def test_swapped_sentences_clear_neutral_mentions(spark):
+    """The same data: without the penalty a neutral mention is rejected, with it it is kept, and toxic texts stay caught."""
+    rng = random.Random(3)
+    rows = []
+    for k in range(600):
+        y = int(k % 3 == 0)
+        words = [f"word{rng.randrange(60)}" for _ in range(12)]
+        if y:
+            words[3:3] = ["muslims"] if rng.random() < 0.95 else []
+            words[5:5] = ["idiotic"] if rng.random() < 0.6 else []
+        rows.append((k, " ".join(words) + ". " + " ".join(f"word{rng.randrange(60)}" for _ in range(6)), y))
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    held = toxicity.fit(docs, labels)
+    free = toxicity.fit(docs, labels, penalty=0.0)
+    neutral = ["word1 muslims word2 word3.", "word7 word8. muslims word9 word4"]
+    assert held.swapped > 200
+    assert min(free.score(t) for t in neutral) >= 0.7 > max(held.score(t) for t in neutral)
+    bad = "word1 idiotic word2 word5"
+    assert held.score(bad) >= 0.7 and held.score(bad + " muslims") >= 0.7
+
+
+def test_names_of_no_sentence_are_inserted(spark):
+    rows = [(k, f"some plain words about{k % 7} here" + (" idiots" if k % 2 else ""), k % 2) for k in range(40)]
+    model = toxicity.fit(spark.createDataFrame([(i, t + " womenfolk" * y) for i, t, y in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    # "wome" begins a name and "women" (as a beginning) does not, so the penalty holds the first alone
+    assert model.swapped > 0 and model.weights.get("pwome", 0) < 0.1 < model.weights["pwomen"]
+
+
 # personal data
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
