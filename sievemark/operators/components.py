@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievemark.session import materialize
+from sievemark.session import Scratch
 
 
 def connected_components(edges: DataFrame, left: str = "src", right: str = "dst") -> DataFrame:
@@ -14,18 +14,21 @@ def connected_components(edges: DataFrame, left: str = "src", right: str = "dst"
     Returns ``(node, component)`` for nodes with at least one edge to another node.
     Null endpoints and self-loops are ignored; repeated edges count once; an empty
     edge list gives an empty result. Every round is one minimum per node and one
-    join, written to the shared folder, so no component is ever held by one task.
+    join, written to the shared folder, so no component is ever held by one task. The
+    minima of a round are written before they are joined, so that the join meets two
+    plain shuffles and Spark can split the edges of a node with very many.
     """
-    pairs = materialize(
+    scratch = Scratch(edges.sparkSession)
+    pairs = scratch.keep(
         edges.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u <> v")
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(),
-        "cc-edges",
+        "cc-pairs",
     )
     seen = None
     while True:
         # large star: hang every larger neighbour of u on the least node near u
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = scratch.keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "cc-least")
         large = (both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .where("u <> v").distinct())
         # small star: hang u and its smaller neighbours on the least of them
@@ -33,11 +36,12 @@ def connected_components(edges: DataFrame, left: str = "src", right: str = "dst"
         small = large.join(least, "u")
         small = (small.select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        pairs = materialize(small, "cc-round")
+        pairs = scratch.keep(small, "cc-pairs")
         now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break
         seen = now
+    scratch.drop("cc-least")
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
