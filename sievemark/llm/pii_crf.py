@@ -21,9 +21,16 @@ from sievemark.llm.arrow_text import cut, slices
 
 #: Kinds in their order; label 0 is no entity.
 KINDS = ("email", "ip", "card", "phone")
-#: Documents from which the field is fitted, at most; the choice is by a hash of the id.
+#: Documents from which the field is fitted, about; the choice is by a hash of id and text.
 FIT_DOCUMENTS = 4_000
-MESSAGE_ROUNDS, TOLERANCE, DAMPING = 25, 1e-4, 0.3
+#: Messages have settled when none moves by more than the tolerance.
+TOLERANCE, DAMPING = 1e-4, 0.3
+#: Rounds of all messages at once before sweeps in document order take over, and sweeps before their steps shrink.
+ROUNDS_AT_ONCE, FULL_SWEEPS, SHRINK = 25, 30, 0.9
+#: Log potentials of edges lie within this bound.
+STRONGEST = 4.0
+#: Log potential of agreement along a skip, of all labels alike, before any data is seen.
+AGREEMENT = 2.0
 #: Belief from which a label makes a span.
 BELIEF = 0.8
 
@@ -162,32 +169,66 @@ def _labels(nodes: Nodes, spans: list[Span]) -> np.ndarray:
     return out
 
 
+class _Messages:
+    """Log messages along and against all edges of a document, and what each node has gathered."""
+
+    def __init__(self, nodes: Nodes, field: Field):
+        pairs = np.concatenate([nodes.chain, nodes.skip])
+        c, m = len(nodes.chain), len(pairs)
+        self.source = np.concatenate([pairs[:, 0], pairs[:, 1]])
+        self.target = np.concatenate([pairs[:, 1], pairs[:, 0]])
+        self.back = np.concatenate([np.arange(m) + m, np.arange(m)])
+        kind = np.concatenate([np.zeros(c, int), np.ones(m - c, int), np.full(c, 2), np.full(m - c, 3)])
+        self.potential = np.exp(np.stack([field.chain, field.skip, field.chain.T, field.skip.T]))[kind]
+        self.sent = np.zeros((2 * m, len(field.chain)))
+        self.gathered = nodes.features @ field.unary
+        self.m = m
+
+    def update(self, which: np.ndarray, step: float) -> float:
+        """Send these messages anew, as far as ``step``; how far the farthest moved."""
+        out = self.gathered[self.source[which]] - self.sent[self.back[which]]
+        out = np.exp(out - out.max(axis=1, keepdims=True))
+        new = np.log(np.maximum(np.einsum("eo,eon->en", out, self.potential[which]), 1e-300))
+        moved = step * (new - new.max(axis=1, keepdims=True) - self.sent[which])
+        self.sent[which] += moved
+        np.add.at(self.gathered, self.target[which], moved)
+        return float(np.abs(moved).max()) if len(which) else 0.0
+
+    def levels(self, n: int) -> list[np.ndarray]:
+        """Edges by the length of the longest path, in document order, to their first node."""
+        depth = [0] * n
+        first, second = self.source[: self.m].tolist(), self.target[: self.m].tolist()
+        for e in np.argsort(self.target[: self.m], kind="stable").tolist():  # all edges into a node come before those out of it
+            depth[second[e]] = max(depth[second[e]], depth[first[e]] + 1)
+        at = np.array(depth)[self.source[: self.m]]
+        order = np.argsort(at, kind="stable")
+        return np.split(order, np.flatnonzero(np.diff(at[order])) + 1)
+
+
 def beliefs(nodes: Nodes, field: Field) -> np.ndarray:
-    """Label beliefs by loopy sum-product over chain and skip edges, all messages at once, damped."""
+    """Label beliefs by loopy sum-product over chain and skip edges, until the messages settle.
+
+    All messages go at once, damped; most documents settle so. Where they do not,
+    messages go in document order, forwards and backwards, so that a sweep carries
+    evidence over any number of repeats; on a chain or tree two sweeps are exact. Sweeps
+    go on until no message moves; after ``FULL_SWEEPS`` their steps shrink, by ``SHRINK``
+    each time, so that fields whose messages would swing for ever end too.
+    """
     n = len(nodes.starts)
-    unary = nodes.features @ field.unary
-    pairs = np.concatenate([nodes.chain, nodes.skip])
-    if len(pairs):
-        chain, skip, c, m = np.exp(field.chain), np.exp(field.skip), len(nodes.chain), len(pairs)
-        # messages stand in four runs: along chain and skip edges, then against both
-        runs = ((0, c, chain), (c, m, skip), (m, m + c, chain.T), (m + c, 2 * m, skip.T))
-        source = np.concatenate([pairs[:, 0], pairs[:, 1]])
-        target = np.concatenate([pairs[:, 1], pairs[:, 0]])
-        back = np.concatenate([np.arange(m) + m, np.arange(m)])
-        messages = np.zeros((len(source), len(chain)))
-        for _ in range(MESSAGE_ROUNDS):
-            gathered = unary.copy()
-            np.add.at(gathered, target, messages)
-            out = gathered[source] - messages[back]
-            out = np.exp(out - out.max(axis=1, keepdims=True))
-            new = np.log(np.maximum(np.concatenate([out[a:b] @ w for a, b, w in runs]), 1e-300))
-            new -= new.max(axis=1, keepdims=True)
-            new = DAMPING * messages + (1 - DAMPING) * new
-            moved = np.abs(new - messages).max()
-            messages = new
-            if moved < TOLERANCE:
+    messages = _Messages(nodes, field)
+    if messages.m:
+        every, settled = np.arange(2 * messages.m), False
+        for _ in range(ROUNDS_AT_ONCE):
+            settled = messages.update(every, 1 - DAMPING) < TOLERANCE
+            if settled:
                 break
-        np.add.at(unary, target, messages)
+        if not settled:
+            levels, step, sweeps = messages.levels(n), 1.0, 0
+            while not settled:
+                moved = [messages.update(own, step) for own in levels] + [messages.update(own + messages.m, step) for own in reversed(levels)]
+                settled, sweeps = max(moved) < TOLERANCE, sweeps + 1
+                step *= SHRINK if sweeps > FULL_SWEEPS else 1.0
+    unary = messages.gathered
     p = np.exp(unary - unary.max(axis=1, keepdims=True)) if n else unary
     return p / p.sum(axis=1, keepdims=True) if n else p
 
@@ -217,65 +258,93 @@ def all_spans(text: str, field: Field) -> tuple[list[Span], list[Span]]:
     return base, sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
+def _known(nodes: Nodes, y: np.ndarray) -> np.ndarray:
+    """Nodes whose label the base spans tell: those in a span, and those that no skip joins to one.
+
+    A token outside of all spans that repeats one inside may be the same thing written
+    otherwise, so nothing is learned from it.
+    """
+    known = np.ones(len(y), bool)
+    for a, b in ((0, 1), (1, 0)):
+        known[nodes.skip[:, a][(y[nodes.skip[:, a]] == 0) & (y[nodes.skip[:, b]] > 0)]] = False
+    return known
+
+
+def _contexts(nodes: Nodes, y: np.ndarray, labels: int, known: np.ndarray) -> np.ndarray:
+    """Per node, how many neighbours before it, after it and by skips have each label, of those with a known one."""
+    out = np.zeros((len(y), 3 * labels), np.int64)
+    for at, of, base in ((nodes.chain[:, 1], nodes.chain[:, 0], 0), (nodes.chain[:, 0], nodes.chain[:, 1], 1), (nodes.skip[:, 1], nodes.skip[:, 0], 2), (nodes.skip[:, 0], nodes.skip[:, 1], 2)):
+        np.add.at(out, (at[known[of]], base * labels + y[of[known[of]]]), 1)
+    return out
+
+
+def _fit_jointly(x: np.ndarray, context: np.ndarray, y: np.ndarray, count: np.ndarray, labels: int, steps: int = 500) -> Field:
+    """Unary weights and edge potentials together, by pseudo-likelihood: each label given those around it.
+
+    A skip's potential is one weight of agreement, shared by all labels, plus a weight per
+    pair of labels; so what repeated tokens of one kind teach holds for the others too.
+    The former is drawn to ``AGREEMENT``, all other weights to 0.
+    """
+    agreement, apart = AGREEMENT, np.zeros((labels, labels))
+    field = Field(np.zeros((x.shape[1], labels)), np.zeros((labels, labels)), agreement * np.eye(labels))
+    share = count / count.sum()
+    before, after, skips = context[:, :labels], context[:, labels : 2 * labels], context[:, 2 * labels :]
+    near = np.concatenate([x, context], axis=1)
+    rate = 4.0 / max(4.0, float((share * (near**2).sum(axis=1)).sum()))
+    for _ in range(steps):
+        z = x @ field.unary + before @ field.chain + after @ field.chain.T + skips @ field.skip
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        p[np.arange(len(y)), y] -= 1
+        p *= share[:, None]
+        pull = skips.T @ p
+        field.unary -= rate * (x.T @ p + 1e-4 * field.unary)
+        field.chain -= rate * (before.T @ p + (after.T @ p).T + 1e-3 * field.chain)
+        apart -= rate * ((pull + pull.T) / 2 + 1e-3 * apart)
+        agreement -= rate * (np.trace(pull) + 1e-3 * (agreement - AGREEMENT))
+        np.clip(field.chain, -STRONGEST, STRONGEST, out=field.chain)
+        field.skip = np.clip(agreement * np.eye(labels) + apart, -STRONGEST, STRONGEST)
+    return field
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", documents: int = FIT_DOCUMENTS) -> Field:
-    """Fit the field piecewise on at most ``documents`` texts with a base span, from their base spans' labels.
+    """Fit the field on about ``documents`` texts that may hold a base span, from their base spans' labels (see ``_known``).
 
-    Unary weights are multinomial logistic; an edge's log potential is the log ratio of
-    its labels' joint frequency to chance. Counting and gradients' inputs come from
-    tokens alone, never whole texts. Without any base span no label but 0 is likely.
+    All weights are fitted together by pseudo-likelihood: a token's label given its
+    features and the labels of its neighbours and skips. Spark counts tokens alike in
+    features, label and surroundings; only these counts, of the bounded sample, reach
+    the driver. Without any base span no label but 0 is likely.
     """
     n, labels = N_FEATURES, len(KINDS) + 1
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in slices(batch, "text"):
+                rows: dict[tuple, int] = {}
                 for text in cut(batch, lo, hi).column("text").to_pylist():
                     nodes = nodes_of(text)
                     y = _labels(nodes, base_spans(text))
-                    rows = {}
-                    for x, label in zip(nodes.features.tolist(), y.tolist(), strict=True):
-                        shape = "".join("1" if v else "0" for v in x)
-                        rows[shape, label] = rows.get((shape, label), 0) + 1
-                    edges = [(kind, int(y[a]) * labels + int(y[b])) for kind, pairs in (("chain", nodes.chain), ("skip", nodes.skip)) for a, b in pairs.tolist()]
-                    for kind, both in edges:
-                        rows[kind, both] = rows.get((kind, both), 0) + 1
-                    if rows:
-                        (what, label), count = zip(*rows.keys(), strict=True), rows.values()
-                        yield pa.RecordBatch.from_arrays([pa.array(what, pa.string()), pa.array(label, pa.int32()), pa.array(list(count), pa.int64())], ["what", "label", "n"])
+                    known = _known(nodes, y)
+                    for x, context, label in zip(nodes.features[known].tolist(), _contexts(nodes, y, labels, known)[known].tolist(), y[known].tolist(), strict=True):
+                        key = "".join("1" if v else "0" for v in x), " ".join(map(str, context)), label
+                        rows[key] = rows.get(key, 0) + 1
+                if rows:
+                    what, context, label = zip(*rows.keys(), strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(what, pa.string()), pa.array(context, pa.string()), pa.array(label, pa.int32()), pa.array(list(rows.values()), pa.int64())], ["what", "context", "label", "n"])
 
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     marked = rows.where(r"text is not null and (text like '%@%' or text rlike '\\+[0-9]|[0-9][ .-]?[0-9][ .-]?[0-9][ .-]?[0-9][ .-]?[0-9]')")
     total = marked.count()
-    rate = min(1.0, documents / max(1, total))
-    sample = marked.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 20)) < rate * (1 << 20)).select("text")
-    found = sample.mapInArrow(extract, "what string, label int, n long").groupBy("what", "label").agg(F.sum("n").alias("n")).toArrow()  # shapes of tokens, not tokens
-    what, label, count = (found.column(c).to_pylist() for c in ("what", "label", "n"))
-    field = Field(np.zeros((n, labels)), np.zeros((labels, labels)), np.zeros((labels, labels)))
-    field.unary[0, 0] = 6.0
-    at = [k for k, w in enumerate(what) if len(w) == n]
-    if at:
-        order = sorted(at, key=lambda k: (what[k], label[k]))
-        x = np.array([[float(c) for c in what[k]] for k in order])
-        y, c = np.array([label[k] for k in order]), np.array([count[k] for k in order], float)
-        c /= c.sum()
-        w = field.unary
-        for _ in range(500):
-            z = x @ w
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(y)), y] -= 1
-            w -= 2.0 * (x.T @ (p * c[:, None]) + 1e-4 * w)
-    for kind, out in (("chain", field.chain), ("skip", field.skip)):
-        joint = np.full((labels, labels), 0.5)
-        for w, pair, k in zip(what, label, count, strict=True):
-            if w == kind:
-                joint[pair // labels, pair % labels] += k
-        joint += joint.T if kind == "skip" else 0
-        joint /= joint.sum()
-        out += np.log(joint / np.outer(joint.sum(axis=1), joint.sum(axis=0)))
-    np.clip(field.chain, -4, 4, out=field.chain)
-    np.clip(field.skip, -4, 4, out=field.skip)
-    return field
+    among = F.shiftrightunsigned(F.xxhash64("id", "text", F.lit(7)), 1) / F.lit(2.0**63)  # uniform in 0 to 1, however many texts there are
+    sample = marked.where(among < documents / max(1, total)).select("text")
+    found = sample.mapInArrow(extract, "what string, context string, label int, n long").groupBy("what", "context", "label").agg(F.sum("n").alias("n")).toArrow()
+    kinds = sorted(zip(*(found.column(c).to_pylist() for c in ("what", "context", "label", "n")), strict=True))
+    if not kinds:
+        field = Field(np.zeros((n, labels)), np.zeros((labels, labels)), AGREEMENT * np.eye(labels))
+        field.unary[0, 0] = 6.0
+        return field
+    what, context, label, count = zip(*kinds, strict=True)
+    return _fit_jointly(np.array([[float(c) for c in w] for w in what]), np.array([[float(c) for c in w.split()] for w in context]), np.array(label), np.array(count, float), labels)
 
 
 def _joined(spans: list[Span]) -> str:

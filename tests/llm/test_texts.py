@@ -1,3 +1,4 @@
+import itertools
 import hashlib
 import random
 import re
@@ -320,6 +321,67 @@ def test_beliefs_are_exact_on_a_chain():
     assert np.allclose(pii_crf.beliefs(nodes, field), total / total.sum(axis=1, keepdims=True), atol=1e-3)
 
 
+def exact(nodes, field):
+    labels, n = len(field.chain), len(nodes.starts)
+    unary, total = nodes.features @ field.unary, np.zeros((n, labels))
+    for y in itertools.product(range(labels), repeat=n):
+        w = np.exp(sum(unary[j, y[j]] for j in range(n)) + sum(field.chain[y[a], y[b]] for a, b in nodes.chain) + sum(field.skip[y[a], y[b]] for a, b in nodes.skip))
+        for j in range(n):
+            total[j, y[j]] += w
+    return total / total.sum(axis=1, keepdims=True)
+
+
+def test_evidence_at_one_end_of_two_hundred_repeats_reaches_the_other():
+    n, labels = 200, 5
+    field = pii_crf.Field(np.zeros((pii_crf.N_FEATURES, labels)), np.zeros((labels, labels)), 8.0 * np.eye(labels))
+    field.unary[1, 4] = 6.0
+    features = np.zeros((n, pii_crf.N_FEATURES))
+    features[0, 1] = 1.0
+    skip = np.array([[k, k + 1] for k in range(n - 1)])
+    got = pii_crf.beliefs(pii_crf.Nodes(np.arange(n), np.arange(n) + 1, features, np.zeros((0, 2), np.int64), skip), field)
+    # exact on a chain: the first belief carried on by the transition, as later nodes have no evidence of their own
+    step = np.exp(field.skip) / np.exp(field.skip).sum(axis=1, keepdims=True)
+    want = np.exp(features[0] @ field.unary)
+    want /= want.sum()
+    for k in range(n):
+        assert np.allclose(got[k], want, atol=1e-3), k
+        want = want @ step
+    assert got[199, 4] > 0.7
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_beliefs_on_small_graphs_with_cycles_are_near_the_exact_ones(seed):
+    rng = np.random.default_rng(seed)
+    labels, n = 3, 7
+    skip = rng.normal(size=(labels, labels)) * 0.5
+    field = pii_crf.Field(rng.normal(size=(pii_crf.N_FEATURES, labels)), rng.normal(size=(labels, labels)) * 0.7, skip + skip.T)
+    nodes = pii_crf.Nodes(np.arange(n), np.arange(n) + 1, rng.random((n, pii_crf.N_FEATURES)), np.array([[k, k + 1] for k in range(n - 1)]), np.array([[0, 3], [1, 5], [2, 6]]))
+    assert np.abs(pii_crf.beliefs(nodes, field) - exact(nodes, field)).max() < 0.08
+
+
+def test_messages_that_would_swing_for_ever_end():
+    labels, n = 5, 12
+    apart = 4.0 - 8.0 * np.eye(labels)
+    field = pii_crf.Field(np.random.default_rng(1).normal(size=(pii_crf.N_FEATURES, labels)), apart, apart)
+    every = np.array(list(itertools.combinations(range(n), 2)))
+    p = pii_crf.beliefs(pii_crf.Nodes(np.arange(n), np.arange(n) + 1, np.random.default_rng(2).random((n, pii_crf.N_FEATURES)), np.zeros((0, 2), np.int64), every), field)
+    assert np.isfinite(p).all() and np.allclose(p.sum(axis=1), 1)
+
+
+def test_potentials_are_fitted_together():
+    """Labels drawn from a known field: what decides is found in the edges, not in features that say nothing."""
+    rng = np.random.default_rng(4)
+    y = [0]
+    for _ in range(4000):
+        y.append(int(y[-1] if rng.random() < 0.95 else rng.integers(0, 3)))
+    y, n = np.array(y), len(y)
+    chain = np.stack([np.arange(n - 1), np.arange(1, n)], axis=1)
+    nodes = pii_crf.Nodes(np.arange(n), np.arange(n) + 1, np.ones((n, 1)), chain, np.zeros((0, 2), np.int64))
+    field = pii_crf._fit_jointly(nodes.features, pii_crf._contexts(nodes, y, 3, np.ones(n, bool)).astype(float), y, np.ones(n), 3)
+    agree = np.diag(field.chain).mean() - field.chain[~np.eye(3, dtype=bool)].mean()
+    assert agree > 1.0 and np.allclose(field.skip, pii_crf.AGREEMENT * np.eye(3))
+
+
 def test_personal_data_edges(spark):
     field = pii_crf.fit(frame(spark, pii_docs()))
     assert [(r.base, r.spans) for r in pii_crf.find_pii(frame(spark, EDGE), field).collect()] == [("", "")] * len(EDGE)
