@@ -23,14 +23,19 @@ DOCUMENT_BYTES = 65000
 #: Field types: bytes each and the struct code (fixed values).
 FIELDS = {1: (1, "B"), 2: (1, "B"), 3: (2, "H"), 4: (4, "I"), 6: (1, "b"), 7: (1, "B"), 8: (2, "h"), 9: (4, "i")}
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
+#: The most bytes that a stored byte can stand for: runs of 128 in 2 bytes, LZW entries of under 4096 in 9 bits or more, deflate's longest matches.
+EXPANSION = {NONE: 1, PACKBITS: 64, LZW: 3641, DEFLATE: 1032, OLD_DEFLATE: 1032}
+#: Bytes that a binary column holds.
+MOST_BYTES = 2**31 - 16
 SIDE = 64
 PAGE_ROWS = 4096
 STRIP = 1024
 
 
-def unpack_bits(data: bytes) -> bytes:
+def unpack_bits(data: bytes, need: int = MOST_BYTES) -> bytes:
+    """Runs and literals, until ``need`` bytes are there."""
     out, k = bytearray(), 0
-    while k < len(data):
+    while k < len(data) and len(out) < need:
         n = data[k]
         if n < 128:
             out += data[k + 1 : k + 2 + n]
@@ -43,11 +48,13 @@ def unpack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def unpack_lzw(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, high bit first; 256 clears the table, 257 ends; widths grow one code early."""
+def unpack_lzw(data: bytes, need: int = MOST_BYTES) -> bytes:
+    """Codes of 9 to 12 bits, high bit first; 256 clears the table, 257 ends; widths grow one code early; ends at ``need`` bytes."""
     table: list[bytes] = []
-    out, held, bits, size, last = [], 0, 0, 9, b""
+    out, held, bits, size, last, got = [], 0, 0, 9, b"", 0
     for byte in data:
+        if got >= need:
+            break
         held, bits = (held << 8 | byte) & 0xFFFFFF, bits + 8
         if bits < size:
             continue
@@ -65,6 +72,7 @@ def unpack_lzw(data: bytes) -> bytes:
         else:
             raise ValueError("LZW code out of range")
         out.append(entry)
+        got += len(entry)
         if last:
             table.append(last + entry[:1])
         last = entry
@@ -72,16 +80,15 @@ def unpack_lzw(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def _unpack(data: bytes, how: int) -> bytes:
+def _unpack(data: bytes, how: int, need: int) -> bytes:
+    """The first ``need`` bytes of what is stored; no more is ever unpacked."""
     if how == NONE:
         return data
     if how == LZW:
-        return unpack_lzw(data)
+        return unpack_lzw(data, need)
     if how in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
-    if how == PACKBITS:
-        return unpack_bits(data)
-    raise ValueError(f"compression {how}")
+        return zlib.decompressobj().decompress(data, need)
+    return unpack_bits(data, need)
 
 
 @dataclass
@@ -93,8 +100,8 @@ class Page:
 
 
 def _block(data: bytes, rows: int, columns: int, samples: int, kind: np.dtype, predictor: int, how: int) -> np.ndarray:
-    raw = _unpack(data, how)
     need = rows * columns * samples * kind.itemsize
+    raw = _unpack(data, how, need)
     if len(raw) < need:
         raise ValueError("strip or tile is too short")
     block = np.frombuffer(raw[:need], kind).reshape(rows, columns, samples)
@@ -106,7 +113,12 @@ def _block(data: bytes, rows: int, columns: int, samples: int, kind: np.dtype, p
 
 
 def read_pages(data: bytes) -> Iterator[Page]:
-    """Walk the image directories of a file; 8- and 16-bit samples, strips or tiles, chunky or planar."""
+    """Walk the image directories of a file; 8- and 16-bit samples, strips or tiles, chunky or planar.
+
+    Stated sizes are not trusted: an image without pixels, one larger than a binary column
+    holds, and one that its stored bytes cannot unpack to, are errors before any memory
+    is taken; unpacking stops at the size stated.
+    """
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or struct.unpack(order + "H", data[2:4])[0] != 42:
         raise ValueError("not a TIFF file")
@@ -131,16 +143,30 @@ def read_pages(data: bytes) -> Iterator[Page]:
         width, height, samples, how, predictor = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1), one(COMPRESSION, 1), one(PREDICTOR, 1)
         if one(BITS, 1) not in (8, 16):
             raise ValueError(f"{one(BITS, 1)} bits a sample")
+        if how not in EXPANSION:
+            raise ValueError(f"compression {how}")
+        if min(width, height, samples) < 1:
+            raise ValueError(f"an image of {width} by {height} with {samples} samples")
         kind = np.dtype(f"{order}u{one(BITS, 1) // 8}")
         planes, each = (samples, 1) if one(PLANAR, 1) == 2 else (1, samples)
-        pixels = np.zeros((height, width, samples), kind.newbyteorder("="))
         if TILE_OFFSETS in tags:
             high, wide, offsets, sizes = one(TILE_HEIGHT, 0), one(TILE_WIDTH, 0), tags[TILE_OFFSETS], tags[TILE_BYTES]
         else:
-            high, wide, offsets, sizes = min(one(STRIP_ROWS, height), height) or 1, width, tags.get(STRIP_OFFSETS, ()), tags.get(STRIP_BYTES, ())
-        across, down = -(-width // wide) if wide else 0, -(-height // high)
-        if len(offsets) < across * down * planes:
+            high, wide, offsets, sizes = min(one(STRIP_ROWS, height), height), width, tags.get(STRIP_OFFSETS, ()), tags.get(STRIP_BYTES, ())
+        if min(high, wide) < 1:
+            raise ValueError("strips or tiles without rows or columns")
+        across, down = -(-width // wide), -(-height // high)
+        blocks = across * down * planes
+        if min(len(offsets), len(sizes)) < blocks:
             raise ValueError("strips or tiles are missing")
+        if min(*offsets, *sizes, 0) < 0:
+            raise ValueError("a strip or tile before the file")
+        # before anything is allocated: what the file states must fit into a column, and be within reach of what it stores
+        stored = sum(max(0, min(sizes[k], len(data) - offsets[k])) for k in range(blocks))
+        need = width * height * samples * kind.itemsize
+        if need > MOST_BYTES or need > stored * EXPANSION[how] or high * wide * each * kind.itemsize > MOST_BYTES:
+            raise ValueError(f"an image of {width} by {height} in {stored} bytes")
+        pixels = np.zeros((height, width, samples), kind.newbyteorder("="))
         for k in range(across * down * planes):
             plane, rest = divmod(k, across * down)
             top, left = rest // across * high, rest % across * wide
@@ -220,7 +246,7 @@ def decode_pages(media: DataFrame, id_col: str = "doc_id", media_col: str = "med
                             px = found.pixels
                             out.append((page, px.shape[1], px.shape[0], px.shape[2], px.itemsize * 8, px.astype(px.dtype.newbyteorder("<")).tobytes(), None))
                             row.append(k)
-                    except (ValueError, KeyError, IndexError, struct.error, zlib.error) as fault:
+                    except (ValueError, KeyError, IndexError, OverflowError, MemoryError, struct.error, zlib.error) as fault:
                         out.append((None, None, None, None, None, None, str(fault) or type(fault).__name__))
                         row.append(k)
                 columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)]

@@ -130,6 +130,29 @@ def test_pages_of_all_layouts(how, order, kind, predictor, tiled):
     assert (page.pixels == pixels).all()
 
 
+@pytest.mark.parametrize("how", PACKERS)
+@pytest.mark.parametrize("predictor", [1, 2])
+def test_planar_pages(how, predictor):
+    pixels = np.random.default_rng(3).integers(0, 250, (21, 30, 3)).astype(np.uint8)
+    planes = np.diff(pixels, axis=1, prepend=np.zeros_like(pixels[:, :1])).astype(np.uint8) if predictor == 2 else pixels
+    blocks = [PACKERS[how](planes[top : top + 8, :, k].tobytes()) for k in range(3) for top in range(0, 21, 8)]
+    page, = tiff.read_pages(build("<", blocks, {tiff.WIDTH: 30, tiff.HEIGHT: 21, tiff.BITS: 8, tiff.COMPRESSION: how, tiff.SAMPLES: 3, tiff.PREDICTOR: predictor, tiff.STRIP_ROWS: 8, tiff.PLANAR: 2}))
+    assert (page.pixels == pixels).all()
+
+
+def test_stated_sizes_are_not_trusted(spark):
+    size = lambda w, h, how, strip, **more: build("<", [strip], {tiff.WIDTH: w, tiff.HEIGHT: h, tiff.BITS: 8, tiff.COMPRESSION: how, tiff.SAMPLES: 1, tiff.STRIP_ROWS: max(h, 1)} | more)
+    files = [
+        size(2**31, 2**31, tiff.NONE, b"ab"), size(2**31 - 1, 1, tiff.DEFLATE, zlib.compress(b"ab")), size(40_000, 40_000, tiff.LZW, pack_lzw(b"ab")),
+        size(0, 0, tiff.NONE, b""), size(4, 0, tiff.NONE, b"abcd"), size(70_000, 70_000, tiff.DEFLATE, zlib.compress(bytes(1 << 24))), size(4, 4, 99, b"abcd" * 4),
+    ]
+    good = size(4, 1, tiff.DEFLATE, zlib.compress(bytes(1 << 24)))  # holds far more than it states: only what is stated is unpacked
+    media = spark.createDataFrame([(k, bytearray(f)) for k, f in enumerate([*files, good])], "doc_id long, media binary")
+    got = {r.doc_id: r for r in tiff.decode_pages(media).collect()}
+    assert all(got[k].page is None and got[k].error for k in range(len(files)))
+    assert got[len(files)].pixels == bytes(4) and got[len(files)].error is None
+
+
 def test_media_of_texts(spark):
     long = "ab " * 200_000
     rows = EDGE + [(8, long), (9, "a" * 64), (10, "é" * 32)]
