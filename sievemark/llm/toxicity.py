@@ -22,8 +22,8 @@ from sievemark.llm.arrow_text import cut, slices
 from sievemark.session import materialize
 
 #: Labelled texts of either class (which weigh alike) from which the model is fitted, at most; the choice is by a hash of the id.
-FIT_TOXIC, FIT_NEUTRAL = 3_000, 9_000
-L1, SWAP_PENALTY, STEPS = 2e-4, 1.0, 300
+FIT_TOXIC, FIT_NEUTRAL = 2_000, 4_000
+L1, SWAP_PENALTY, STEPS = 3e-4, 1.0, 300
 #: Features taken into the working set at once; the search ends only when no feature outside of it would gain.
 ENTERING = 4096
 #: Neutral labelled sentences, the first by a hash, into which names go that no labelled sentence holds.
@@ -111,17 +111,24 @@ class ToxicityModel:
 
 @dataclass
 class _Lists:
-    """Feature lists, one after the other, and the list that each entry belongs to."""
+    """Feature lists, one after the other, and the list that each entry belongs to; read in runs, so that temporary arrays are small."""
 
     flat: np.ndarray
     owner: np.ndarray
     n: int
+    RUN = 1 << 20
 
     def sums(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.owner, w[self.flat], self.n)
+        out = np.zeros(self.n)
+        for k in range(0, len(self.flat), self.RUN):
+            out += np.bincount(self.owner[k : k + self.RUN], w[self.flat[k : k + self.RUN]], self.n)
+        return out
 
     def spread(self, of: np.ndarray, size: int) -> np.ndarray:
-        return np.bincount(self.flat, of[self.owner], size)
+        out = np.zeros(size)
+        for k in range(0, len(self.flat), self.RUN):
+            out += np.bincount(self.flat[k : k + self.RUN], of[self.owner[k : k + self.RUN]], size)
+        return out
 
     def only(self, active: np.ndarray, place: np.ndarray) -> _Lists:
         at = active[self.flat]
@@ -255,11 +262,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 found = [sorted(place[f] for f in features if f in place) for features in part.column("features").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), pa.array(found, pa.list_(pa.int32()))], ["id", "y", "features"])
 
-    held = rows.mapInArrow(index, "id string, y int, features array<int>").orderBy("id", "y").toArrow().combine_chunks()  # the bounded sample
-    features = pa.chunked_array(held.column("features")).combine_chunks() if held.num_rows else pa.array([], pa.list_(pa.int32()))
-    lengths = np.diff(np.asarray(features.offsets)) if len(features) else np.zeros(0, int)
-    x = _Lists(np.asarray(features.flatten()), np.repeat(np.arange(len(features), dtype=np.int32), lengths), len(features))
-    y = np.asarray(held.column("y")).astype(float)
+    held = rows.mapInArrow(index, "id string, y int, features array<int>").orderBy("id", "y").select("y", "features").toArrow()  # the bounded sample
+    features, y = held.column("features"), np.asarray(held.column("y")).astype(float)
+    lengths = np.concatenate([np.zeros(0, int), *(pa.compute.list_value_length(c) for c in features.chunks)]).astype(int)
+    x = _Lists(np.concatenate([np.zeros(0, np.int32), *(np.asarray(c.flatten()) for c in features.chunks)]), np.repeat(np.arange(len(lengths), dtype=np.int32), lengths), len(lengths))
+    del held, features
     placed = sorted((tuple(place[f] for f in out if f in place), tuple(place[f] for f in into if f in place), k) for out, into, k in pairs)
     placed = [p for p in placed if p[0] or p[1]]  # the others' change is 0
     lost, gained = (_lists([np.array(p[side], np.int32) for p in placed]) for side in (0, 1))
