@@ -20,12 +20,11 @@ from pyspark.sql import functions as F
 from sievemark.llm.arrow_text import cut, slices
 from sievemark.session import materialize
 
-#: Labelled texts per language from which the distributions are fitted, about; the choice is by a hash of the id.
+#: Labelled texts per language from which the distributions are fitted, about; the choice is by a hash of id and text.
 FIT_TEXTS = 1200
 ROUNDS = 3
-LONGEST = 12
-#: Characters of a word in fitting; a longer one is fitted in parts of this length, so that no sum leaves the range of a double.
-FIT_WORD = 32
+#: Languages that the model can hold, each a column of the vocabulary's length; more are refused, not dropped.
+MOST_LANGUAGES = 2_000
 #: Probability of a character outside the vocabulary, and of a piece that a language has not shown.
 UNKNOWN, FLOOR = 1e-8, 1e-9
 SPAN = 400_000
@@ -40,6 +39,7 @@ class Vocabulary:
     hashes: np.ndarray
     order: np.ndarray
     size: int
+    longest: int
 
 
 def _word(word: str) -> str:
@@ -67,7 +67,7 @@ def vocabulary(path: str) -> Vocabulary:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(k) for k in range(model.get_piece_size()) if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k))}
-    pieces = sorted(p for p in {p.lower() for p in pieces} | {"▁"} if len(p) <= LONGEST)
+    pieces = sorted({p.lower() for p in pieces} | {"▁"})
     hashes = np.zeros(len(pieces), _U)
     for k, piece in enumerate(pieces):
         h = 0
@@ -75,7 +75,7 @@ def vocabulary(path: str) -> Vocabulary:
             h = (h * int(_BASE) + c) & (2**64 - 1)
         hashes[k] = h ^ len(piece)
     order = np.argsort(hashes, kind="stable")
-    return Vocabulary(hashes[order], order, len(pieces))
+    return Vocabulary(hashes[order], order, len(pieces), max(map(len, pieces)))
 
 
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +93,7 @@ def _matches(codes: np.ndarray, vocab: Vocabulary) -> dict[tuple[int, int], np.n
     found = {}
     for start in range(codes.shape[1]):
         h = np.zeros(len(codes), _U)
-        for n in range(1, min(LONGEST, codes.shape[1] - start) + 1):
+        for n in range(1, min(vocab.longest, codes.shape[1] - start) + 1):
             h = h * _BASE + chars[:, start + n - 1]
             key = h ^ _U(n)
             at = np.searchsorted(vocab.hashes, key)
@@ -107,18 +107,18 @@ def _matches(codes: np.ndarray, vocab: Vocabulary) -> dict[tuple[int, int], np.n
     return found
 
 
-def _forward(codes: np.ndarray, found: dict, probs: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Forward sums after each character, scaled to stay in range, and the logs of the scales."""
-    alpha, logs = [np.ones((len(codes), probs.shape[1]))], np.zeros((codes.shape[1] + 1, len(codes)))
+def _forward(codes: np.ndarray, found: dict, of, width: int, longest: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Forward sums after each character, scaled to stay in range, and the logs of the scales; ``of(piece, rows)`` are probabilities."""
+    alpha, logs = [np.ones((len(codes), width))], np.zeros((codes.shape[1] + 1, len(codes)))
     for end in range(1, codes.shape[1] + 1):
         now = np.zeros_like(alpha[0])
-        for n in range(1, min(LONGEST, end) + 1):
+        for n in range(1, min(longest, end) + 1):
             piece = found.get((end, n))
             if piece is None:
                 continue
             at = np.flatnonzero(piece >= 0)
             shift = np.exp(np.maximum(logs[end - n, at] - logs[end - 1, at], -700))[:, None]
-            now[at] += alpha[end - n][at] * shift * probs[piece[at]]
+            now[at] += alpha[end - n][at] * shift * of(piece[at], at)
         peak = now.max(axis=1)
         live = peak > 0
         now[live] /= peak[live, None]
@@ -127,6 +127,25 @@ def _forward(codes: np.ndarray, found: dict, probs: np.ndarray) -> tuple[list[np
     return alpha, logs
 
 
+def _backward(codes: np.ndarray, length: np.ndarray, found: dict, of, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Backward sums from each place to the word's end, and the logs of their scales."""
+    places = codes.shape[1]
+    beta, logs = np.zeros((places + 1, len(codes))), np.zeros((places + 1, len(codes)))
+    beta[length, np.arange(len(codes))] = 1
+    for start in range(places - 1, -1, -1):
+        now = np.zeros(len(codes))
+        for n in range(1, min(longest, places - start) + 1):
+            piece = found.get((start + n, n))
+            if piece is None:
+                continue
+            at = np.flatnonzero(piece >= 0)
+            now[at] += beta[start + n, at] * np.exp(np.maximum(logs[start + n, at] - logs[start + 1, at], -700)) * of(piece[at], at)[:, 0]
+        live = now > 0
+        beta[start, live] = 1.0
+        logs[start] = np.where(live, logs[start + 1] + np.log(np.where(live, now, 1)), logs[start + 1])
+    return beta, logs
+
+
 def _score(words: list[str], vocab: Vocabulary, probs: np.ndarray) -> np.ndarray:
     """Log probability of each word in each language, words of like length together."""
     out = np.zeros((len(words), probs.shape[1]))
@@ -137,7 +156,7 @@ def _score(words: list[str], vocab: Vocabulary, probs: np.ndarray) -> np.ndarray
         hi = lo + max(1, min(4096, SPAN // (longest + 1)))
         own = order[lo:hi]
         codes, length = _codes([words[k] for k in own])
-        alpha, logs = _forward(codes, _matches(codes, vocab), probs)
+        alpha, logs = _forward(codes, _matches(codes, vocab), lambda piece, _: probs[piece], probs.shape[1], vocab.longest)
         rows = np.arange(len(own))
         final = np.stack(alpha)[length, rows]
         out[own] = np.log(np.maximum(final, 1e-300)) + logs[length, rows][:, None]
@@ -153,28 +172,22 @@ def _expected(path: str, probs: np.ndarray):
         total = np.zeros((probs.shape[1], vocab.size + 1))
         for batch in batches:
             langs, counts, words = np.asarray(batch.column("k")), np.asarray(batch.column("n")).astype(float), batch.column("word").to_pylist()
-            order = np.argsort([len(w) for w in words], kind="stable")
-            for lo in range(0, len(order), 2048):
-                own = order[lo : lo + 2048]
+            order, lo = np.argsort([len(w) for w in words], kind="stable"), 0
+            while lo < len(order):
+                longest = len(words[order[min(lo + 2048, len(order)) - 1]])
+                own = order[lo : lo + max(1, min(2048, SPAN // (longest + 1)))]
+                lo += len(own)
                 codes, length = _codes([words[k] for k in own])
                 found, lang, rows = _matches(codes, vocab), langs[own], np.arange(len(own))
-                alpha = np.zeros((codes.shape[1] + 1, len(own)))
-                beta = np.zeros_like(alpha)
-                alpha[0], beta[length, rows] = 1, 1
-                for end in range(1, codes.shape[1] + 1):
-                    for n in range(1, min(LONGEST, end) + 1):
-                        if (piece := found.get((end, n))) is not None:
-                            at = np.flatnonzero(piece >= 0)
-                            alpha[end, at] += alpha[end - n, at] * probs[piece[at], lang[at]]
-                for start in range(codes.shape[1] - 1, -1, -1):
-                    for n in range(1, min(LONGEST, codes.shape[1] - start) + 1):
-                        if (piece := found.get((start + n, n))) is not None:
-                            at = np.flatnonzero(piece >= 0)
-                            beta[start, at] += beta[start + n, at] * probs[piece[at], lang[at]]
-                whole = alpha[length, rows]
+                of = lambda piece, at: probs[piece, lang[at]][:, None]  # noqa: B023, E731
+                alpha, up = _forward(codes, found, of, 1, vocab.longest)
+                beta, down = _backward(codes, length, found, of, vocab.longest)
+                alpha = np.stack(alpha)[:, :, 0]
+                whole, scale = alpha[length, rows], up[length, rows]
                 for (end, n), piece in found.items():
-                    at = np.flatnonzero((piece >= 0) & (whole > 0))
-                    use = alpha[end - n, at] * probs[piece[at], lang[at]] * beta[end, at] / whole[at] * counts[own][at]
+                    at = np.flatnonzero((piece >= 0) & (whole > 0) & (end <= length))
+                    log = up[end - n, at] + down[end, at] - scale[at]
+                    use = alpha[end - n, at] * probs[piece[at], lang[at]] * beta[end, at] / whole[at] * np.exp(np.clip(log, -700, 700)) * counts[own][at]
                     np.add.at(total, (lang[at], piece[at]), use)
         k, piece = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(piece, pa.int32()), pa.array(total[k, piece], pa.float64())], ["k", "piece", "uses"])
@@ -201,9 +214,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own: dict[str, int] = {}
                 for w in text.split():
                     if w := _word(w):
-                        for at in range(0, len(w), FIT_WORD):
-                            piece = w[at : at + FIT_WORD]
-                            own[piece] = own.get(piece, 0) + 1
+                        own[w] = own.get(w, 0) + 1
                 k += [lang] * len(own)
                 words += own.keys()
                 counts += own.values()
@@ -213,19 +224,21 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(labelled: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = FIT_TEXTS, rounds: int = ROUNDS) -> LanguageModel:
     """Fit piece probabilities per language from about ``per_language`` texts of each, and priors from all.
 
-    The sample is every text whose id's hash falls under a rate that depends on the
-    language's count alone. Word counts, and expected piece counts in each round, are
+    The sample is every text whose hash, of id and text, falls under a rate that depends
+    on the language's count alone. Word counts, and expected piece counts in each round, are
     summed by Spark; what comes to the driver is bounded by vocabulary and languages.
     """
     rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     langs = sorted(counts)
     vocab = vocabulary(path)
     if not langs:
         return LanguageModel([], np.zeros(0), np.zeros((vocab.size + 1, 0)), path)
     spark = labelled.sparkSession
     chosen = spark.createDataFrame([(g, k, min(1.0, per_language / counts[g])) for k, g in enumerate(langs)], "lang string, k int, rate double")
-    sample = rows.join(F.broadcast(chosen), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.col("rate") * (1 << 20))
+    sample = rows.join(F.broadcast(chosen), "lang").where(F.shiftrightunsigned(F.xxhash64("id", "text"), 1) / F.lit(2.0**63) < F.col("rate"))
     words = sample.select("k", "text").mapInArrow(_words, "k int, word string, n long")
     words = materialize(words.groupBy("k", "word").agg(F.sum("n").alias("n")), "lang-words")
     probs = np.full((vocab.size + 1, len(langs)), 1.0 / vocab.size)

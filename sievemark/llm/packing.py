@@ -113,8 +113,8 @@ def _dominates(one: list[int], other: list[int], tries: int = 200) -> bool:
     return len(items) < 200 and put(0)
 
 
-def _fillings(counts: list[int], room: int, nodes: int) -> list[list[int]]:
-    """The undominated fillings of ``room``, least waste first; of those met in ``nodes`` steps."""
+def _fillings(counts: list[int], room: int, nodes: int) -> tuple[list[list[int]], bool]:
+    """The undominated fillings of ``room``, least waste first; of those met in ``nodes`` steps, and whether these were all."""
     below = [0] * (room + 1)
     for r in range(1, room + 1):
         below[r] = r if counts[r] else below[r - 1]
@@ -145,7 +145,7 @@ def _fillings(counts: list[int], room: int, nodes: int) -> list[list[int]]:
     for _, lengths in sorted(found, key=lambda x: x[0]):
         if not any(_dominates(x, lengths) for x in kept[:16]):
             kept.append(lengths)
-    return kept
+    return kept, left > 0
 
 
 def _bound(counts: list[int], size: int) -> int:
@@ -161,6 +161,11 @@ def _bound(counts: list[int], size: int) -> int:
 
 
 def plan_sequences(histogram: dict[int, int], size: int, nodes: int = 400, branches: int = 500) -> Plan:
+    """The plan of ``search_plan``."""
+    return search_plan(histogram, size, nodes, branches)[0]
+
+
+def search_plan(histogram: dict[int, int], size: int, nodes: int = 400, branches: int = 500) -> tuple[Plan, int, bool]:
     """Pack by bin completion: branch and bound over the fillings of the largest length left.
 
     The best-fit plan is the first incumbent. A branch takes one filling as often as its
@@ -170,26 +175,29 @@ def plan_sequences(histogram: dict[int, int], size: int, nodes: int = 400, branc
     when the incumbent meets the lower bound of the whole.
 
     The problem is NP-hard, so the search is bounded: ``nodes`` steps per filling and
-    ``branches`` steps after the first descent, which is never cut. Within these the plan
-    is optimal; beyond, it is the best one found.
+    ``branches`` steps after the first descent, which is never cut. Returns the plan, the
+    lower bound of the whole, and whether the plan is proven to be optimal: it meets the
+    bound, or the search ended within its limits. Otherwise it is the best one found.
     """
     counts = [0] * (size + 1)
     for length, n in histogram.items():
         counts[length] = int(n)
     best = _best_fit(counts, size)
-    fewest, bound = sum(k for k, _ in best), _bound(counts, size)
+    fewest, bound, whole = sum(k for k, _ in best), _bound(counts, size), True
 
     def most(lengths: list[int]) -> int:
         return min(counts[x] // n for x, n in Counter(lengths).items())
 
     def choices(length: int) -> Iterator[tuple[int, list[int]]]:
+        nonlocal whole
         counts[length] -= 1
         first = [length, *_completion(counts, size - length, nodes)]
         counts[length] += 1
         yield most(first), first
         counts[length] -= 1
-        others = [[length, *x] for x in _fillings(counts, size - length, nodes)]
+        others, every = _fillings(counts, size - length, nodes)
         counts[length] += 1
+        whole, others = whole and every, [[length, *x] for x in others]
         fillings = [(most(x), x) for x in [first, *(x for x in others if x != first)]]
         for less in range(max(n for n, _ in fillings)):
             for n, lengths in fillings:
@@ -217,6 +225,7 @@ def plan_sequences(histogram: dict[int, int], size: int, nodes: int = 400, branc
             if not taken:
                 path.pop()
         if not taken or branches <= 0:
+            whole = whole and not taken
             break
         times, lengths = taken
         for x in lengths:
@@ -224,7 +233,7 @@ def plan_sequences(histogram: dict[int, int], size: int, nodes: int = 400, branc
         plan.append(taken)
         used, top = used + times, size
         branches -= descended
-    return best
+    return best, bound, whole or fewest == bound
 
 
 def _pieces(path: str, size: int, end_id: int):

@@ -14,8 +14,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from sievemark.llm.arrow_text import cut, slices
 from sievemark.llm.piece_ids import encoder
@@ -24,7 +25,7 @@ from sievemark.session import width
 _U = np.uint64
 #: Documents of a shard, and bytes of their ids, at most (a longer document has a shard to itself).
 PER_SHARD, SHARD_BYTES = 5_000, 32 << 20
-SHARD = "range int, nth int, n_ids long, item int, keys binary, nulls binary, displacements binary, fingerprints binary, first binary, starts binary, payload binary"
+SHARD = "range int, nth int, n_ids long, item int, least long, greatest long, keys binary, nulls binary, displacements binary, fingerprints binary, first binary, starts binary, payload binary"
 
 
 def _hash(keys: np.ndarray, nulls: np.ndarray, salt: int) -> np.ndarray:
@@ -92,6 +93,7 @@ class Shard:
         self.first = np.frombuffer(row["first"], np.int64).reshape(-1, 2)
         self.starts = np.frombuffer(row["starts"], np.int64)
         self.ids = np.frombuffer(row["payload"], f"<u{row['item']}")
+        self.keys = np.frombuffer(row.get("keys") or b"", np.int64)
 
     def find(self, keys: np.ndarray, nulls: np.ndarray) -> np.ndarray:
         """Per key the slot that holds it, or -1."""
@@ -102,6 +104,11 @@ class Shard:
         same = self.fingerprints[slots] == (_hash(keys, nulls, 3) & _U(0xFFFFFFFF)).astype(np.uint32)
         return np.where(same, slots, -1)
 
+    def holds(self, slot: int, key: int) -> bool:
+        """Whether the stored key is the one asked for; a fingerprint alone errs once in 2**32."""
+        at = np.searchsorted(self.keys, key)
+        return at < len(self.keys) and int(self.keys[at]) == key
+
     def records(self, slot: int) -> list[tuple[int, np.ndarray]]:
         """Start in the shard and ids of each record under the key at ``slot``."""
         first, n = self.first[slot]
@@ -138,9 +145,11 @@ def _shard(place: int, nth: int, ids: list[int | None], records: list[bytes], it
     first = np.zeros((len(at), 2), np.int64)
     first[slots] = np.stack([at, np.diff(np.append(at, len(keys)))], axis=1)
     starts = np.concatenate([[0], np.cumsum([len(x) // item for x in records])]).astype(np.int64)
-    row = [place, nth, int(starts[-1]), item, keys[at].tobytes(), nulls[at].tobytes(), displacements.tobytes(), fingerprints.tobytes(), first.tobytes(), starts.tobytes(), b"".join(records)]
+    known = keys[~nulls]
+    ends = (int(known.min()), int(known.max())) if len(known) else (None, None)
+    row = [place, nth, int(starts[-1]), item, *ends, keys[at].tobytes(), nulls[at].tobytes(), displacements.tobytes(), fingerprints.tobytes(), first.tobytes(), starts.tobytes(), b"".join(records)]
     names = [f.split()[0] for f in SHARD.split(", ")]
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32()] + [pa.binary()] * 7
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()] + [pa.binary()] * 7
     return pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row, kinds, strict=True)], names)
 
 
@@ -172,9 +181,12 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
     null or empty text is the end id alone. Rows with equal ids are kept each; an id that
     fills several ranges, and null ids, are dealt over as many, and each shard has its own
     key for them, so no id is gathered in one task. Other columns are ignored; an empty
-    table gives a table without rows.
+    table gives a table without rows. Ids must be whole numbers: a column of another
+    type is refused.
     """
     spark = docs.sparkSession
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must hold whole numbers, not {docs.schema[id_col].dataType.simpleString()}")
     parts = width(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.monotonically_increasing_id()).alias("deal"))
     ranges = 4 * parts  # more than tasks, so that tasks are alike
@@ -198,10 +210,48 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, start, n, crc)], ["id", "start", "n_tokens", "ids_crc32"])
 
 
-def read_shards(spark, path: str, id_col: str = "doc_id") -> DataFrame:
+def _based(shards: DataFrame) -> DataFrame:
+    """Shards with ``base``, the ids before them: sums within each range, and of the ranges before it (as many as were dealt, not as the data has)."""
+    inside = Window.partitionBy("range").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = shards.select("range", "nth", "n_ids")
+    ranges = sizes.groupBy("range").agg(F.sum("n_ids").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    bases = (
+        sizes.withColumn("within", F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).join(ranges, "range")
+        .select(F.col("range").alias("r"), F.col("nth").alias("k"), (F.col("ahead") + F.col("within")).cast("long").alias("base"))
+    )
+    return shards.join(bases, (shards["range"] == bases["r"]) & (shards["nth"] == bases["k"])).drop("r", "k")
+
+
+def read_shards(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     """Every record of the shards at ``path``, each through its shard's index: ``id_col, start, n_tokens, ids_crc32``."""
+    return _based(spark.read.parquet(path)).mapInArrow(_read, "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
+
+
+def _probe(table: pa.Table) -> pa.Table:
+    """The ids of asked keys from one shard: the row with a payload, beside rows with a key."""
+    shard = Shard(next(r for r in table.to_pylist() if r["payload"] is not None))
+    keys = np.unique(np.asarray(table.column("key").drop_null()))
+    out = [(key, start, ids.tolist()) for key, slot in zip(keys.tolist(), shard.find(keys, np.zeros(len(keys), bool)).tolist(), strict=True) if slot >= 0 for start, ids in shard.records(slot) if shard.holds(slot, key)]
+    return pa.table({"key": pa.array([x[0] for x in out], pa.int64()), "start": pa.array([x[1] for x in out], pa.int64()), "ids": pa.array([x[2] for x in out], pa.list_(pa.int64()))})
+
+
+def lookup(keys: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
+    """The token ids of the documents asked for: ``id_col, start, ids``, one row per record of an asked key.
+
+    ``keys`` has a column ``id_col``. Shards of null keys and those whose range of keys
+    holds none asked for are not read beyond their ends; in the others the index is
+    probed, in constant time a key, and the stored key confirms what its fingerprint
+    says. Absent keys give no row; null keys are never found; asked twice is asked once.
+    """
+    spark = keys.sparkSession
     shards = spark.read.parquet(path)
-    before = Window.orderBy("range", "nth").rowsBetween(Window.unboundedPreceding, -1)
-    bases = shards.select(F.col("range").alias("r"), F.col("nth").alias("k"), F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long").alias("base"))
-    joined = shards.join(F.broadcast(bases), (shards["range"] == bases["r"]) & (shards["nth"] == bases["k"]))  # three numbers a shard
-    return joined.drop("r", "k").mapInArrow(_read, "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
+    asked = keys.select(F.col(id_col).cast("long").alias("key")).where("key is not null").distinct()
+    ends = shards.where("least is not null").select("range", "nth", "least", "greatest")
+    # the ranges of keys follow each other, so a key meets few shards; Spark compares ends alone
+    meets = asked.join(ends, (asked["key"] >= ends["least"]) & (asked["key"] <= ends["greatest"])).select("range", "nth", "key")
+    names = ["displacements", "fingerprints", "first", "starts", "payload", "keys", "item"]
+    bare = [F.lit(None).cast(shards.schema[c].dataType).alias(c) for c in names]
+    hit = shards.join(meets.select("range", "nth").distinct(), ["range", "nth"], "left_semi")
+    both = hit.select("range", "nth", F.lit(None).cast("long").alias("key"), *names).unionByName(meets.select("range", "nth", "key", *bare))
+    return both.groupBy("range", "nth").applyInArrow(_probe, "key long, start long, ids array<long>").withColumnRenamed("key", id_col)

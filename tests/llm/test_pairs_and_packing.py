@@ -8,9 +8,9 @@ import pytest
 
 from sievemark.llm.mixing import mix
 from sievemark.llm.ngram_join import ngram_components, ngram_link_counts, ngram_links
-from sievemark.llm.packing import _best_fit, _bound, _dominates, pack, plan_sequences
+from sievemark.llm.packing import _best_fit, _bound, _dominates, pack, plan_sequences, search_plan
 from sievemark.llm.piece_ids import encoder, public_path
-from sievemark.llm.token_shards import Shard, build_index, read_shards, write_shards
+from sievemark.llm.token_shards import Shard, build_index, lookup, read_shards, write_shards
 from sievemark.llm.topk_search import top_k
 
 DOCS = "doc_id long, text string, source string, id string, n long, key long"
@@ -184,6 +184,8 @@ def test_plans_of_many_equal_lengths_reach_the_bound(histogram):
         (100, [25, 25, 34, 11, 48, 42, 39, 47, 12, 15, 41, 22, 37]),
         (50, [24, 23, 15, 5, 5, 19, 19, 21, 9, 10, 25, 17, 8]),
         (20, [10, 7, 7, 7, 8, 8, 4, 9, 9, 6]),
+        (50, [33, 32, 30, 24, 17, 15, 15, 13, 9, 7]),
+        (20, [13, 10, 9, 9, 9, 8, 8, 7, 4, 2]),
     ],
 )
 def test_plans_go_back_when_the_first_filling_is_in_no_optimum(size, lengths):
@@ -191,6 +193,42 @@ def test_plans_go_back_when_the_first_filling_is_in_no_optimum(size, lengths):
     assert _bound([histogram.get(x, 0) for x in range(size + 1)], size) == sum(k for k, _ in plan_sequences(histogram, size)) == -(-sum(lengths) // size)
 
 
+def optimum(lengths, size):
+    """Fewest sequences, by trying every place for every length."""
+    lengths, best = sorted(lengths, reverse=True), len(lengths)
+
+    def put(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(lengths):
+            best = len(rooms)
+            return
+        for at in {r: j for j, r in enumerate(rooms) if r >= lengths[k]}.values():
+            put(k + 1, rooms[:at] + [rooms[at] - lengths[k]] + rooms[at + 1 :])
+        put(k + 1, [*rooms, size - lengths[k]])
+
+    put(0, [])
+    return best
+
+
+def test_small_plans_are_optimal():
+    rng, proofs = random.Random(11), 0
+    for _ in range(500):
+        size = rng.choice((20, 50, 100))
+        lengths = [rng.randint(1, size * 2 // 3) for _ in range(rng.randint(5, 10))]
+        histogram = {x: lengths.count(x) for x in lengths}
+        plan, bound, proven = search_plan(histogram, size)
+        used, least = sum(k for k, _ in plan), optimum(lengths, size)
+        assert bound <= used == least or not proven and used >= least, (size, lengths)
+        assert used == least, (size, lengths)
+        proofs += proven
+    assert proofs >= 480
+    many = [rng.randint(400, 1100) for _ in range(300)]
+    plan, bound, proven = search_plan({x: many.count(x) for x in many}, 2048, branches=3)
+    assert sum(k for k, _ in plan) > bound and not proven
+
+
 def test_bound_counts_lengths_that_cannot_share():
     assert _bound([7 if x == 6 else 0 for x in range(11)], 10) == 7
     assert _dominates([7, 3], [6, 3]) and _dominates([7], [4, 3]) and not _dominates([5, 5], [7, 3])
@@ -258,6 +296,20 @@ def test_shards_deal_hot_and_null_keys(spark, tmp_path):
     assert keys == known + [None] * (len(rows) - len(known))
 
 
+def test_lookup_by_key(spark, tmp_path):
+    """Present, repeated, hot, absent, null and twice asked keys."""
+    rows = [(9 if k % 3 == 0 else None if k % 7 == 0 else 10 * k, f"word {k} tail") for k in range(300)]
+    path = str(tmp_path / "keyed")
+    write_shards(frame(spark, rows), path, public_path("word_bpe_49k.json"), 2)
+    tokenizer = encoder(public_path("word_bpe_49k.json")).tokenizer
+    asked = [9, 10, 20, 20, 25, -4, 2990, 10**12, None]
+    got = sorted((r.doc_id, r.ids) for r in lookup(spark.createDataFrame([(k, "x") for k in asked], "doc_id long, ids string"), path).collect())
+    assert got == sorted((i, [*tokenizer.encode(t, add_special_tokens=False).ids, 2]) for i, t in rows if i is not None and i in asked)
+    assert lookup(spark.createDataFrame([(3,)], "doc_id long"), path).isEmpty()
+    with pytest.raises(TypeError):
+        write_shards(spark.createDataFrame([("a", "b")], "doc_id string, text string"), path, public_path("word_bpe_49k.json"), 2)
+
+
 def test_shards(spark, tmp_path):
     rows = EDGE + [(50 - k, f"text number {k} é") for k in range(40)]
     path = str(tmp_path / "shards")

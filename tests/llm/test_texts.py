@@ -198,17 +198,18 @@ def test_forward_sums_all_segmentations():
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=public_path("piece_bpe_32k.model"))
-    names = sorted(p for p in {sp.id_to_piece(k).lower() for k in range(sp.get_piece_size()) if not (sp.is_control(k) or sp.is_unknown(k) or sp.is_byte(k))} | {"▁"} if len(p) <= language_id.LONGEST)
+    names = sorted(p for p in {sp.id_to_piece(k).lower() for k in range(sp.get_piece_size()) if not (sp.is_control(k) or sp.is_unknown(k) or sp.is_byte(k))} | {"▁"})
+    assert vocab.size == len(names) and vocab.longest == max(map(len, names))
     place = {p: k for k, p in enumerate(names)}
     probs = np.random.default_rng(1).random((vocab.size + 1, 2)) / 1000
-    words = ["house", "straße", "a", "日本q", "x" * 300]
+    words = ["house", "straße", "a", "日本q", "x" * 300, max(names, key=lambda p: (p[0] == "▁", len(p)))[1:]]
     for word, got in zip(words, language_id._score(words, vocab, probs), strict=True):
         text = "▁" + word
         for lang in range(2):
             alpha = [0.0] * (len(text) + 1)
             alpha[0] = 1.0
             for end in range(1, len(text) + 1):
-                for start in range(max(0, end - language_id.LONGEST), end):
+                for start in range(end):
                     piece = place.get(text[start:end], vocab.size if end - start == 1 else None)
                     if piece is not None:
                         alpha[end] += alpha[start] * probs[piece, lang]
@@ -217,6 +218,39 @@ def test_forward_sums_all_segmentations():
             assert np.isfinite(got[lang])
 
 
+def test_expected_uses_equal_those_over_all_segmentations():
+    import pyarrow as pa
+    import sentencepiece
+
+    path = public_path("piece_bpe_32k.model")
+    vocab, sp = language_id.vocabulary(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    place = {p: k for k, p in enumerate(sorted({sp.id_to_piece(k).lower() for k in range(sp.get_piece_size()) if not (sp.is_control(k) or sp.is_unknown(k) or sp.is_byte(k))} | {"▁"}))}
+    probs = np.random.default_rng(7).random((vocab.size + 1, 2)) / 100
+    words, langs, counts = ["house", "the", "ñandú"], [0, 1, 1], [2, 3, 1]
+    want = {}
+
+    def splits(text):
+        if not text:
+            yield []
+        for n in range(1, len(text) + 1):
+            piece = place.get(text[:n], vocab.size if n == 1 else None)
+            if piece is not None:
+                yield from ([piece, *rest] for rest in splits(text[n:]))
+
+    for word, g, n in zip(words, langs, counts, strict=True):
+        ways = [(s, float(np.prod(probs[s, g]))) for s in splits("▁" + word)]
+        for s, w in ways:
+            for piece in s:
+                want[g, piece] = want.get((g, piece), 0) + n * w / sum(w for _, w in ways)
+    batch = lambda k, w, n: pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(w), pa.array(n, pa.int64())], ["k", "word", "n"])
+    out, = language_id._expected(path, probs)(iter([batch(langs, words, counts)]))
+    got = {(r["k"], r["piece"]): r["uses"] for r in out.to_pylist()}
+    assert got.keys() == want.keys() and all(got[x] == pytest.approx(want[x], rel=1e-6) for x in want)
+    long, = language_id._expected(path, probs)(iter([batch([0], ["house" * 900], [1])]))  # far below the range of a double, and whole
+    chars = sum(r["uses"] * (1 if r["piece"] == vocab.size else len(next(p for p, k in place.items() if k == r["piece"]))) for r in long.to_pylist())
+    assert chars == pytest.approx(4501, rel=1e-6)
+
+
 # toxicity
 
 def toxic_docs(n, seed):
