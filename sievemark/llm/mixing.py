@@ -37,7 +37,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, repeats: int = 2, seed: int = 17) -> DataFrame:
+        weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, repeats: int = 2, seed: int = 17, carry: str | None = None) -> DataFrame:
     """Take documents, repeats included, so that sources come near their targets.
 
     A document's size is its number of words (runs of characters other than U+0020 and
@@ -48,7 +48,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     is spent; the copy at which it ends is taken in part.
 
     Returns one row per input row: ``id_col, size, source_size, target, taken``, and
-    ``copies``, how many times the document is begun. A null source is a source of its own, the
+    ``copies``, how many times the document is begun; a column of ``docs`` named by
+    ``carry`` comes with them and has no say. A null source is a source of its own, the
     last; an empty source's target is 0. Repeated rows count each; rows alike in id, source
     and size share what falls to them in any order. An empty table gives an empty result.
 
@@ -60,6 +61,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         docs.select(
             F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
             F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+            *([F.col(carry).alias("carried")] if carry else []),
         ).withColumn("nth", F.monotonically_increasing_id()),
         "mix-sizes",
     )
@@ -95,5 +97,5 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return (
         rows.join(targets.withColumnRenamed("source", "s").drop("rows", "place"), F.col("source").eqNullSafe(F.col("s")))
         .join(per, "nth", "left")
-        .select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("copies", F.lit(0)).cast("long").alias("copies"))
+        .select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("copies", F.lit(0)).cast("long").alias("copies"), *([F.col("carried").alias(carry)] if carry else []))
     )

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from sievemark.llm.arrow_text import cut, slices, utf8
 from sievemark.operators.components import connected_components
-from sievemark.session import materialize, width
+from sievemark.session import Scratch, materialize, width
 
 #: Bits of an n-gram's token, and of a token plus the octave of its frequency (a rank in the global order).
 TOKEN_BITS = 48
@@ -217,18 +217,19 @@ def _overlapping(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> D
     )
 
 
-def _linked_sets(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``ngram_links`` and, between its two, the distinct sets with their shared tokens by segment."""
+def _linked_sets(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame, Scratch]:
+    """``ngram_links`` and, between its two, the distinct sets with their shared tokens by segment; last, what they are written in."""
     spark = docs.sparkSession
+    scratch = Scratch(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     members = materialize(rows.mapInArrow(_named(n), f"id {kind}, n long, sig long"), "ngram-members")
 
-    parts = width(spark)
+    parts = max(width(spark), rows.select("text").rdd.getNumPartitions())  # grows with the input, so that a part does not
     bits = (parts - 1).bit_length() + 1  # two to four parts of the token space for each task
     blocks = rows.select("text").mapInArrow(_blocks(n, bits), "part int, tokens binary, owner binary, sigs binary, sizes binary")
-    shared = blocks.groupBy("part").applyInArrow(_shared_tokens(bits), "sig long, n long, key long")
-    sets = materialize(
+    shared = blocks.repartition(parts, "part").groupBy("part").applyInArrow(_shared_tokens(bits), "sig long, n long, key long")
+    sets = scratch.keep(
         shared.repartition(parts, "sig")
         .groupBy("sig", "n", F.shiftright("key", FRAGMENT_SHIFT).cast("int").alias("fragment"))
         .agg(F.sort_array(F.collect_list("key")).alias("segment"))
@@ -245,28 +246,32 @@ def _linked_sets(docs: DataFrame, id_col: str, text_col: str, n: int, num: int,
         F.expr(f"cast(n - (({num} * n + {den - 1}) div {den}) + 1 - (n - m) as int)").alias("take"),
     )
     central = F.expr(f"aggregate(keys, 0L, (s, k) -> s + shiftright(k, {TOKEN_BITS})) / n")
-    postings = materialize(
+    postings = scratch.keep(
         ranked.select("sig", "n", "m", central.alias("central"), F.posexplode(F.slice("keys", 1, F.col("take"))).alias("at", "key"))
         .withColumn("at", F.col("at") + F.col("n") - F.col("m")),
         "ngram-postings",
     )
-    hubs = postings.groupBy("key").agg(F.max(F.struct("central", "sig", "n", "m")).alias("hub"), F.count(F.lit(1)).alias("held")).where("held > 1")
-    stars = materialize(
-        postings.alias("p").join(hubs.select("key", "hub").alias("h"), "key")
+    # What is joined by key is written first, so that the join meets two plain shuffles and Spark can split a long list.
+    hubs = scratch.keep(postings.groupBy("key").agg(F.max(F.struct("central", "sig", "n", "m")).alias("hub"), F.count(F.lit(1)).alias("held")).where("held > 1").select("key", "hub"), "ngram-hubs")
+    stars = scratch.keep(
+        postings.alias("p").join(hubs.alias("h"), "key")
         .where("p.sig <> hub.sig").where(_may_link("p", "hub", num, den))
         .select(F.col("hub.sig").alias("a"), F.col("p.sig").alias("b")).distinct(),
         "ngram-stars",
     )
-    linked = materialize(_overlapping(stars, segments, num, den), "ngram-links")
+    scratch.drop("ngram-hubs")
+    linked = scratch.keep(_overlapping(stars, segments, num, den), "ngram-links")
 
     labels = connected_components(linked, "a", "b")
-    named = postings.join(labels.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-    lists = (
+    named = scratch.keep(postings.join(labels.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig")), "ngram-named")
+    scratch.drop("ngram-postings")
+    lists = scratch.keep(
         named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
         .groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max_by("component", F.struct("c", "component")).alias("major"))
-        .where("kinds > 1").select("key", "major")
+        .where("kinds > 1").select("key", "major"),
+        "ngram-lists",
     )
-    mixed = materialize(named.join(lists, "key"), "ngram-mixed")
+    mixed = scratch.keep(named.join(lists, "key"), "ngram-mixed")
     across = (
         mixed.where("component <> major").alias("x").join(mixed.alias("y"), "key")
         .where("x.component <> y.component and (y.component = y.major or x.sig < y.sig)")
@@ -275,8 +280,10 @@ def _linked_sets(docs: DataFrame, id_col: str, text_col: str, n: int, num: int,
         .select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
         .join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     )
-    more = _overlapping(materialize(across, "ngram-across"), segments, num, den)
-    return members, sets, materialize(linked.unionByName(more), "ngram-all-links")
+    more = _overlapping(scratch.keep(across, "ngram-across"), segments, num, den)
+    links = materialize(linked.unionByName(more), "ngram-all-links")
+    scratch.drop("ngram-named", "ngram-lists", "ngram-mixed", "ngram-stars", "ngram-across", "ngram-links")
+    return members, sets, links, scratch
 
 
 def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, num: int = 85, den: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -296,7 +303,8 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     4. Lists that still hold several components give the pairs across them; the largest
        component of a list is never paired with itself.
     """
-    members, _, links = _linked_sets(docs, id_col, text_col, n, num, den)
+    members, _, links, scratch = _linked_sets(docs, id_col, text_col, n, num, den)
+    scratch.drop("ngram-sets")
     return members, links
 
 
@@ -312,6 +320,12 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     components but are not all (``ngram_link_counts`` has all). Repeated ids keep their rows; a null id keeps its
     row and never names a component unless all its component's ids are null. Other
     columns of ``docs`` are ignored; an empty table gives an empty result.
+
+    Grams are compared by hashes, not by their words: a set is known by a 64-bit hash of
+    it and a gram by 48 bits. Two different sets among D fall together with probability
+    D * D / 2**65 (3e-8 for 10**6 sets, 3e-4 for 10**8; at 10**10 about three pairs are
+    expected). A pair of sets of 1,000 grams each gains a common gram by chance with
+    probability 4e-9, which changes its link only where it misses the threshold by one.
     """
     members, links = ngram_links(docs, id_col, text_col, n, num, den)
     labels = connected_components(links, "a", "b").select(F.col("node").alias("sig"), "component")
@@ -367,11 +381,12 @@ def ngram_link_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ``BLOCK_SETS`` sets or ``BLOCK_TOKENS`` tokens each; every pair of blocks is counted
     once and keeps counts only. Work grows with the square of a component, as the links do.
     """
-    members, sets, links = _linked_sets(docs, id_col, text_col, n, num, den)
+    members, sets, links, scratch = _linked_sets(docs, id_col, text_col, n, num, den)
     labels = connected_components(links, "a", "b").select(F.col("node").alias("sig"), "component")
     step = 1.001 * max(math.log(den / num), 0.001)  # a band: sets that link differ by one at most
     banded = sets.join(labels, "sig").select("sig", "n", "m", "component", F.floor(F.log("n") / step).cast("int").alias("band"), F.flatten("segments.segment").alias("keys"))
     banded = materialize(banded, "ngram-banded")
+    scratch.drop("ngram-sets")
     place = ["component", "band", "bin"]
     bins = (
         banded.groupBy("component", "band").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("m") / BLOCK_TOKENS)).cast("int").alias("bins"))
