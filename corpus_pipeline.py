@@ -14,7 +14,8 @@ from sievemark.llm.mixing import mix
 from sievemark.llm.ngram_join import ngram_components
 from sievemark.llm.packing import pack
 from sievemark.llm.piece_ids import public_path
-from sievemark.session import materialize, table
+from sievemark.operators.positions import repeat_rows, with_position
+from sievemark.session import Scratch, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,12 +25,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents, the one with the smallest doc_id.
+    """Of each component of linked documents, one row: that with the smallest doc_id, null last, then by its place.
 
-    Rows that repeat the kept id stay; rows without an id stay, as no group can name them.
+    Rows without words are linked with nothing and stay. Rows are told apart by their
+    place in the files, so repeated and null ids are rows like others.
     """
-    kept = ngram_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    placed = with_position(docs)
+    ranked = placed.withColumn("_rank", F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "_position"))
+    groups = ngram_components(ranked, id_col="_rank")
+    kept = groups.select("_rank._position", (F.col("_rank") == F.col("component_id")).cast("int").alias("n"))
+    return repeat_rows(placed, kept)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +43,9 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix begins it; rows without words, or not reached, are not taken."""
-    copies = materialize(mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies")), "mix-copies")
-    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["doc_id"])).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
-    return taken.select(*docs.columns)
+    """Each row as often as the mix begins it; rows without words, or not reached, are not taken."""
+    placed = with_position(docs)
+    return repeat_rows(placed, mix(placed, carry="_position").select("_position", F.col("copies").alias("n")))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,8 +65,8 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each written and read again before the next."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    """All stages over the documents, each written and read again before the next; a stage's rows go once the next is written."""
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark)
+    for _, stage in STAGES[:-1]:
+        docs = scratch.keep(stage(spark, docs, sf_dir), "stage")
     return STAGES[-1][1](spark, docs, sf_dir)
