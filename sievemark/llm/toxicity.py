@@ -238,7 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                                 gained.append(sorted(into))
                 yield pa.RecordBatch.from_arrays([pa.array(lost, pa.list_(pa.string())), pa.array(gained, pa.list_(pa.string()))], ["lost", "gained"])
 
-    rows = materialize(sample.select("id", "y", "text").mapInArrow(extract, "id string, y int, features array<string>"), "toxic-features")
+    rows = materialize(sample.select("id", "y", "text").mapInArrow(extract, "id string, y int, features array<string>").withColumn("nth", F.monotonically_increasing_id()), "toxic-features")
     n = {y: max(1, rows.where(f"y = {y}").count()) for y in (0, 1)}
     pairs = [(r["lost"], r["gained"], r["n"]) for r in sample.select("text").mapInArrow(swap, "lost array<string>, gained array<string>").groupBy("lost", "gained").agg(F.count(F.lit(1)).alias("n")).collect()]  # of the bounded sample
     per = rows.select("y", F.explode("features").alias("f")).groupBy("f").agg(F.sum("y").alias("a"))
@@ -252,17 +252,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     kept = per.where(F.col("a") * (0.5 / n[1]) > L1).select("f").union(per.join(F.broadcast(wanted), "f", "left_semi").select("f")).distinct()
     names = sorted(r["f"] for r in kept.collect())  # features of the bounded sample
     place = {f: k for k, f in enumerate(names)}
-    known = spark.sparkContext.broadcast(place)
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = known.value
-        for batch in batches:
-            for lo in range(0, len(batch), 64):
-                part = batch.slice(lo, 64)
-                found = [sorted(place[f] for f in features if f in place) for features in part.column("features").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), pa.array(found, pa.list_(pa.int32()))], ["id", "y", "features"])
-
-    held = rows.mapInArrow(index, "id string, y int, features array<int>").orderBy("id", "y").select("y", "features").toArrow()  # the bounded sample
+    numbered = spark.createDataFrame(pa.table({"f": pa.array(names, pa.string()), "k": pa.array(range(len(names)), pa.int32())}))
+    held = (
+        rows.select("nth", "id", "y", F.explode_outer("features").alias("f")).join(F.broadcast(numbered), "f", "left")  # features of the bounded sample
+        .groupBy("nth").agg(F.first("id").alias("id"), F.first("y").alias("y"), F.sort_array(F.collect_list("k")).alias("features"))
+        .orderBy("id", "y", "features").select("y", "features").toArrow()
+    )
     features, y = held.column("features"), np.asarray(held.column("y")).astype(float)
     lengths = np.concatenate([np.zeros(0, int), *(pa.compute.list_value_length(c) for c in features.chunks)]).astype(int)
     x = _Lists(np.concatenate([np.zeros(0, np.int32), *(np.asarray(c.flatten()) for c in features.chunks)]), np.repeat(np.arange(len(lengths), dtype=np.int32), lengths), len(lengths))
