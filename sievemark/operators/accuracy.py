@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievemark.domains import CATEGORIES
+from sievemark.functions.names import deletion_keys
 from sievemark.functions.similarity import token_sort
 
 #: Identifiers by which a predicted person is matched first, the best basis first (fixed values).
@@ -55,27 +56,31 @@ def pair_confusion(assigned: DataFrame, predicted: str, truth: str) -> DataFrame
 def fuzzy_candidates(truth: DataFrame, predicted: DataFrame, least: float = 0.72) -> DataFrame:
     """Leftover persons and identities with a name alike enough: ``uid, person_id, score``.
 
-    Pairs are formed where the names share a token, never across the whole product; a
-    date of birth that agrees adds 0.15, one that differs takes 0.25.
+    Pairs are formed where a token of one name is one of the other's, or both are the same
+    with one letter left out of either, never across the whole product. A date of birth
+    that agrees adds 0.15, to 1 at most; one that differs takes 0.25, to 0 at least.
     """
-    tokens = lambda df: df.withColumn("_t", F.explode(F.array_distinct(F.split(F.lower("name"), r"[^\p{L}]+")))).where("_t <> ''")
-    t = tokens(truth).select("_t", "uid", F.col("name").alias("a"), F.col("dob").alias("da"))
-    p = tokens(predicted).select("_t", "person_id", F.col("name").alias("b"), F.col("dob").alias("db"))
+    words = F.filter(F.array_distinct(F.split(F.lower("name"), r"[^\p{L}]+")), lambda t: t != "")
+    keyed = lambda df: df.withColumn("_w", F.explode(words)).withColumn("_t", F.explode(deletion_keys(F.col("_w"))))
+    t = keyed(truth).select("_t", "uid", F.col("name").alias("a"), F.col("dob").alias("da")).distinct()
+    p = keyed(predicted).select("_t", "person_id", F.col("name").alias("b"), F.col("dob").alias("db")).distinct()
     pairs = t.join(p, "_t").drop("_t").distinct()
-    shift = F.when(F.col("da") == F.col("db"), 0.15).when(F.col("da") != F.col("db"), -0.25).otherwise(0.0)
-    return pairs.withColumn("score", token_sort("a", "b") + shift).groupBy("uid", "person_id").agg(F.max("score").alias("score")).where(F.col("score") >= least)
+    alike = token_sort("a", "b")
+    score = F.when(F.col("da") == F.col("db"), F.least(F.lit(1.0), alike + 0.15)).when(F.col("da") != F.col("db"), F.greatest(F.lit(0.0), alike - 0.25)).otherwise(alike)
+    return pairs.withColumn("score", score).groupBy("uid", "person_id").agg(F.max("score").alias("score")).where(F.col("score") >= least)
 
 
-def greedy_match(candidates: DataFrame, rounds: int = 1000) -> DataFrame:
+def greedy_match(candidates: DataFrame) -> DataFrame:
     """One-to-one matches by falling score, then person, then uid.
 
     In each round every pair that is the best of both its sides is taken, which is what
-    the greedy order takes, and all pairs that touch it leave; so no group is gathered.
+    the greedy order takes, and all pairs that touch it leave; so no group is gathered,
+    and every round but the last takes a pair.
     """
     from sievemark.session import materialize
 
     left, taken = materialize(candidates.select("uid", "person_id", "score"), "greedy"), None
-    for _ in range(rounds):
+    while True:
         order = [F.desc("score"), F.asc("person_id"), F.asc("uid")]
         top = lambda by: F.row_number().over(Window.partitionBy(by).orderBy(*order))  # noqa: B023, E731
         best = materialize(left.withColumns({"_a": top("uid"), "_b": top("person_id")}).where("_a = 1 and _b = 1").drop("_a", "_b"), "greedy-best")
@@ -108,6 +113,18 @@ def category_table(results: DataFrame) -> DataFrame:
     return t.withColumns({"precision": F.round(F.try_divide("tp", F.col("tp") + F.col("fp")), 4), "recall": F.round(F.try_divide("tp", F.col("tp") + F.col("fn")), 4)})
 
 
+def error_histogram(persons: DataFrame, flags: DataFrame, missed: DataFrame) -> DataFrame:
+    """``error_class, n`` over a run: persons split, merged wrongly, missed or made up, and flags by why they went wrong.
+
+    ``persons (uid, outcome)``, ``flags (error_class)``, ``missed (uid, error_class)`` with why a
+    person was missed; unknown counts as missed_extraction.
+    """
+    why = persons.join(missed.select("uid", F.col("error_class").alias("_why")), "uid", "left")
+    named = F.when(F.col("outcome") == "split", "er_split").when(F.col("outcome") == "wrongly_merged", "er_overmerge").when(F.col("outcome") == "missed", F.coalesce("_why", F.lit("missed_extraction"))).when(F.col("outcome") == "hallucinated", "hallucinated")
+    both = why.select(named.alias("error_class")).unionByName(flags.select("error_class"))
+    return both.where("error_class is not null").groupBy("error_class").agg(F.count(F.lit(1)).alias("n"))
+
+
 def mention_truth(mentions: DataFrame, plantings: DataFrame) -> DataFrame:
     """The planted person whose values a mention shares most in its document; the first planted on ties, null without any.
 

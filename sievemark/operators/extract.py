@@ -134,3 +134,39 @@ def tier0_agreement(found: DataFrame, hits: DataFrame) -> DataFrame:
     """
     seen = hits.groupBy("passage_id", "element_type", "value").agg(F.bool_and(F.col("trap_reason").isNull()).alias("agreement"))
     return found.join(seen, ["passage_id", "element_type", "value"], "left")
+
+
+def rollup_min(elements: DataFrame, by: str, confidence: str = "confidence") -> DataFrame:
+    """The least confidence per group; 0 where none is known."""
+    return elements.groupBy(by).agg(F.coalesce(F.min(confidence), F.lit(0.0)).alias("confidence"))
+
+
+#: What a model's answer for one passage must hold (fixed values).
+ANSWER = "mentions array<struct<name:string>>, elements array<struct<element_type:string,value_raw:string,mention_ref:int,confidence:double>>"
+
+
+def contract_faults(answers: DataFrame, answer_col: str = "answer") -> DataFrame:
+    """``fault`` beside each answer: null, or the first rule that it breaks.
+
+    Rules, in order: the answer is JSON; every element has a value, a confidence between
+    0 and 1, and a mention reference that is null or a place in the mentions.
+    """
+    got = F.from_json(F.col(answer_col), ANSWER)
+    elements, n = F.coalesce(got["elements"], F.array().cast("array<struct<element_type:string,value_raw:string,mention_ref:int,confidence:double>>")), F.coalesce(F.size(got["mentions"]), F.lit(0))
+    valid = F.try_parse_json(F.col(answer_col)).isNotNull()
+    empty = F.exists(elements, lambda e: F.coalesce(F.length(e["value_raw"]), F.lit(0)) == 0)
+    unsure = F.exists(elements, lambda e: e["confidence"].isNull() | (e["confidence"] < 0) | (e["confidence"] > 1))
+    dangling = F.exists(elements, lambda e: F.coalesce((e["mention_ref"] < 0) | (e["mention_ref"] >= F.greatest(n, F.lit(0))), F.lit(False)))
+    return answers.withColumn("fault", F.when(~valid, "not_json").when(empty, "empty_value").when(unsure, "confidence").when(dangling, "mention_ref"))
+
+
+def sheet_sample(sheets: DataFrame, rows: int = 5) -> DataFrame:
+    """The first ``rows`` rows of the columns that have a header but no known type; sheets without such columns have none.
+
+    ``sheets (sheet_id, header array<string>, types array<string>, cells array<array<string>>)``; returns
+    ``sheet_id, columns, sample``.
+    """
+    places = F.filter(F.sequence(F.lit(1), F.size("header")), lambda k: (F.trim(F.element_at("header", k)) != "") & F.element_at("types", k).isNull())
+    open_ = sheets.where("size(header) > 0").withColumn("_p", places).where("size(_p) > 0")
+    pick = lambda row: F.transform("_p", lambda k: F.try_element_at(row, k))
+    return open_.select("sheet_id", pick(F.col("header")).alias("columns"), F.transform(F.slice("cells", 1, rows), pick).alias("sample"))

@@ -266,3 +266,32 @@ def identity_links(clusters: DataFrame, banded: DataFrame) -> DataFrame:
     return clusters.join(best, "mention_id", "left").select(
         F.col("cluster_id").alias("person_id"), "mention_id", "score", F.when(F.col("score").isNull(), "singleton").otherwise("rule").alias("method"), "left_id", "right_id", F.lit(True).alias("active"),
     )
+
+
+#: Contributions to a score and their names in a rule, in order (fixed values).
+RULE_PARTS = (("name_variant", "name_variant"), ("name_similarity", "name"), ("dob_match", "dob"), ("address_overlap", "address"), ("ssn_last4_compatible", "ssn_last4"), ("same_doc", "same_doc"))
+
+
+def explained(pairs: DataFrame) -> DataFrame:
+    """``rule_id`` and ``rationale`` of scored pairs: ``score, hard_reason, contributions map<string,double>, shared array<string>, conflicting array<string>``."""
+    held = F.col("contributions")
+    has = lambda k: F.coalesce(F.map_contains_key(held, k), F.lit(False))
+    parts = F.array_join(F.array_compact(F.array(*[F.when(has(k), name) for k, name in RULE_PARTS])), "_")
+    exact = F.when(F.size("shared") > 0, F.concat(F.lit("exact_"), F.array_join("shared", "_"))).otherwise("shared_strong")
+    conflict = F.coalesce(F.col("hard_reason") == "hard_conflict", F.lit(False))
+    rule = F.when(conflict, "hard_conflict").when(has("shared_strong"), exact).when(parts != "", parts).otherwise("no_evidence")
+    told = F.array_join(F.transform(F.array_sort(F.map_entries(held)), lambda e: F.format_string("%s %+.2f", e["key"], e["value"])), ", ")
+    detail = F.when(F.coalesce(F.size(held), F.lit(0)) > 0, told).otherwise("no scoring evidence")
+    text = F.concat(F.format_string("score %.2f (", F.col("score")), detail, F.lit(")"), F.when(F.col("hard_reason").isNotNull(), F.concat(F.lit("; capped: "), "hard_reason", F.lit(" (uncorroborated name evidence)"))).otherwise(""))
+    hard = F.concat(F.lit("hard conflict: both mentions carry disjoint "), F.array_join("conflicting", ", "), F.lit(" values; score forced to 0"))
+    return pairs.withColumns({"rule_id": rule, "rationale": F.when(conflict, hard).otherwise(text)})
+
+
+def gray_items(banded: DataFrame) -> DataFrame:
+    """A queue item per gray pair, with both persons and a priority of the score in hundredths."""
+    return banded.where("band = 'gray'").select("left_id", "right_id", F.col("left_cluster").alias("left_person_id"), F.col("right_cluster").alias("right_person_id"), "score", F.bround(F.col("score") * 100).cast("int").alias("priority"), F.lit("open").alias("status"))
+
+
+def skipped_blocks(keys: DataFrame, most: int = MAX_NAME_BLOCK) -> DataFrame:
+    """Name and date blocks that are too large to be paired, with their sizes, so that what is left out is known."""
+    return keys.where("not strong").groupBy("key").agg(F.count_distinct("mention_id").alias("mentions")).where(F.col("mentions") > most)

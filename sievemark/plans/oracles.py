@@ -253,3 +253,61 @@ x AS (SELECT g.*, real, round(CASE WHEN linked > 0 THEN "right" / CAST(linked AS
 SELECT *, round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 4) AS f1 FROM x
 """,
 }
+
+_ELEMENTS = """elements AS (SELECT l_orderkey * 10000000 + l_partkey * 10 + l_linenumber AS element_id, CASE WHEN l_returnflag <> 'R' THEN l_suppkey END AS mention_id, l_orderkey AS document_id, l_orderkey AS passage_id,
+  CASE l_linenumber % 3 WHEN 0 THEN 'ssn' WHEN 1 THEN 'email' ELSE 'medical' END AS element_type, CAST(l_partkey % 90 AS VARCHAR) AS value_normalized,
+  CASE WHEN l_quantity > 25 THEN 'valid' ELSE 'format_only' END AS validation_status, l_tax > 0.06 AS trapped,
+  CASE WHEN l_returnflag = 'R' THEN coalesce(CASE WHEN l_partkey % 50 = 0 THEN l_suppkey % 40 END, CASE WHEN l_partkey % 30 = 0 THEN l_partkey % 40 END) END AS signal FROM lineitem),
+links AS (SELECT s_suppkey % 40 AS person_id, s_suppkey AS mention_id, s_suppkey % 7 <> 0 AS active FROM supplier),
+linked AS (SELECT person_id, e.* FROM links JOIN elements e USING (mention_id) WHERE active),
+good AS (SELECT * FROM linked WHERE NOT trapped AND (validation_status = 'valid' OR element_type = 'medical'))"""
+_PLANTED = """planted AS (SELECT 'd' || c_custkey % 50 AS doc, CASE WHEN c_custkey % 6 <> 0 THEN CAST(c_custkey AS VARCHAR) END AS uid, CASE WHEN c_custkey % 2 = 0 THEN 'ssn' ELSE 'email' END AS kind,
+  CASE WHEN c_custkey % 2 = 0 THEN lpad(CAST(c_custkey AS VARCHAR), 9, '1') ELSE 'a' || c_custkey || '@b.org' END AS raw FROM customer)"""
+
+ORACLES |= {
+    "link_ledger": f"WITH {_DOCUMENTS} SELECT s_suppkey % 40 AS person_id, s_suppkey AS mention_id, 'rule' AS method, s_suppkey % 7 <> 0 AS active, s_name AS name_raw, s_suppkey * 3 AS document_id, file_class FROM supplier JOIN docs ON document_id = s_suppkey * 3",
+    "linked_elements": f"WITH {_ELEMENTS} SELECT person_id, element_type, count(*) AS n, count(DISTINCT document_id) AS documents FROM linked GROUP BY ALL",
+    "signal_attached": f"WITH {_ELEMENTS} SELECT signal AS person_id, count(*) AS n, min(element_id) AS least FROM elements WHERE signal IS NOT NULL GROUP BY 1",
+    "person_keys": f"WITH {_ELEMENTS} SELECT person_id, 'ssn:' || value_normalized AS key FROM good WHERE element_type = 'ssn' UNION SELECT s_suppkey % 40, 'employee_id:E' || s_nationkey FROM supplier",
+    "attached_elements": f"""WITH {_ELEMENTS},
+pk AS (SELECT person_id, 'ssn:' || value_normalized AS key FROM good WHERE element_type = 'ssn' UNION SELECT s_suppkey % 40, 'employee_id:E' || lpad(CAST(s_suppkey AS VARCHAR), 5, '1') FROM supplier),
+loose AS (SELECT element_id, passage_id FROM elements WHERE mention_id IS NULL AND signal IS NULL),
+held AS (SELECT o_orderkey AS passage_id, 'employee_id:E' || lpad(CAST(o_custkey % 99 AS VARCHAR), 5, '1') AS key FROM orders UNION SELECT passage_id, 'ssn:' || value_normalized FROM elements JOIN orders ON o_orderkey = passage_id WHERE element_type = 'ssn' AND validation_status = 'valid'),
+found AS (SELECT element_id, min(person_id) AS person_id, min(key) AS via_key FROM loose JOIN held USING (passage_id) JOIN pk USING (key) GROUP BY element_id HAVING min(person_id) = max(person_id))
+SELECT element_id, coalesce(person_id, -1) AS person_id, coalesce(via_key, 'parked') AS via_key FROM loose LEFT JOIN found USING (element_id)""",
+    "obsolete_parked": f"""WITH {_ELEMENTS}, judged AS (SELECT element_id % 4 <> 0 AS open, element_id IN (SELECT element_id FROM elements WHERE mention_id IS NOT NULL OR signal IS NOT NULL) AS resolved FROM elements)
+SELECT CASE WHEN open AND resolved THEN 'dismissed' WHEN open THEN 'open' ELSE 'done' END AS status, CASE WHEN open AND resolved THEN 'auto_attached' ELSE 'none' END AS decision, count(*) AS n FROM judged GROUP BY ALL""",
+    "recomputed_persons": f"""WITH {_ELEMENTS}, own AS (SELECT person_id, element_id, element_type, validation_status, trapped FROM linked UNION SELECT signal, element_id, element_type, validation_status, trapped FROM elements WHERE signal IS NOT NULL)
+SELECT person_id, CASE element_type WHEN 'medical' THEN 'medical' ELSE element_type END AS category, count(*) AS evidence_count, max(CAST(0.85 AS DOUBLE)) AS confidence FROM own
+WHERE person_id < 7 AND NOT trapped AND (validation_status = 'valid' OR element_type = 'medical') GROUP BY ALL""",
+    "person_documents": "SELECT s_suppkey % 40 AS person_id, count(DISTINCT s_suppkey * 3) AS documents FROM supplier WHERE s_suppkey % 7 <> 0 GROUP BY 1",
+    "element_search": f"WITH {_ELEMENTS} SELECT element_id, document_id FROM elements WHERE element_type = 'email' AND value_normalized = '42' ORDER BY element_id LIMIT 50",
+    "quarantine_list": "SELECT o_orderkey AS quarantine_id, o_orderkey AS document_id, o_orderpriority AS file_class FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 10 = 3",
+    "pair_cards": f"""WITH {_ELEMENTS}, held AS (SELECT mention_id, list_sort(list('ssn:' || value_normalized)) AS h FROM elements WHERE element_type = 'ssn' AND mention_id IS NOT NULL GROUP BY mention_id)
+SELECT a.s_suppkey AS left_id, b.s_suppkey AS right_id, a.s_name AS left_name, b.s_name AS right_name, CAST(coalesce(len(x.h), 0) AS INTEGER) AS n_left, y.h[1] AS first_right
+FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey + 1 LEFT JOIN held x ON x.mention_id = a.s_suppkey LEFT JOIN held y ON y.mention_id = b.s_suppkey""",
+    "kept_separate": """WITH links AS (SELECT s_suppkey % 40 AS person_id, s_suppkey AS mention_id, s_suppkey % 7 <> 0 AS active FROM supplier),
+pairs AS (SELECT s_suppkey AS l, s_suppkey + CASE WHEN s_suppkey % 2 = 0 THEN 40 ELSE 1 END AS r FROM supplier WHERE s_suppkey % 9 = 1),
+judged AS (SELECT l, r, x.person_id = y.person_id AS same FROM pairs JOIN links x ON x.mention_id = l AND x.active JOIN links y ON y.mention_id = r AND y.active),
+v AS (SELECT mention_id, bool_or(leaves) AS leaves FROM (SELECT l AS mention_id, false AS leaves FROM judged UNION ALL SELECT r, same FROM judged) GROUP BY 1)
+SELECT person_id, mention_id, CASE WHEN active AND NOT leaves THEN 'reviewer' ELSE 'rule' END AS method, active AND NOT coalesce(leaves, false) AS active FROM links LEFT JOIN v USING (mention_id)
+UNION ALL SELECT mention_id + 1000, mention_id, 'reviewer', true FROM links JOIN v USING (mention_id) WHERE active AND leaves""",
+    "manifest_expectations": f"WITH {_PLANTED} SELECT kind AS category, count(DISTINCT uid) AS n FROM planted WHERE uid IS NOT NULL GROUP BY kind",
+    "manifest_identifiers": "SELECT CAST(c_custkey AS VARCHAR) AS uid, 'email' AS id_type, 'u' || c_custkey || '@x.org' AS value FROM customer",
+    "manifest_traps": f"WITH {_PLANTED} SELECT DISTINCT doc, raw AS value FROM planted WHERE uid IS NULL AND kind = 'ssn' UNION SELECT DISTINCT doc, regexp_replace(raw, '[^0-9]', '', 'g') FROM planted WHERE uid IS NULL AND regexp_replace(raw, '[^0-9]', '', 'g') SIMILAR TO '[0-9]{{9}}'",
+    "predicted_identifiers": f"WITH {_ELEMENTS} SELECT person_id, element_type AS id_type, count(DISTINCT value_normalized) AS n FROM good WHERE element_type IN ('ssn', 'email') GROUP BY ALL",
+    "imported_manifest": """WITH fresh AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'OTHER' ELSE c_mktsegment END AS m FROM customer WHERE c_custkey % 3 = 0)
+SELECT m AS c_mktsegment, count(*) AS n FROM (SELECT c_mktsegment AS m FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT m FROM fresh) GROUP BY 1
+UNION ALL SELECT 'conflicts', count(*) FROM fresh JOIN customer USING (c_custkey) WHERE m <> c_mktsegment""",
+    "recognised_lines": """WITH w AS (SELECT l_orderkey % 500 AS page_id, l_orderkey % 3 AS b, l_orderkey AS l, string_agg(l_returnflag || l_linestatus, ' ' ORDER BY l_linenumber, l_returnflag || l_linestatus) AS line, sum(l_quantity - 5) AS conf, count(*) AS n FROM lineitem WHERE l_quantity >= 5 GROUP BY ALL)
+SELECT page_id, CAST(length(string_agg(line, chr(10) ORDER BY b, l)) AS INTEGER) AS n_chars, sha256(string_agg(line, chr(10) ORDER BY b, l)) AS sha256, round(sum(conf) / sum(n), 4) AS mean_conf FROM w GROUP BY page_id""",
+    "confidence_rollup": "SELECT l_suppkey AS mention_id, coalesce(min(l_tax) FILTER (WHERE l_quantity > 10), 0.0) AS confidence FROM lineitem GROUP BY 1",
+    "answer_faults": "SELECT o_orderkey % 5 AS shape, CASE o_orderkey % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'not_json' WHEN 2 THEN 'empty_value' WHEN 3 THEN 'mention_ref' ELSE 'confidence' END AS fault, count(*) AS n FROM orders GROUP BY ALL",
+    "decision_rationales": """WITH p AS (SELECT o_orderkey % 7 = 0 AS hard, o_orderkey % 5 = 0 AS strong, o_orderkey % 2 = 0 AS dob, o_orderkey % 3 = 0 AND o_orderkey % 7 <> 0 AS capped FROM orders)
+SELECT CASE WHEN hard THEN 'hard_conflict' WHEN strong THEN 'exact_ssn' WHEN dob THEN 'name_dob' ELSE 'name' END AS rule_id,
+CASE WHEN hard THEN 'hard conflict: both mentions carry disjoint passport values; score forced to 0'
+ ELSE 'score 0.40 (' || CASE WHEN dob THEN 'dob_match +0.20, ' ELSE '' END || 'name_similarity +0.35' || CASE WHEN strong THEN ', shared_strong +0.90' ELSE '' END || ')' || CASE WHEN capped THEN '; capped: name_only_cap (uncorroborated name evidence)' ELSE '' END END AS rationale, count(*) AS n FROM p GROUP BY ALL""",
+    "error_histogram": """SELECT error_class, count(*) AS n FROM (
+SELECT CASE c_custkey % 5 WHEN 1 THEN 'er_split' WHEN 2 THEN CASE WHEN c_custkey % 3 = 0 THEN 'ocr_failure' ELSE 'missed_extraction' END WHEN 3 THEN 'hallucinated' WHEN 4 THEN 'er_overmerge' END AS error_class FROM customer
+UNION ALL SELECT CASE c_custkey % 4 WHEN 0 THEN 'trap_fp' WHEN 1 THEN 'wrong_category' END FROM customer) WHERE error_class IS NOT NULL GROUP BY 1""",
+}

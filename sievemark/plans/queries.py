@@ -12,12 +12,12 @@ from sievemark.functions.names import canonicals, deletion_keys, iso_date, norma
 from sievemark.functions.regex_spans import regex_spans
 from sievemark.functions.similarity import jaro_winkler
 from sievemark.functions.validate import luhn_valid, nanp_valid, ssn_valid
-from sievemark.operators import accuracy, exposure, extract, relational, resolve, review
+from sievemark.operators import accuracy, casework, exposure, extract, manifest, relational, resolve, review
 from sievemark.operators.components import connected_components
 from sievemark.operators.detect import detect
 from sievemark.plans import star
 from sievemark.session import table
-from sievemark.sources import parsers
+from sievemark.sources import files, parsers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -96,9 +96,8 @@ def header_types(s, d):
 @query
 def content_dedup(s, d):
     """The first document of each text, by id, in a source."""
-    docs = table(s, d, "documents").select("doc_id", F.col("source").alias("run_id"), F.sha2("text", 256).alias("sha256"))
-    by = Window.partitionBy("run_id", "sha256")
-    return docs.withColumn("r", F.row_number().over(by.orderBy("doc_id"))).withColumn("copies", F.count(F.lit(1)).over(by) - 1).where("r = 1").select("doc_id", "run_id", "sha256", "copies")
+    docs = table(s, d, "documents").select(F.col("doc_id").alias("path"), F.col("source").alias("run_id"), F.sha2("text", 256).alias("sha256"))
+    return files.dedup_within_run(docs).select(F.col("path").alias("doc_id"), "run_id", "sha256", "copies")
 
 
 @query
@@ -124,7 +123,7 @@ def document_list(s, d):
 
 @query
 def latest_run(s, d):
-    return star.documents(s, d).groupBy("run_id").agg(F.max("created_at").alias("at")).agg(F.max_by("run_id", F.struct("at", "run_id")).alias("run_id"))
+    return casework.latest_run(star.documents(s, d))
 
 
 @query
@@ -140,7 +139,7 @@ def exposure_total(s, d):
 
 @query
 def evidence_per_person(s, d):
-    return table(s, d, "orders").join(table(s, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_custkey").alias("person_id")).agg(F.count(F.lit(1)).alias("evidence"))
+    return casework.evidence_per_person(table(s, d, "orders").join(table(s, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("person_id")))
 
 
 @query
@@ -475,3 +474,161 @@ def threshold_calibration(s, d):
     n = table(s, d, "customer").count()
     scored = o.select(F.col("o_custkey").alias("left_id"), ((F.col("o_custkey") + F.col("o_orderkey") % 7 * 40) % n).alias("right_id"), F.round(F.col("o_totalprice") / 500000, 2).alias("score"), F.when(F.col("o_orderkey") % 9 == 0, "hard_conflict").alias("hard_reason")).where("left_id < right_id")
     return accuracy.calibration(scored, table(s, d, "customer").select(F.col("c_custkey").alias("mention_id"), (F.col("c_custkey") % 40).alias("uid")), (0.25, 0.5, 0.75))
+
+
+@query
+def link_ledger(s, d):
+    """All links of all persons, inactive ones too, with mention and document."""
+    return casework.link_ledger(star.links(s, d), star.linked_mentions(s, d), star.documents(s, d))
+
+
+@query
+def linked_elements(s, d):
+    rows = casework.linked_elements(star.links(s, d), star.elements(s, d))
+    return rows.groupBy("person_id", "element_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("document_id").alias("documents"))
+
+
+@query
+def signal_attached(s, d):
+    return casework.signal_attached(star.elements(s, d)).groupBy("person_id").agg(F.count(F.lit(1)).alias("n"), F.min("element_id").alias("least"))
+
+
+@query
+def person_keys(s, d):
+    linked = casework.linked_elements(star.links(s, d), star.elements(s, d))
+    employees = table(s, d, "supplier").select((F.col("s_suppkey") % 40).alias("person_id"), F.concat(F.lit("E"), F.col("s_nationkey").cast("string")).alias("key"))
+    return casework.person_keys(linked, employees)
+
+
+@query
+def attached_elements(s, d):
+    """Elements without mention or signal, attached by a key of their passage to one person, or parked."""
+    texts = table(s, d, "orders").select(F.col("o_orderkey").alias("passage_id"), F.concat(F.lit("badge E"), F.lpad((F.col("o_custkey") % 99).cast("string"), 5, "1"), F.lit(" seen")).alias("text"))
+    employees = table(s, d, "supplier").select((F.col("s_suppkey") % 40).alias("person_id"), F.concat(F.lit("E"), F.lpad(F.col("s_suppkey").cast("string"), 5, "1")).alias("key"))
+    rows = casework.attach_unattached(star.elements(s, d), star.links(s, d), texts, employees)
+    return rows.select("element_id", F.coalesce("person_id", F.lit(-1)).alias("person_id"), F.coalesce("via_key", F.lit("parked")).alias("via_key"))
+
+
+@query
+def obsolete_parked(s, d):
+    e = star.elements(s, d)
+    items = e.select("element_id", F.lit("unattached_pii").alias("reason"), F.when(F.col("element_id") % 4 == 0, "done").otherwise("open").alias("status"))
+    return casework.obsolete_parked(items, e).groupBy("status", F.coalesce("decision", F.lit("none")).alias("decision")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def recomputed_persons(s, d):
+    """Flags of seven persons alone, from linked and signal-attached elements."""
+    wanted = s.range(7).select(F.col("id").alias("person_id"))
+    return casework.recompute_persons(wanted, star.links(s, d), star.elements(s, d))[0].select("person_id", "category", "evidence_count", "confidence")
+
+
+@query
+def person_documents(s, d):
+    return casework.documents_of_persons(star.links(s, d), star.linked_mentions(s, d))
+
+
+@query
+def element_search(s, d):
+    return casework.find_elements(star.elements(s, d), "email", "42").select("element_id", "document_id")
+
+
+@query
+def quarantine_list(s, d):
+    q = table(s, d, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("document_id"), F.col("o_orderkey").alias("quarantine_id"), F.col("o_orderdate").alias("created_at"))
+    return casework.open_quarantines(q, star.documents(s, d), 3).select("quarantine_id", "document_id", "file_class")
+
+
+@query
+def pair_cards(s, d):
+    n = table(s, d, "supplier").select(F.col("s_suppkey").alias("left_id"), (F.col("s_suppkey") + 1).alias("right_id"))
+    cards = casework.pair_cards(n, star.linked_mentions(s, d), star.elements(s, d).where("element_type = 'ssn'"))
+    return cards.select("left_id", "right_id", "left_name", "right_name", F.size("left_elements").alias("n_left"), F.element_at("right_elements", 1).alias("first_right"))
+
+
+@query
+def kept_separate(s, d):
+    pairs = table(s, d, "supplier").where("s_suppkey % 9 = 1").select(F.col("s_suppkey").alias("left_id"), (F.col("s_suppkey") + F.when(F.col("s_suppkey") % 2 == 0, 40).otherwise(1)).alias("right_id"))
+    return casework.keep_separate(star.links(s, d), pairs, F.col("mention_id") + 1000)
+
+
+def _manifest(s, d):
+    """A manifest made of tables: a person per customer, two documents each, and traps."""
+    c, k = table(s, d, "customer"), F.col("c_custkey")
+    ids = c.select(F.struct(k.cast("string").alias("person_uid"), F.col("c_name").alias("canonical_name"), F.lit("1990-01-02").alias("dob"), F.create_map(F.lit("email"), F.concat(F.lit(" U"), k.cast("string"), F.lit("@X.org;"))).alias("elements"), F.array(F.struct(F.upper("c_mktsegment").alias("value"))).alias("name_variants")).alias("i"), (k % 10).alias("g"))
+    planted = c.select(F.struct(F.concat(F.lit("d"), (k % 50).cast("string")).alias("filename"), F.array(
+        F.struct(F.when(k % 6 != 0, k.cast("string")).alias("person_uid"), F.when(k % 2 == 0, "ssn").otherwise("email").alias("element_type"), F.when(k % 2 == 0, F.lpad(k.cast("string"), 9, "1")).otherwise(F.concat(F.lit("a"), k.cast("string"), F.lit("@b.org"))).alias("value"))).alias("plantings")).alias("p"), (k % 10).alias("g"))
+    one = ids.groupBy("g").agg(F.collect_list("i").alias("identities")).join(planted.groupBy("g").agg(F.collect_list("p").alias("documents")), "g")
+    return one.select("identities", "documents")
+
+
+@query
+def manifest_expectations(s, d):
+    m = _manifest(s, d)
+    return manifest.expected_categories(manifest.plantings(m)).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def manifest_identifiers(s, d):
+    return manifest.true_identifiers(_manifest(s, d))
+
+
+@query
+def manifest_traps(s, d):
+    traps = manifest.trap_values(manifest.plantings(_manifest(s, d)))
+    return traps.where("value rlike '^[0-9]{9}$'").select("doc", "value")
+
+
+@query
+def predicted_identifiers(s, d):
+    return manifest.predicted_identifiers(star.links(s, d), star.elements(s, d)).groupBy("person_id", "id_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def imported_manifest(s, d):
+    """What a second manifest leaves of the first, and whom they disagree on."""
+    c = table(s, d, "customer")
+    old, new = c.select(F.col("c_custkey").alias("uid"), "c_mktsegment"), c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("uid"), F.when(F.col("c_custkey") % 2 == 0, "OTHER").otherwise(F.col("c_mktsegment")).alias("c_mktsegment"))
+    after, conflicts = manifest.imported(old, new)
+    return after.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n")).unionByName(conflicts.agg(F.lit("conflicts").alias("c_mktsegment"), F.count(F.lit(1)).alias("n")))
+
+
+@query
+def recognised_lines(s, d):
+    li = table(s, d, "lineitem")
+    words = li.select((F.col("l_orderkey") % 500).alias("page_id"), (F.col("l_orderkey") % 3).alias("block_num"), F.lit(0).alias("par_num"), F.col("l_orderkey").alias("line_num"), F.col("l_linenumber").alias("word_num"), F.concat(F.col("l_returnflag"), F.col("l_linestatus")).alias("text"), (F.col("l_quantity") - 5).alias("conf"))
+    rows = parsers.lines_of_words(words)
+    return rows.select("page_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("sha256"), F.round("mean_conf", 4).alias("mean_conf"))
+
+
+@query
+def confidence_rollup(s, d):
+    rows = table(s, d, "lineitem").select(F.col("l_suppkey").alias("mention_id"), F.when(F.col("l_quantity") > 10, F.col("l_tax")).alias("confidence"))
+    return extract.rollup_min(rows, "mention_id")
+
+
+@query
+def answer_faults(s, d):
+    k = F.col("o_orderkey")
+    shapes = ['{"mentions":[{"name":"A"}],"elements":[{"element_type":"ssn","value_raw":"1","mention_ref":0,"confidence":0.5}]}', "{broken", '{"mentions":[],"elements":[{"element_type":"ssn","value_raw":"","mention_ref":null,"confidence":0.5}]}', '{"mentions":[{"name":"A"}],"elements":[{"element_type":"ssn","value_raw":"1","mention_ref":1,"confidence":0.5}]}', '{"mentions":[],"elements":[{"element_type":"ssn","value_raw":"1","mention_ref":null,"confidence":1.5}]}']
+    rows = table(s, d, "orders").select((k % 5).alias("shape"), F.element_at(F.array(*map(F.lit, shapes)), (k % 5 + 1).cast("int")).alias("answer"))
+    return extract.contract_faults(rows).groupBy("shape", F.coalesce("fault", F.lit("none")).alias("fault")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def decision_rationales(s, d):
+    """Rule and rationale of pairs with made-up contributions."""
+    k = F.col("o_orderkey")
+    held = F.map_filter(F.create_map(F.lit("name_similarity"), F.lit(0.35), F.lit("dob_match"), F.when(k % 2 == 0, 0.2), F.lit("shared_strong"), F.when(k % 5 == 0, 0.9)), lambda _, v: v.isNotNull())
+    pairs = table(s, d, "orders").select(k.alias("pair"), F.lit(0.4).alias("score"), F.when(k % 7 == 0, "hard_conflict").when(k % 3 == 0, "name_only_cap").alias("hard_reason"), held.alias("contributions"), F.when(k % 5 == 0, F.array(F.lit("ssn"))).otherwise(F.array().cast("array<string>")).alias("shared"), F.array(F.lit("passport")).alias("conflicting"))
+    return resolve.explained(pairs).groupBy("rule_id", "rationale").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def error_histogram(s, d):
+    c = table(s, d, "customer")
+    kind = lambda k, names: F.element_at(F.array(*map(F.lit, names)), (k % len(names) + 1).cast("int"))
+    persons = c.select(F.col("c_custkey").alias("uid"), kind(F.col("c_custkey"), ("matched", "split", "missed", "hallucinated", "wrongly_merged")).alias("outcome"))
+    flags = c.select(F.when(F.col("c_custkey") % 4 == 0, "trap_fp").when(F.col("c_custkey") % 4 == 1, "wrong_category").alias("error_class"))
+    missed = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("uid"), F.lit("ocr_failure").alias("error_class"))
+    return accuracy.error_histogram(persons, flags, missed)

@@ -61,3 +61,26 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     status = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "quarantined").otherwise("failed")
     return o.select(F.col("o_orderkey").alias("document_id"), (F.col("o_orderkey") % 10).alias("run_id"), F.col("o_orderpriority").alias("file_class"), status.alias("status"), F.col("o_orderdate").alias("created_at"), F.col("o_custkey").alias("person_id"))
+
+
+def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An element per line item; those of returned lines have no mention, and some of these a signal."""
+    li, k = table(spark, sf_dir, "lineitem"), F.col("l_partkey")
+    loose = F.col("l_returnflag") == "R"
+    signal = F.when(loose, F.struct(F.when(k % 50 == 0, F.col("l_suppkey") % 40).alias("reviewer_attached_person_id"), F.when(k % 30 == 0, k % 40).alias("er_join_person_id")))
+    return li.select(
+        (F.col("l_orderkey") * 10_000_000 + k * 10 + F.col("l_linenumber")).alias("element_id"), F.when(~loose, F.col("l_suppkey")).alias("mention_id"), F.col("l_orderkey").alias("document_id"), F.col("l_orderkey").alias("passage_id"),
+        F.when(F.col("l_linenumber") % 3 == 0, "ssn").when(F.col("l_linenumber") % 3 == 1, "email").otherwise("medical").alias("element_type"), (k % 90).cast("string").alias("value_normalized"),
+        F.when(F.col("l_quantity") > 25, "valid").otherwise("format_only").alias("validation_status"), F.when(F.col("l_tax") > 0.06, "test_record").alias("trap_reason"),
+        F.lit("regex").alias("detector"), F.lit(None).cast("double").alias("confidence"), signal.alias("signals"),
+    )
+
+
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select((k % 40).alias("person_id"), k.alias("mention_id"), F.lit("rule").alias("method"), (k % 7 != 0).alias("active"))
+
+
+def linked_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier")
+    return s.select(F.col("s_suppkey").alias("mention_id"), F.col("s_name").alias("name_raw"), (F.col("s_suppkey") * 3).alias("document_id"))

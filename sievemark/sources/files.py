@@ -6,7 +6,7 @@ import io
 import zipfile
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -108,9 +108,8 @@ def route(files: DataFrame) -> DataFrame:
 
 def dedup_within_run(files: DataFrame, run_col: str = "run_id") -> DataFrame:
     """The first file by path of each content in a run, with how many copies were left out."""
-    by = Window.partitionBy(run_col, "sha256")
-    ranked = files.withColumn("_r", F.row_number().over(by.orderBy("path"))).withColumn("copies", F.count(F.lit(1)).over(by) - 1)
-    return ranked.where("_r = 1").drop("_r")
+    per = files.groupBy(run_col, "sha256").agg(F.min_by(F.struct(*files.columns), "path").alias("_first"), (F.count(F.lit(1)) - 1).alias("copies"))
+    return per.select("_first.*", "copies")
 
 
 def split_quarantine(routed: DataFrame) -> tuple[DataFrame, DataFrame]:
