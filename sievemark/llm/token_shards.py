@@ -205,27 +205,30 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, nulls = np.frombuffer(row["keys"], np.int64), np.frombuffer(row["nulls"], bool)
             out = []
             for key, null, slot in zip(keys.tolist(), nulls.tolist(), shard.find(keys, nulls).tolist(), strict=True):
-                out += [(None if null else key, row["base"] + start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for start, ids in shard.records(slot)]
+                out += [(None if null else key, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for start, ids in shard.records(slot)]
             ids, start, n, crc = zip(*out, strict=True) if out else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, start, n, crc)], ["id", "start", "n_tokens", "ids_crc32"])
+            place = [pa.array(np.full(len(out), row[c], np.int32)) for c in ("range", "nth")]
+            yield pa.RecordBatch.from_arrays([*place, *(pa.array(x, pa.int64()) for x in (ids, start, n, crc))], ["range", "nth", "id", "start", "n_tokens", "ids_crc32"])
 
 
-def _based(shards: DataFrame) -> DataFrame:
-    """Shards with ``base``, the ids before them: sums within each range, and of the ranges before it (as many as were dealt, not as the data has)."""
+def _bases(shards: DataFrame) -> DataFrame:
+    """``range, nth, base``: the ids before each shard, from sums within its range and of the ranges before it (as many as were dealt)."""
     inside = Window.partitionBy("range").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = shards.select("range", "nth", "n_ids")
     ranges = sizes.groupBy("range").agg(F.sum("n_ids").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
-    bases = (
-        sizes.withColumn("within", F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).join(ranges, "range")
-        .select(F.col("range").alias("r"), F.col("nth").alias("k"), (F.col("ahead") + F.col("within")).cast("long").alias("base"))
-    )
-    return shards.join(bases, (shards["range"] == bases["r"]) & (shards["nth"] == bases["k"])).drop("r", "k")
+    within = sizes.withColumn("within", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)))
+    return within.join(ranges, "range").select("range", "nth", (F.col("ahead") + F.col("within")).cast("long").alias("base"))
 
 
 def read_shards(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
-    """Every record of the shards at ``path``, each through its shard's index: ``id_col, start, n_tokens, ids_crc32``."""
-    return _based(spark.read.parquet(path)).mapInArrow(_read, "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
+    """Every record of the shards at ``path``, each through its shard's index: ``id_col, start, n_tokens, ids_crc32``.
+
+    Payloads are read where they lie; only the numbers of each record meet their shard's base.
+    """
+    shards = spark.read.parquet(path)
+    found = shards.mapInArrow(_read, "range int, nth int, id long, start long, n_tokens long, ids_crc32 long").join(_bases(shards), ["range", "nth"])
+    return found.select(F.col("id").alias(id_col), (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def _probe(table: pa.Table) -> pa.Table:
