@@ -107,7 +107,7 @@ def call_cost(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """Cost per call from prices per million tokens, cached input apart; an unknown model costs nothing."""
     cached = F.least(F.col("cached_input_tokens"), F.col("input_tokens"))
     cost = ((F.col("input_tokens") - cached) * F.col("input_price") + cached * F.col("cached_price") + F.col("output_tokens") * F.col("output_price")) / 1e6
-    return calls.join(F.broadcast(prices), "model", "left").withColumn("cost_usd", F.round(F.coalesce(cost, F.lit(0.0)), 6)).drop("input_price", "cached_price", "output_price")
+    return calls.join(prices, "model", "left").withColumn("cost_usd", F.round(F.coalesce(cost, F.lit(0.0)), 6)).drop("input_price", "cached_price", "output_price")
 
 
 def within_budget(events: DataFrame, run_col: str, order: list[str], ceiling: float) -> DataFrame:
