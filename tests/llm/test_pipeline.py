@@ -35,3 +35,24 @@ def test_pipeline(spark, tmp_path):
     assert abs(mixed - 1.5 * size) <= 130 and max(sum(1 for r in seen["mix"] if r.doc_id == k) for k in single) <= 2
     assert {r.doc_id for r in seen["pack"]} == {r.doc_id for r in seen["mix"]}
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["pack"])
+
+
+def test_repeated_and_null_ids_are_rows_of_their_own(spark, tmp_path):
+    rows = [(None, "a b c"), (None, "d e"), (5, "f g h i"), (5, "f g h i"), (5, "k l m n o"), (6, "j"), (7, None), (8, "")]
+    spark.createDataFrame([(i, t, None, "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    single = corpus_pipeline.keep_one_of_each_group(spark, docs, "").collect()
+    assert sorted(((r.doc_id, r.text) for r in single), key=str) == sorted(set(rows), key=str)
+    spent = corpus_pipeline.mix(docs).selectExpr("sum(size * copies) AS begun", "sum(taken) AS taken", "sum(size) AS size").first()
+    out = corpus_pipeline.mix_sources(spark, docs, "").collect()
+    assert sum(len((r.text or "").split()) for r in out) == spent.begun and spent.taken == int(1.5 * spent.size)
+    assert max(sum(1 for r in out if r.text == t) for _, t in rows) <= 4 and not any(r.doc_id in (7, 8) for r in out)
+
+
+def test_empty_tables(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)).isEmpty()
+    assert corpus_pipeline.run(spark, str(tmp_path)).isEmpty()
