@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievemark.domains import FORMAT_ONLY, INVALID_CHECKSUM, VALID
 
+# The syntax of an address, types compared by digits, and the structural rules below.
 EMAIL_SYNTAX = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$"
 _DIGIT_TYPES = ("ssn", "ssn_last4", "credit_card", "passport", "financial_account")
 
