@@ -330,13 +330,17 @@ def test_top_k_equals_brute_force(spark):
     rows = [(k, [rng.uniform(-2, 2) for _ in range(12)]) for k in range(300)]
     rows += [(900 + k, rows[k][1]) for k in range(40)]  # ties
     rows += [(1000, None), (1001, [None] * 12), (1002, [float("nan")] * 12), (1003, [float("inf")] + [0.0] * 11), (1004, [1.0] * 5), (1005, [2.0] * 5), (1006, []), (None, [1.0] * 12), (1010, [1e17] * 12)]
+    rows += [(7, rows[3][1]), (7, rows[4][1]), (20, rows[20][1])]  # repeated ids, one of them a query
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, score int")
-    got = {}
-    for r in top_k(df, df.where("vec_id % 10 = 0"), k=5).collect():
-        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    data = {i: [int(np.floor(x * 1024)) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and i != 1010}
-    for q in (i for i in data if i % 10 == 0 and i < 1000):
-        best = sorted((-sum(a * b for a, b in zip(data[q], v)), i) for i, v in data.items() if i != q and len(v) == len(data[q]))
-        mine = [x for x in sorted(got[q]) if x[1] != 1010]
-        assert [(i, s) for _, i, s in mine] == [(i, -s) for s, i in best[: len(mine)]] and len(mine) >= 4
+    ends = lambda x, most: max(-most, min(most, x))
+    data = [(i, [ends(int(np.floor(x * 1024)), 9 * 10**18) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    want = {}
+    for q, x in data:
+        if q % 10 == 0 and q not in want:
+            want[q] = sorted((-ends(sum(a * b for a, b in zip(x, v)), 2**62), i) for i, v in data if i != q and len(v) == len(x))[:5]
+    for query_bytes in (1 << 24, 12 * 8 * 7):  # one block of queries, and several
+        got = {}
+        for r in top_k(df, df.where("vec_id % 10 = 0"), k=5, query_bytes=query_bytes).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], -r.score, r.vec_id))
+        assert {q: [(k + 1, *x) for k, x in enumerate(best)] for q, best in want.items() if best} == {q: sorted(x) for q, x in got.items()}
     assert top_k(df.limit(0), df.limit(0)).isEmpty()
