@@ -11,6 +11,16 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 #: The separators of words: U+0020 and U+0009 to U+000D.
 SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Models that workers keep from task to task (functions under ``lru_cache``), entered by the modules that hold them.
+MODELS: list = []
+
+
+def alone(*own) -> None:
+    """Drop what a reused worker still holds for other operators: their models, and Arrow's spare memory."""
+    for model in MODELS:
+        if model not in own:
+            model.cache_clear()
+    pa.default_memory_pool().release_unused()
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:

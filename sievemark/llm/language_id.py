@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievemark.llm.arrow_text import cut, slices
+from sievemark.llm.arrow_text import MODELS, cut, slices
 from sievemark.session import materialize
 
 #: Labelled texts per language from which the distributions are fitted, about; the choice is by a hash of id and text.
@@ -78,6 +78,9 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(hashes[order], order, len(pieces), max(map(len, pieces)))
 
 
+MODELS.append(vocabulary)
+
+
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Characters of the words behind a word-start mark, as rows padded with 0; and their lengths."""
     length = np.array([len(w) + 1 for w in words])

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievemark.llm.arrow_text import cut, slices, utf8
+from sievemark.llm.arrow_text import alone, cut, slices, utf8
 from sievemark.operators.components import connected_components
 from sievemark.session import Scratch, materialize, width
 
@@ -94,6 +94,7 @@ def _signature(grams: np.ndarray) -> int:
 
 def _named(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         for batch in batches:
             for lo, hi in slices(batch, "text"):
                 part = cut(batch, lo, hi)
@@ -140,6 +141,7 @@ def _blocks(n: int, bits: int, per_block: int = 1 << 19):
         return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _BLOCK, strict=True)], schema=_BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         sigs, sets, held, known = [], [], 0, set()
         for batch in batches:
             for lo, hi in slices(batch, "text"):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievemark.llm.arrow_text import cut, slices
+from sievemark.llm.arrow_text import alone, cut, slices
 from sievemark.llm.piece_ids import encoder
 from sievemark.session import materialize, width
 
@@ -238,6 +238,7 @@ def search_plan(histogram: dict[int, int], size: int, nodes: int = 400, branches
 
 def _pieces(path: str, size: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone(encoder)
         encode = encoder(path).encode
         kind = encoder(path).kind
         for batch in batches:

@@ -12,6 +12,8 @@ import os
 
 import numpy as np
 
+from sievemark.llm.arrow_text import MODELS
+
 #: Pieces held by a generation of the cache; a worker holds two generations at most.
 GENERATION = 250_000
 
@@ -102,6 +104,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+MODELS.append(encoder)
+
+
 def public_path(name: str) -> str:
     """Where the named public vocabulary file lies on this machine."""
     import public_tokenizers

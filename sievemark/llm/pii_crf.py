@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievemark.llm.arrow_text import cut, slices
+from sievemark.llm.arrow_text import alone, cut, slices
 
 #: Kinds in their order; label 0 is no entity.
 KINDS = ("email", "ip", "card", "phone")
@@ -318,6 +318,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", documen
     n, labels = N_FEATURES, len(KINDS) + 1
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         for batch in batches:
             for lo, hi in slices(batch, "text"):
                 rows: dict[tuple, int] = {}
@@ -360,6 +361,7 @@ def find_pii(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: st
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         for batch in batches:
             for lo, hi in slices(batch, "text"):
                 part = cut(batch, lo, hi)
@@ -391,6 +393,7 @@ def redact(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
     """``docs`` with personal data in ``text_col`` replaced by its kind in brackets; all else stays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             for lo, hi in slices(batch, text_col):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievemark.llm.arrow_text import cut, slices
+from sievemark.llm.arrow_text import alone, cut, slices
 from sievemark.session import materialize
 
 #: Labelled texts of either class (which weigh alike) from which the model is fitted, at most; the choice is by a hash of the id.
@@ -219,6 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = materialize(texts.join(F.broadcast(chosen), "id"), "toxic-sample")  # FIT_TOXIC + FIT_NEUTRAL ids at most
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         for batch in batches:
             for lo, hi in slices(batch, "text"):
                 part = cut(batch, lo, hi)
@@ -226,6 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([part.column("id").cast(pa.string()), part.column("y"), pa.array(found, pa.list_(pa.string()))], ["id", "y", "features"])
 
     def swap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 lost, gained = [], []
@@ -284,6 +286,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     weights, bias = model.weights, model.bias
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         own = ToxicityModel(weights, bias)
         for batch in batches:
             for lo, hi in slices(batch, "text"):
@@ -301,6 +304,7 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text", th
     weights, bias = model.weights, model.bias
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         own = ToxicityModel(weights, bias)
         for batch in batches:
             for lo, hi in slices(batch, text_col):
