@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,12 +16,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 MODELS: list = []
 
 
+#: Gives the C library's spare memory back to the system; only glibc has it.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def alone(*own) -> None:
-    """Drop what a reused worker still holds for other operators: their models, and Arrow's spare memory."""
+    """Drop what a reused worker still holds for other operators: their models, and the spare memory of Arrow and the C library."""
     for model in MODELS:
         if model not in own:
             model.cache_clear()
     pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:

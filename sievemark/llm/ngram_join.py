@@ -167,6 +167,7 @@ def _shared_tokens(bits: int):
     """Within a part of the token space: tokens that two or more sets hold, ranked by the octave of their count."""
 
     def run(table: pa.Table) -> pa.Table:
+        alone()
         tokens, owner, sigs, sizes, base = [], [], [], [], 0
         for row in table.select(["tokens", "owner", "sigs", "sizes"]).to_pylist():
             tokens.append(_tokens(row["tokens"]))
