@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemark.llm.chat import digest, format_conversations
-from sievemark.llm import language_id, pii_crf, toxicity
+from sievemark.llm import language_id, merge_automaton, pii_crf, toxicity
 from sievemark.llm.mixing import mix
 from sievemark.llm.ngram_join import ngram_components, ngram_link_counts
 from sievemark.llm.packing import pack
@@ -78,6 +78,11 @@ def op10_bin_completion_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
 
 
+def op11_merge_automaton_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_path("byte_bpe_50k.json")
+    return merge_automaton.digest_tokens(merge_automaton.decode(merge_automaton.encode(table(spark, sf_dir, "documents"), path), path))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op1_ngram_link_counts": op1_ngram_link_counts,
@@ -90,4 +95,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_marginal_language_id": op8_marginal_language_id,
     "op9_uniform_threshold_topk": op9_uniform_threshold_topk,
     "op10_bin_completion_packing": op10_bin_completion_packing,
+    "op11_merge_automaton_bpe": op11_merge_automaton_bpe,
 }
