@@ -51,9 +51,12 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
 
 
 def parse_turns(formatted: Column) -> Column:
-    """The turns of a formatted text: an array of ``(role, text)``, unescaped."""
+    """The turns of a formatted text: an array of ``(role, text)``, unescaped; null gives null, an empty text none.
+
+    The pattern of a head takes what it has read for good, so roles of any length are read without recursion.
+    """
     parts = F.split(formatted, END)
-    head = r"^### ((?:[^\\:]|\\[\s\S])*): "
+    head = r"^### ((?:[^\\:]++|\\[\s\S])*+): "
     return F.transform(
         F.slice(parts, 1, F.size(parts) - 1),
         lambda p: F.struct(unescape(F.regexp_extract(p, head, 1)).alias("role"), unescape(F.regexp_replace(p, head, "")).alias("text")),
@@ -61,7 +64,12 @@ def parse_turns(formatted: Column) -> Column:
 
 
 def digest(examples: DataFrame, conv_col: str = "conv_id") -> DataFrame:
-    """What a reader finds in the examples of each conversation: counts and hashes of its turns and trainable texts."""
+    """What a reader finds in the examples of each conversation: counts and hashes of its turns and trainable texts.
+
+    ``examples`` are those of ``format_conversations``; other columns are ignored, an empty
+    table gives an empty result, a null conversation id is a conversation. A conversation's
+    examples are gathered in one row.
+    """
     loss = F.expr("substring(formatted, loss_start + 1, loss_length)")
     per = examples.groupBy(conv_col).agg(
         F.max_by("formatted", "example").alias("longest"),

@@ -44,6 +44,16 @@ def test_chat_round_trip(spark):
     assert digest(format_conversations(turns.limit(0))).isEmpty()
 
 
+def test_chat_long_roles_texts_and_conversations(spark):
+    long = ["r" * 1_000_000, "a:b\\" * 20_000, ":" * 50_000, "\\" * 50_001]
+    rows = [(k, 0, role, "t" * 1_000_000) for k, role in enumerate(long)] + [(9, k, "assistant" if k % 20 == 0 else "user", f"turn {k}: ##") for k in range(2_000)]
+    got = {r.conv_id: r for r in digest(format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    for c in got:
+        said = "".join(f"{r}\n{t}\n" for i, _, r, t in rows if i == c)
+        assert got[c].turns_sha256 == hashlib.sha256(said.encode()).hexdigest()
+    assert (got[9].n_turns, got[9].loss_chars) == (2_000, sum(len(t) for i, k, _, t in rows if i == 9 and k % 20 == 0))
+
+
 # media
 
 def pack_bits(data):
