@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemark.llm.chat import digest, format_conversations
-from sievemark.llm import language_id, merge_automaton, pii_crf, toxicity
+from sievemark.llm import fill_in_middle, language_id, merge_automaton, pii_crf, spelling_trie, toxicity
 from sievemark.llm.mixing import mix
 from sievemark.llm.ngram_join import ngram_components, ngram_link_counts
 from sievemark.llm.packing import pack
@@ -83,6 +83,14 @@ def op11_merge_automaton_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_automaton.digest_tokens(merge_automaton.decode(merge_automaton.encode(table(spark, sf_dir, "documents"), path), path))
 
 
+def op12_checkpoint_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digest_examples(fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+def op13_spelling_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_trie.spelling_variants(spelling_trie.vocabulary(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op1_ngram_link_counts": op1_ngram_link_counts,
@@ -96,4 +104,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_uniform_threshold_topk": op9_uniform_threshold_topk,
     "op10_bin_completion_packing": op10_bin_completion_packing,
     "op11_merge_automaton_bpe": op11_merge_automaton_bpe,
+    "op12_checkpoint_fim": op12_checkpoint_fim,
+    "op13_spelling_trie_join": op13_spelling_trie_join,
 }
