@@ -99,13 +99,18 @@ class Automaton:
             sharers[arc[u]] += 1
         self.state, self.arc = state, arc
         self.bits = np.ascontiguousarray(grid.bits[: grid.rows, : -(-grid.columns // 8)])
-        self._stride, self._flat = self.bits.shape[1], memoryview(self.bits).cast("B")
-        self._walk: dict[bytes, int] = {}  # every beginning of a label, and the token it is (or -1)
-        for i, label in self.labels.items():
-            if arc[i] >= 0:
-                for k in range(1, len(label)):
-                    self._walk.setdefault(label[:k], -1)
-                self._walk[label] = i
+        self._flat, stride = memoryview(self.bits).cast("B"), self.bits.shape[1]
+        self._row = [stride * max(0, s) for s in state]
+        self._cell, self._bit = [a >> 3 for a in arc], [1 << (a & 7) if a >= 0 else 0 for a in arc]
+        self._size = [len(self.labels.get(i, b"")) for i in range(top)]
+        self._longest = max(self._size)
+        self._tree: tuple[dict, tuple] = {}, ()  # labels byte by byte: children, and the labels on the way here, longest first
+        for label, i in sorted((self.labels[i], i) for i in self.labels if arc[i] >= 0):
+            node, way = self._tree, ()
+            for byte in label[:-1]:
+                node = node[0].setdefault(byte, ({}, way))
+                way = node[1]
+            node[0][label[-1]] = {}, (i, *way)
 
     def encode(self, word: bytes) -> list[int]:
         """The arcs of the one path that spells ``word``, longest arcs tried first.
@@ -113,32 +118,32 @@ class Automaton:
         Every beginning of a word has one path, so a place is reached, and left, once at
         most: the work is the word's length times the longest label, however long the word.
         """
-        walk, arcs, states, flat, stride, n = self._walk, self.arc, self.state, self._flat, self._stride, len(word)
-        whole = walk.get(word, -1)
-        if whole >= 0:  # the start has every arc
-            return [whole]
-        by = [-1] * (n + 1)
-        at, here, open_arcs = 0, self.START, []
+        tree, flat, rows, cells, bits, sizes, n = self._tree[0], self._flat, self._row, self._cell, self._bit, self._size, len(word)
+        path, left = [], []  # the arcs taken, and beside each those that may still be tried in its stead
+        at, row = 0, self.START
         while at < n:
-            for end in range(at + 1, n + 1):
-                token = walk.get(word[at:end])
-                if token is None:
+            children, way = tree, ()
+            for byte in word[at : at + self._longest]:
+                node = children.get(byte)
+                if node is None:
                     break
-                if token >= 0:
-                    open_arcs.append((here, token, end))
-            while open_arcs:
-                row, token, end = open_arcs.pop()
-                arc = arcs[token]
-                if flat[row * stride + (arc >> 3)] >> (arc & 7) & 1:
-                    by[end], at, here = token, end, states[token]
-                    break
-            else:
-                raise ValueError("a byte without a token")
-        out = []
-        while n:
-            out.append(by[n])
-            n -= len(self.labels[by[n]])
-        return out[::-1]
+                children, way = node
+            arcs = iter(way)
+            while True:
+                for token in arcs:
+                    if flat[row + cells[token]] & bits[token]:
+                        break
+                else:
+                    arcs = left.pop()
+                    at -= sizes[path.pop()]
+                    row = rows[path[-1]] if path else self.START
+                    continue
+                break
+            left.append(arcs)
+            path.append(token)
+            at += sizes[token]
+            row = rows[token]
+        return path
 
     def decode(self, ids) -> str:
         """The labels of the arcs in order; bytes that are no UTF-8 become U+FFFD, ids that no token has are passed over."""
