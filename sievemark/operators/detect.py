@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievemark.domains import FORMAT_ONLY, INVALID_CHECKSUM, VALID
-from sievemark.functions.regex_spans import SPAN, last_match_end, preceding, regex_spans
+from sievemark.functions.claims import claims
+from sievemark.functions.regex_spans import last_match_end, preceding
 from sievemark.functions.validate import detector_value, status_of
 
-# Patterns in precedence order, group 1 being the value, and the cheap test a text must pass.
+# Patterns in precedence order, group 1 being the value; and the shape, in digits and the like, that a text must hold.
 RULES: tuple[tuple[str, str, str], ...] = (
     ("email", r"\b([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})\b", "@"),
     ("credit_card", r"(?<![\d-])(\d{4}([ -])\d{4}\2\d{4}\2\d{4})(?![\d-])", r"\d{4}[ -]\d{4}"),
@@ -19,10 +20,10 @@ RULES: tuple[tuple[str, str, str], ...] = (
     ("phone", r"(?<![\d-])((?:\+?1[ .-])?[2-9]\d{2}([ .-])[2-9]\d{2}\2\d{4})(?![\d-])", r"\d{3}[ .-]\d{3}[ .-]\d{4}"),
     ("ssn", r"(?<![\d-])(\d{3}-\d{2}-\d{4})(?![\d-])", r"\d{3}-\d{2}-\d{4}"),
     ("ssn", r"(?<!\d )(?<!\d)(\d{3} \d{2} \d{4})(?!\d)(?! \d)", r"\d{3} \d{2} \d{4}"),
-    ("ssn_last4", r"(?i:social\s+security(?:\s+number)?|\bssn\b)[^\n]{0,40}?(?i:ending\s+in|ending|last[\s-]?(?:four|4))[^\n\d]{0,15}(?<!\d)(\d{4})(?![\d-])", r"(?i:social|ssn)"),
-    ("passport", r"(?i:passport)(?:(?i:\s+(?:number|no\.?)))?\s*[:#|]?\s*(?<![\d-])(\d{9})(?![\d-])", r"(?i:passport)"),
-    ("ssn", r"(?i:social\s+security(?:\s+number)?|\bssn\b)\s*[:#|]?\s*(?<![\d-])(\d{9})(?![\d-])", r"(?i:social|ssn)"),
-    ("financial_account", r"(?i:acc(?:oun)?t)(?:(?i:\s+(?:number|no\.?)))?\s*[:#|]?\s*(?<![\d-])(\d{9,12})(?![\d-])", r"(?i:acc)"),
+    ("ssn_last4", r"(?i:social\s+security(?:\s+number)?|\bssn\b)[^\n]{0,40}?(?i:ending\s+in|ending|last[\s-]?(?:four|4))[^\n\d]{0,15}(?<!\d)(\d{4})(?![\d-])", r"\d{4}"),
+    ("passport", r"(?i:passport)(?:(?i:\s+(?:number|no\.?)))?\s*[:#|]?\s*(?<![\d-])(\d{9})(?![\d-])", r"\d{9}"),
+    ("ssn", r"(?i:social\s+security(?:\s+number)?|\bssn\b)\s*[:#|]?\s*(?<![\d-])(\d{9})(?![\d-])", r"\d{9}"),
+    ("financial_account", r"(?i:acc(?:oun)?t)(?:(?i:\s+(?:number|no\.?)))?\s*[:#|]?\s*(?<![\d-])(\d{9,12})(?![\d-])", r"\d{9}"),
     ("drivers_license", r"(?i:driver'?s?\s+licen[cs]e|licen[cs]e(?:\s+(?:number|no\.?))?|\bdl\b)\s*[:#|]?\s*([A-Z]\d{7})(?![0-9A-Za-z])", r"[A-Z]\d{7}"),
     ("employee_id", r"(?<![A-Za-z0-9])(E\d{5})(?![A-Za-z0-9])", r"E\d{5}"),
 )
@@ -34,27 +35,12 @@ PLACEHOLDER = (80, r"(?i)(?:\bin\s+the\s+format|\bformat[:\s]|\btemplate\b|\bpla
 TEST_RECORD = (240, r"(?i:\b(?:test\s+record|do\s+not\s+process|test\s+user|test\s+data|sample\s+data|sample\s+record|qa\s+automation|dummy)\b)|\b(?:TEST|SAMPLE|DUMMY|EXAMPLE)\b")
 SIGNATURE = (160, r"(?i)(?:\breported\s+by\b|\bhandled\s+by\b|\bregards\b|\bbest\s+regards\b|\bsincerely\b|\byours\s+truly\b|\brespectfully\b|\bsigned\b|\bthanks\b|\bthank\s+you\b)")
 
-_HIT = "array<struct<rule:int,start:int,end:int,value:string>>"
+#: Characters before a hit that the widest of these tests looks at.
+WIDEST = max(BUSINESS_REFERENCE[0], PLACEHOLDER[0], TEST_RECORD[0], SIGNATURE[0])
+#: Where digits, at signs and what belongs to them stand, with the letter or bracket before them.
+TRIGGER = r"[A-Za-z(+]?[\d@][\d .()@+-]*"
 
-
-def _under(rule: int):
-    return lambda s: F.struct(F.lit(rule).alias("rule"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))
-
-
-def claimed_spans(text: Column) -> Column:
-    """Spans of all rules in precedence order, without those that overlap one claimed before."""
-    found = []
-    for k, (_, pattern, test) in enumerate(RULES):
-        spans = F.when(text.rlike(test), regex_spans(text, pattern)).otherwise(F.array().cast(SPAN))
-        found.append(F.transform(spans, _under(k)))
-    real = F.filter(F.concat(*found), lambda s: ~s["value"].rlike(PLACEHOLDER_VALUE))
-    ordered = F.array_sort(real)
-
-    def claim(kept: Column, s: Column) -> Column:
-        met = F.exists(kept, lambda c: (s["start"] < c["end"]) & (s["end"] > c["start"]))
-        return F.when(met, kept).otherwise(F.array_append(kept, s))
-
-    return F.aggregate(ordered, F.array().cast(_HIT), claim)
+_claimed = claims([(pattern, shape) for _, pattern, shape in RULES], TRIGGER, PLACEHOLDER_VALUE, WIDEST, 40)
 
 
 def trap_reason(text: Column, start: Column, element_type: Column) -> Column:
@@ -78,24 +64,21 @@ def detect(passages: DataFrame, text_col: str = "text") -> DataFrame:
 
     Adds ``element_type, value_raw, value_normalized, char_start, char_end,
     validation_status, trap_reason, detector, snippet``; a trapped hit is format_only.
-    Passages without a digit or an at sign are left at the scan. Null and empty texts
+    Passages without a digit or an at sign are left at the scan. A text is looked at once,
+    and a hit carries the characters around it, so no later test goes back to the text. Null and empty texts
     give no row. A passage column with one of the added names is replaced.
     """
     text = F.col(text_col)
     types = F.array(*[F.lit(t) for t, _, _ in RULES])
-    hit = passages.where(text.rlike("[0-9@]")).withColumn("_hit", F.explode(claimed_spans(text)))
-    kind, value, start, end = F.element_at(types, F.col("_hit.rule") + 1), F.col("_hit.value"), F.col("_hit.start"), F.col("_hit.end")
-    hit = hit.withColumns({"element_type": kind, "value_raw": value, "char_start": start, "char_end": end})
-    kind, start = F.col("element_type"), F.col("char_start")
-    hit = hit.withColumns({"value_normalized": detector_value(kind, F.col("value_raw")), "trap_reason": trap_reason(text, start, kind)})
+    hit = passages.where(text.rlike(r"(?U)[\d@]")).withColumn("_hit", F.explode(_claimed(text)))
+    kind, value, start, before = F.element_at(types, F.col("_hit.rule") + 1), F.col("_hit.value"), F.col("_hit.start"), F.col("_hit.before")
+    hit = hit.withColumns({"element_type": kind, "value_raw": value, "char_start": start, "char_end": F.col("_hit.end"), "snippet": F.col("_hit.snippet")})
+    kind = F.col("element_type")
+    hit = hit.withColumns({"value_normalized": detector_value(kind, F.col("value_raw")), "trap_reason": trap_reason(before, F.length(before), kind)})
     status = F.when(F.col("trap_reason").isNotNull(), FORMAT_ONLY).otherwise(status_of(kind, F.col("value_normalized")))
     hit = hit.withColumn("validation_status", status)
     checked = F.col("validation_status").isin(VALID, INVALID_CHECKSUM) & kind.isin("ssn", "credit_card", "phone")
-    low = F.greatest(start - 40, F.lit(0))
-    return hit.withColumns({
-        "detector": F.when(checked, "checksum").otherwise("regex"),
-        "snippet": F.substring(text, low + 1, F.col("char_end") + 40 - low),
-    }).drop("_hit")
+    return hit.withColumn("detector", F.when(checked, "checksum").otherwise("regex")).drop("_hit")
 
 
 def cross_passage_traps(passages: DataFrame, hits: DataFrame, doc_col: str = "doc_id", seq_col: str = "seq", text_col: str = "text") -> DataFrame:
@@ -107,10 +90,9 @@ def cross_passage_traps(passages: DataFrame, hits: DataFrame, doc_col: str = "do
     widest window, come before its own. Only those characters are carried, so a document's
     text is never gathered.
     """
-    widest = max(BUSINESS_REFERENCE[0], PLACEHOLDER[0], TEST_RECORD[0], SIGNATURE[0])
-    tail = F.right(F.concat(F.lit("\n"), F.col(text_col)), F.lit(widest))
-    before = Window.partitionBy(doc_col).orderBy(seq_col).rowsBetween(-widest, -1)
-    carried = passages.withColumn("_before", F.right(F.array_join(F.collect_list(tail).over(before), ""), F.lit(widest)))
+    tail = F.right(F.concat(F.lit("\n"), F.col(text_col)), F.lit(WIDEST))
+    before = Window.partitionBy(doc_col).orderBy(seq_col).rowsBetween(-WIDEST, -1)
+    carried = passages.withColumn("_before", F.right(F.array_join(F.collect_list(tail).over(before), ""), F.lit(WIDEST)))
     keyed = carried.select(doc_col, seq_col, F.col("kind").alias("_kind"), F.col("part").alias("_part"), F.concat("_before", F.lit("\n"), F.col(text_col)).alias("_text"), (F.length("_before") + 1).alias("_shift"))
     joined = hits.join(keyed, [doc_col, seq_col], "left")
     wide = trap_reason(F.col("_text"), F.col("char_start") + F.col("_shift"), F.col("element_type"))

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievemark.domains import STRONG_TYPES
 from sievemark.functions.names import deletion_keys, normal_name
 from sievemark.functions.similarity import jaro_winkler, metaphone, token_sort
-from sievemark.operators.components import connected_components
+from sievemark.operators.constrained import HELD_LINKS, constrained_components
 from sievemark.session import materialize
 
 # Weights, caps and bands of the score.
@@ -18,6 +17,8 @@ NAME_ONLY_CAP, NAME_VARIANT_CAP = 0.40, 0.80
 SURNAME_TYPO = 0.80
 AUTO, DISTINCT = 0.85, 0.40
 MAX_NAME_BLOCK = 200
+#: Mentions of a part of a large block (no fixed value: any gives the same pairs).
+TILE = 1_000
 
 
 def mentions_of(raw: DataFrame) -> DataFrame:
@@ -50,16 +51,23 @@ def block_keys(mentions: DataFrame, phonetic: bool = True) -> DataFrame:
     return (plain.unionByName(sounded) if phonetic else plain).distinct()
 
 
-def candidate_pairs(keys: DataFrame, max_name_block: int = MAX_NAME_BLOCK) -> DataFrame:
+def candidate_pairs(keys: DataFrame, max_name_block: int = MAX_NAME_BLOCK, tile: int = TILE) -> DataFrame:
     """``left_id < right_id`` sharing a key, with the sorted keys; name and date blocks above the bound are left out.
 
-    Strong blocks are never left out, as an equal identifier decides. Block sizes come
-    from a partial aggregation, so an oversized block's rows are dropped before the join.
+    Strong blocks are never left out, as an equal identifier decides, so they are tiled: a
+    block of n mentions is dealt into n / ``tile`` parts by their ids, and each pair of
+    parts is a join key of its own. No task holds more than a tile of ``tile`` by ``tile``
+    pairs of one key, however large the block. Keys are written once and block sizes come from a partial
+    aggregation, so an oversized block's rows are dropped before the join. Repeated keys of a mention count once.
     """
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.first("strong").alias("strong")).where(f"n >= 2 and (strong or n <= {max_name_block})").select("key")
-    held = keys.join(sizes, "key").select("key", "mention_id")
-    pairs = held.alias("l").join(held.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.mention_id") < F.col("r.mention_id")))
-    return pairs.groupBy(F.col("l.mention_id").alias("left_id"), F.col("r.mention_id").alias("right_id")).agg(F.array_sort(F.collect_set("l.key")).alias("blocks"))
+    keys = materialize(keys.distinct(), "resolve-keys")
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.first("strong").alias("strong")).where(f"n >= 2 and (strong or n <= {max_name_block})")
+    parts = F.ceil(F.col("n") / tile).cast("int")
+    held = keys.join(sizes.select("key", parts.alias("parts")), "key").select("key", "mention_id", "parts", F.pmod(F.xxhash64("mention_id"), F.col("parts")).cast("int").alias("part"))
+    one = held.select("key", F.col("mention_id").alias("l"), F.col("part").alias("i"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("j"))
+    two = held.select("key", F.col("mention_id").alias("r"), F.explode(F.sequence(F.lit(0), "part")).alias("i"), F.col("part").alias("j"))
+    pairs = one.join(two, ["key", "i", "j"]).where("i < j or l < r")
+    return pairs.groupBy(F.least("l", "r").alias("left_id"), F.greatest("l", "r").alias("right_id")).agg(F.array_sort(F.collect_set("key")).alias("blocks"))
 
 
 def _values(side: str, kind: str) -> Column:
@@ -136,72 +144,37 @@ def score_pairs(features: DataFrame) -> DataFrame:
     })
 
 
-def _greedy(edges: pd.DataFrame) -> pd.DataFrame:
-    """One component: links in the order of falling score, refused where they would join enemies."""
-    root: dict = {}
-
-    def find(x):
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    foes: dict = {}
-    for left, right in edges.loc[edges.enemy, ["left_id", "right_id"]].itertuples(index=False):
-        foes.setdefault(left, set()).add(right)
-        foes.setdefault(right, set()).add(left)
-    members: dict = {}
-    refused = []
-    links = edges.loc[~edges.enemy].sort_values(["score", "left_id", "right_id"], ascending=[False, True, True])
-    for left, right in links[["left_id", "right_id"]].itertuples(index=False):
-        a, b = find(left), find(right)
-        if a == b:
-            continue
-        if len(members.get(a, ())) > len(members.get(b, ())):
-            a, b = b, a
-        mine = members.pop(a, {a})
-        if any(foe in members.get(b, {b}) for x in mine for foe in foes.get(x, ())):
-            members[a] = mine
-            refused.append((left, right))
-            continue
-        root[a] = b
-        members[b] = members.get(b, {b}) | mine
-    names = {r: min(g) for r, g in members.items()}
-    nodes = sorted(set(links.left_id) | set(links.right_id))
-    out = [(x, None, names.get(find(x), x)) for x in nodes] + [(left, right, None) for left, right in refused]
-    return pd.DataFrame(out, columns=["left_id", "right_id", "cluster_id"])
-
-
-def cluster(mentions: DataFrame, scored: DataFrame, auto: float = AUTO, distinct: float = DISTINCT) -> tuple[DataFrame, DataFrame]:
+def cluster(mentions: DataFrame, scored: DataFrame, auto: float = AUTO, distinct: float = DISTINCT, held: int = HELD_LINKS) -> tuple[DataFrame, DataFrame]:
     """``(mention_id, cluster_id)`` for all mentions, and each scored pair's band.
 
-    Links run along pairs at or above ``auto`` without a hard reason. A connected
-    component without a conflict inside is a cluster as it is, found by joins alone;
-    only components that hold a conflict are worked greedily, each by itself, as no
-    link crosses components. Bands: auto, blocked_by_conflict, gray, hard_conflict, other.
+    Links run along pairs at or above ``auto`` without a hard reason, in the order of
+    ``constrained_components``, with the pairs in hard conflict as enemies. Bands: auto,
+    blocked_by_conflict, gray, hard_conflict, other.
     """
-    kind = scored.schema["left_id"].dataType.simpleString()
     scored = materialize(scored, "resolve-scored")  # read by every step below
-    linkable = (F.col("score") >= auto) & F.col("hard_reason").isNull()
-    links = materialize(scored.where(linkable).select("left_id", "right_id", "score"), "resolve-links")
-    label = materialize(connected_components(links, "left_id", "right_id"), "resolve-components")
-    ends = lambda df: df.join(label.withColumnsRenamed({"node": "left_id", "component": "c"}), "left_id").join(label.withColumnsRenamed({"node": "right_id", "component": "d"}), "right_id").where("c = d")
-    foes = ends(scored.where(F.col("hard_reason") == "hard_conflict").select("left_id", "right_id", F.lit(0.0).alias("score"))).withColumn("enemy", F.lit(True))
-    torn = foes.select("c").distinct()
-    inside = ends(links).withColumn("enemy", F.lit(False)).join(torn, "c", "left_semi").unionByName(foes)
-    worked = materialize(inside.select("c", "left_id", "right_id", "score", "enemy").groupBy("c").applyInPandas(_greedy, f"left_id {kind}, right_id {kind}, cluster_id {kind}"), "resolve-greedy")
-    whole = label.join(torn.withColumnRenamed("c", "component"), "component", "left_anti").select(F.col("node").alias("mention_id"), F.col("component").alias("cluster_id"))
-    found = whole.unionByName(worked.where("cluster_id is not null").select(F.col("left_id").alias("mention_id"), "cluster_id"))
-    clusters = mentions.select("mention_id").join(found, "mention_id", "left").withColumn("cluster_id", F.coalesce("cluster_id", "mention_id"))
-    blocked = worked.where("right_id is not null").select("left_id", "right_id", F.lit(True).alias("blocked"))
-    of = lambda side: clusters.withColumnsRenamed({"mention_id": f"{side}_id", "cluster_id": f"{side}_cluster"})
-    clusters = materialize(clusters, "resolve-clusters")
-    banded = scored.join(of("left"), "left_id").join(of("right"), "right_id").join(blocked, ["left_id", "right_id"], "left")
-    band = (
-        F.when(F.col("blocked"), "blocked_by_conflict").when(linkable, "auto").when(F.col("hard_reason") == "hard_conflict", "hard_conflict")
-        .when((F.col("score") > distinct) & (F.col("score") < auto) & (F.col("left_cluster") != F.col("right_cluster")), "gray").otherwise("other")
-    )
-    return clusters, materialize(banded.withColumn("band", band).drop("blocked"), "resolve-bands")
+    links = scored.where(_linkable(auto)).select("left_id", "right_id", "score")
+    found = constrained_components(links, scored.where("hard_reason = 'hard_conflict'").select("left_id", "right_id"), held)
+    found = found.withColumnsRenamed({"node": "mention_id", "component": "cluster_id"})
+    clusters = materialize(mentions.select("mention_id").join(found, "mention_id", "left").withColumn("cluster_id", F.coalesce("cluster_id", "mention_id")), "resolve-clusters")
+    return clusters, materialize(banded(scored, clusters, auto, distinct), "resolve-bands")
+
+
+def _linkable(auto: float) -> Column:
+    return (F.col("score") >= auto) & F.col("hard_reason").isNull()
+
+
+def banded(scored: DataFrame, clusters: DataFrame, auto: float = AUTO, distinct: float = DISTINCT) -> DataFrame:
+    """Scored pairs with both ends' clusters and the band that follows.
+
+    A link whose ends lie in different clusters was refused, as enemies stay enemies: it is blocked.
+    """
+    of = lambda side: clusters.select(F.col("mention_id").alias(f"{side}_id"), F.col("cluster_id").alias(f"{side}_cluster"))
+    pairs = scored.join(of("left"), "left_id").join(of("right"), "right_id")
+    apart = F.col("left_cluster") != F.col("right_cluster")
+    return pairs.withColumn("band", (
+        F.when(_linkable(auto) & apart, "blocked_by_conflict").when(_linkable(auto), "auto").when(F.col("hard_reason") == "hard_conflict", "hard_conflict")
+        .when((F.col("score") > distinct) & (F.col("score") < auto) & apart, "gray").otherwise("other")
+    ))
 
 
 def decisions(banded: DataFrame, auto: float = AUTO, distinct: float = DISTINCT) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievemark.domains import VALID
-from sievemark.session import materialize
+from sievemark.operators.components import connected_components
+from sievemark.session import Scratch
 
 #: Links of merged persons above which a merge asks for approval (fixed value).
 BULK_LINKS = 10
@@ -21,16 +22,27 @@ def latest(decisions: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return decisions.withColumn("_r", last).where("_r = 1").drop("_r")
 
 
-def survivors(merges: DataFrame, rounds: int = 40) -> DataFrame:
-    """``absorbed, survivor`` with chains followed to their ends, halving them in each round; cycles keep their least."""
-    step = materialize(merges.select("absorbed", "survivor").where("absorbed <> survivor").groupBy("absorbed").agg(F.min("survivor").alias("survivor")), "merges")
-    for _ in range(rounds):
-        jump = step.alias("a").join(step.alias("b"), F.col("a.survivor") == F.col("b.absorbed"), "left")
-        ahead = materialize(jump.select(F.col("a.absorbed").alias("absorbed"), F.when(F.col("b.survivor") == F.col("a.absorbed"), F.least("a.absorbed", "a.survivor")).otherwise(F.coalesce("b.survivor", "a.survivor")).alias("survivor")), "merges")
-        if ahead.exceptAll(step).isEmpty():
-            break
-        step = ahead
-    return step.where("absorbed <> survivor")
+def survivors(merges: DataFrame) -> DataFrame:
+    """``absorbed, survivor`` for each person that merges lead into another one.
+
+    Merges are edges: all persons that they connect are one. That one is the person of
+    them who is never absorbed, the least of several (``doubly_absorbed`` names what made
+    them several), and the least of all where merges run in a circle. Repeated merges count once; merges
+    of a person into itself, or with a null end, count for nothing.
+    """
+    scratch = Scratch(merges.sparkSession)
+    merges = scratch.keep(merges.select("absorbed", "survivor").where("absorbed <> survivor").distinct(), "merges")
+    label = scratch.keep(connected_components(merges, "absorbed", "survivor"), "merge-groups")
+    kept = merges.select(F.col("survivor").alias("node")).distinct().join(merges.select(F.col("absorbed").alias("node")), "node", "left_anti")
+    goals = label.join(kept.withColumn("kept", F.lit(True)), "node", "left").groupBy("component").agg(F.min(F.when(F.col("kept"), F.col("node"))).alias("least"))
+    goal = F.coalesce("least", "component")  # a component is named by its least node
+    return label.join(goals, "component").select(F.col("node").alias("absorbed"), goal.alias("survivor")).where("absorbed <> survivor")
+
+
+def doubly_absorbed(merges: DataFrame) -> DataFrame:
+    """Persons that merges lead into more than one other, with these: ``absorbed, into``."""
+    own = merges.where("absorbed <> survivor").groupBy("absorbed").agg(F.array_sort(F.collect_set("survivor")).alias("into"))
+    return own.where("size(into) > 1")
 
 
 def merge_persons(links: DataFrame, merges: DataFrame) -> DataFrame:

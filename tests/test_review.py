@@ -69,3 +69,13 @@ def test_quotes(spark):
     e = spark.createDataFrame([("f", "p"), ("g", "p")], "flag_id string, passage_id string")
     got = review.verified_quotes(q, e, spark.createDataFrame([("p", "the exact words here")], "passage_id string, text string"))
     assert {r.flag_id: r.verified for r in got.collect()} == {"f": True, "g": False}
+
+
+def test_circles_chains_and_double_merges(spark):
+    rows = [("a", "b"), ("b", "c"), ("c", "a"), ("d", "e"), ("e", "f"), ("f", "g"), ("g", "h"), ("h", "d"), ("p", "q"), ("p", "r"), ("s", "r"), ("q", "q"), (None, "a"), ("x", "y"), ("x", "y")]
+    merges = spark.createDataFrame(rows, "absorbed string, survivor string")
+    got = {r.absorbed: r.survivor for r in review.survivors(merges).collect()}
+    assert got == {"b": "a", "c": "a", "e": "d", "f": "d", "g": "d", "h": "d", "p": "q", "r": "q", "s": "q", "x": "y"}
+    assert [(r.absorbed, r.into) for r in review.doubly_absorbed(merges).collect()] == [("p", ["q", "r"])]
+    long = spark.createDataFrame([(k, k + 1) for k in range(100)], "absorbed long, survivor long")
+    assert {(r.absorbed, r.survivor) for r in review.survivors(long).collect()} == {(k, 100) for k in range(100)}
