@@ -36,6 +36,17 @@ def latest_run(documents: DataFrame) -> DataFrame:
     return documents.where("run_id is not null").groupBy("run_id").agg(F.max("created_at").alias("at")).agg(F.max_by("run_id", F.struct("at", "run_id")).alias("run_id")).where("run_id is not null")
 
 
+def latest_run_with_persons(runs: DataFrame, persons: DataFrame) -> DataFrame:
+    """The newest run that has a person, the greater id on ties: one row ``run_id``, none without persons. ``runs (run_id, created_at)``."""
+    held = runs.join(persons.select("run_id").distinct(), "run_id", "left_semi")
+    return held.agg(F.max_by("run_id", F.struct("created_at", "run_id")).alias("run_id")).where("run_id is not null")
+
+
+def flags_of_persons(flags: DataFrame, persons: DataFrame) -> DataFrame:
+    """All flags of the given persons, by person and category; no persons, no flags."""
+    return flags.join(persons.select("person_id").distinct(), "person_id", "left_semi").orderBy("person_id", "category")
+
+
 def run_status(documents: DataFrame, quarantines: DataFrame) -> DataFrame:
     """Per run and status: documents, and how many of them have an open quarantine row."""
     held = quarantines.where("status = 'open'").select("document_id").distinct().withColumn("held", F.lit(1))

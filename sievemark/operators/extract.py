@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievemark.domains import ELEMENT_CATEGORY
+
 # Weights of a composite confidence.
 SIGNAL_WEIGHTS = {"logprob": 0.35, "agreement": 0.25, "validator": 0.25, "grounding": 0.15}
 REPAIRED_CAP = 0.75
@@ -148,8 +150,8 @@ ANSWER = "mentions array<struct<name:string>>, elements array<struct<element_typ
 def contract_faults(answers: DataFrame, answer_col: str = "answer") -> DataFrame:
     """``fault`` beside each answer: null, or the first rule that it breaks.
 
-    Rules, in order: the answer is JSON; every element has a value, a confidence between
-    0 and 1, and a mention reference that is null or a place in the mentions.
+    Rules, in order: the answer is JSON; every element has a type of the closed domain, a
+    value, a confidence between 0 and 1, and a mention reference that is null or a place in the mentions.
     """
     got = F.from_json(F.col(answer_col), ANSWER)
     elements, n = F.coalesce(got["elements"], F.array().cast("array<struct<element_type:string,value_raw:string,mention_ref:int,confidence:double>>")), F.coalesce(F.size(got["mentions"]), F.lit(0))
@@ -157,7 +159,8 @@ def contract_faults(answers: DataFrame, answer_col: str = "answer") -> DataFrame
     empty = F.exists(elements, lambda e: F.coalesce(F.length(e["value_raw"]), F.lit(0)) == 0)
     unsure = F.exists(elements, lambda e: e["confidence"].isNull() | (e["confidence"] < 0) | (e["confidence"] > 1))
     dangling = F.exists(elements, lambda e: F.coalesce((e["mention_ref"] < 0) | (e["mention_ref"] >= F.greatest(n, F.lit(0))), F.lit(False)))
-    return answers.withColumn("fault", F.when(~valid, "not_json").when(empty, "empty_value").when(unsure, "confidence").when(dangling, "mention_ref"))
+    strange = F.exists(elements, lambda e: ~F.coalesce(e["element_type"].isin(*ELEMENT_CATEGORY, "name"), F.lit(False)))
+    return answers.withColumn("fault", F.when(~valid, "not_json").when(strange, "element_type").when(empty, "empty_value").when(unsure, "confidence").when(dangling, "mention_ref"))
 
 
 def sheet_sample(sheets: DataFrame, rows: int = 5) -> DataFrame:

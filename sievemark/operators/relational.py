@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievemark.session import materialize
+
 
 def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
     """One page of ``df`` in a total order; Spark plans it as a top-n."""
@@ -111,6 +113,19 @@ def call_cost(calls: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def within_budget(events: DataFrame, run_col: str, order: list[str], ceiling: float) -> DataFrame:
-    """Marks each event with whether its run had spent less than ``ceiling`` before it."""
-    before = Window.partitionBy(run_col).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return events.withColumn("spent_before", F.coalesce(F.sum("cost_usd").over(before), F.lit(0.0))).withColumn("allowed", F.col("spent_before") < ceiling)
+    """Marks each event with what its run had ``spent_before`` it, and whether that is less than ``ceiling`` (``allowed``).
+
+    Sums in two levels: events are dealt into ranges of run and order, and written; the
+    ranges' sums give what a range's run had spent before the range, and only events of
+    one range and run are summed one by one. So a run that holds most events is spread over tasks, and
+    no window holds a whole run. Events alike in run and order stand in any order; a null
+    cost counts as nothing, a null run is a run; an empty table gives an empty result.
+    """
+    ranges = materialize(events.repartitionByRange(run_col, *order).withColumn("_range", F.spark_partition_id()), "budget-ranges")
+    sums = ranges.groupBy(F.col(run_col).alias("_run"), F.col("_range").alias("_of")).agg(F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("_sum"))
+    earlier = Window.partitionBy("_run").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select("_run", "_of", F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)).alias("_base"))
+    before = Window.partitionBy(run_col, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranges.withColumn("_within", F.coalesce(F.sum("cost_usd").over(before), F.lit(0.0))).join(bases, F.col(run_col).eqNullSafe(F.col("_run")) & (F.col("_range") == F.col("_of")))
+    spent = F.col("_base") + F.col("_within")
+    return placed.withColumn("spent_before", spent).withColumn("allowed", F.col("spent_before") < ceiling).select(*events.columns, "spent_before", "allowed")

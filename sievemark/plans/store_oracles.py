@@ -65,4 +65,22 @@ SELECT person_id, search FROM p, (SELECT unnest(['00012', 'build', 'r#0%77', '9'
 SELECT k AS absorbed, k - k % 20 AS survivor FROM c WHERE k % 20 BETWEEN 1 AND 4
 UNION ALL SELECT k, k - k % 20 + 8 FROM c WHERE k % 20 IN (6, 7)
 UNION ALL SELECT k + x, k + 1 FROM c, (SELECT unnest([0, 2]) AS x) WHERE k % 20 = 10""",
+    "flags_of_persons": f"WITH {_FLAGS} SELECT person_id, category, confidence, evidence_count FROM flags JOIN customer ON c_custkey = person_id WHERE c_acctbal < 0",
+    "latest_run_with_persons": "SELECT o_orderkey % 10 AS run_id FROM orders WHERE o_orderkey % 10 NOT IN (1, 4) ORDER BY o_orderdate DESC, run_id DESC LIMIT 1",
+    "judged_merges": f"""WITH {_MENTIONS}, n AS (SELECT count(*) AS n FROM customer),
+asked AS (SELECT c_custkey AS k, CASE c_custkey % 5 WHEN 0 THEN c_custkey WHEN 1 THEN c_custkey + n WHEN 2 THEN (c_custkey + 997) % n ELSE (c_custkey + 130) % n END AS r, CASE WHEN c_custkey % 4 = 3 THEN 'no_merge' ELSE 'merge' END AS decision FROM customer, n),
+sizes AS (SELECT mention_id % 150 AS p, count(*) AS size FROM mentions WHERE mention_id % 13 <> 0 GROUP BY 1),
+sides AS (SELECT k, k AS m FROM asked UNION ALL SELECT k, r FROM asked),
+held AS (SELECT k, CASE WHEN m < n AND m % 13 <> 0 THEN m % 150 END AS p, count(*) AS c FROM sides, n GROUP BY ALL),
+impact AS (SELECT k, CAST(sum(CASE WHEN held.p IS NULL THEN c ELSE size END) AS BIGINT) AS impact FROM held LEFT JOIN sizes ON sizes.p = held.p GROUP BY k),
+judged AS (SELECT a.k, a.decision, a.k = a.r AS same, y.mention_id IS NULL AS unknown, x.phone <> y.phone OR (x.email <> y.email AND x.email IS NOT NULL AND y.email IS NOT NULL) AS conflict,
+  x.phone = y.phone OR coalesce(x.email = y.email, false) OR coalesce(x.dob = y.dob, false) OR x.doc_id = y.doc_id AS backed FROM asked a JOIN mentions x ON x.mention_id = a.k LEFT JOIN mentions y ON y.mention_id = a.r)
+SELECT k AS proposal_id, CASE WHEN same THEN 'identical' WHEN unknown THEN 'unknown_mention' WHEN decision = 'merge' AND conflict THEN 'hard_conflict' WHEN decision = 'merge' AND NOT backed THEN 'name_only' WHEN decision = 'merge' AND impact > 10 THEN 'pending_approval' ELSE decision END AS outcome, impact
+FROM judged JOIN impact USING (k)""",
+    "checked_estimates": """WITH v AS (SELECT l_orderkey AS k, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS c FROM lineitem GROUP BY 1),
+e AS (SELECT o_orderkey AS k, o_orderkey % 6 AS s, o_orderkey % 3 AS a, o_orderkey % 4 AS b, coalesce(n, 0) AS n, coalesce(c, 0) AS c FROM orders LEFT JOIN v ON v.k = o_orderkey),
+f AS (SELECT *, CASE WHEN s < 1 THEN 'sample_size' WHEN k % 50 = 0 THEN 'range' WHEN a + b > s THEN 'exceeds_sample' ELSE 'none' END AS fault FROM e)
+SELECT k AS audit_id, n AS verdicts_recorded, fault, CASE WHEN fault <> 'none' THEN 'none' WHEN a + b <> n THEN 'verdicts' WHEN b <> c THEN 'contradicted' ELSE 'none' END AS warning FROM f""",
+    "accuracy_summaries": """SELECT o_orderkey AS accuracy_run_id, ['failed', 'finished', 'running', 'pending'][o_orderkey % 4 + 1] AS status, o_orderpriority AS config_profile, CASE WHEN o_orderkey % 4 = 1 THEN o_orderkey % 10 / 10.0 END AS person_precision,
+  CAST(NULL AS DOUBLE) AS person_recall, CASE WHEN o_orderkey % 4 = 1 THEN CAST(0.5 AS DOUBLE) END AS person_f1, CASE WHEN o_orderkey % 4 = 1 THEN o_orderkey % 7 END AS trap_derived_fp_flags FROM orders""",
 }

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from sievemark.functions.redact import redact_json
-from sievemark.operators import calibrate, chunks, extract, resolve, review
+from sievemark.operators import calibrate, casework, chunks, extract, gate, resolve, review
 from sievemark.operators.incremental import ResolutionStore
 from sievemark.operators.search import ElementIndex, NameIndex
 from sievemark.plans import star
@@ -157,3 +157,42 @@ def merge_circles(s, d):
     chain = c.where((k % 20).isin(6, 7)).select(k.alias("absorbed"), (k + 1).alias("survivor"))
     double = c.where(k % 20 == 10).select(k.alias("absorbed"), F.explode(F.array(k + 1, k + 2)).alias("survivor"))
     return review.survivors(circle.unionByName(chain).unionByName(double))
+
+
+@query
+def flags_of_persons(s, d):
+    return casework.flags_of_persons(star.flags(s, d), star.persons(s, d).where("review_status = 'needs_review'")).select("person_id", "category", "confidence", "evidence_count")
+
+
+@query
+def latest_run_with_persons(s, d):
+    docs = star.documents(s, d)
+    runs = docs.groupBy("run_id").agg(F.max("created_at").alias("created_at"))
+    return casework.latest_run_with_persons(runs, docs.where("run_id not in (1, 4) and person_id is not null").select("run_id"))
+
+
+@query
+def judged_merges(s, d):
+    """Proposals to merge each mention with others of its telephone and of its name: what the gate makes of them."""
+    m = resolve.mentions_of(star.mentions(s, d))
+    k, n = F.col("c_custkey"), table(s, d, "customer").count()
+    asked = table(s, d, "customer").select(k.alias("proposal_id"), k.alias("left_id"), F.when(k % 5 == 0, k).when(k % 5 == 1, k + n).when(k % 5 == 2, (k + 997) % n).otherwise((k + 130) % n).alias("right_id"), F.when(k % 4 == 3, "no_merge").otherwise("merge").alias("decision"))
+    held = star.mentions(s, d).select("mention_id", (F.col("mention_id") % 150).alias("person_id"), (F.col("mention_id") % 13 != 0).alias("active"))
+    return gate.judged_proposals(asked, m, held).select("proposal_id", "outcome", "impact")
+
+
+@query
+def checked_estimates(s, d):
+    o, li = table(s, d, "orders"), table(s, d, "lineitem")
+    seen = li.select(F.col("l_orderkey").alias("audit_id"), F.col("l_partkey").alias("flag_id"), F.when(F.col("l_returnflag") == "R", "contradicted").otherwise("verified").alias("verdict"))
+    k = F.col("o_orderkey")
+    made = o.select(k.alias("audit_id"), (k % 6).alias("sample_size"), (k % 3).alias("verified"), (k % 4).alias("contradicted"), F.when(k % 50 == 0, 1.5).otherwise(0.5).alias("estimated_error_rate"))
+    return gate.checked_estimates(made, seen).select("audit_id", "verdicts_recorded", F.coalesce("fault", F.lit("none")).alias("fault"), F.coalesce("warning", F.lit("none")).alias("warning"))
+
+
+@query
+def accuracy_summaries(s, d):
+    k = F.col("o_orderkey")
+    metrics = F.when(k % 4 == 0, F.to_json(F.struct(F.lit("boom").alias("error")))).when(k % 4 == 1, F.to_json(F.struct(F.struct((k % 10 / 10).alias("precision"), F.lit(0.5).alias("f1")).alias("person"), F.struct((k % 7).alias("trap_derived_fp_flags")).alias("trap_scorecard"))))
+    runs = table(s, d, "orders").select(k.alias("accuracy_run_id"), F.to_json(F.struct(F.col("o_orderpriority").alias("config_profile"))).alias("config_snapshot"), metrics.alias("metrics"), F.when(k % 4 != 3, F.col("o_orderdate")).alias("started_at"), F.when(k % 4 < 2, F.col("o_orderdate")).alias("finished_at"), F.col("o_orderdate").alias("created_at"))
+    return gate.accuracy_summaries(runs).select("accuracy_run_id", "status", "config_profile", "person_precision", "person_recall", "person_f1", "trap_derived_fp_flags")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sievemark.functions.regex_spans import regex_spans
 from sievemark.functions.validate import luhn_valid, nanp_valid, ssn_valid
-from sievemark.operators.detect import RULES, cross_passage_traps, detect
+from sievemark.operators.detect import PLACEHOLDER_VALUE, RULES, cross_passage_traps, detect
 
 
 def hits(spark, *texts):
@@ -53,6 +53,39 @@ def test_spans_equal_python(spark):
             assert [(s.start, s.end, s.value) for s in row[f"r{k}"]] == want, (texts[row.id], pattern)
 
 
+def claimed_by_hand(text):
+    """Rule by rule, each match held against all that is claimed."""
+    kept = []
+    for kind, pattern, _ in RULES:
+        for m in re.finditer(pattern, text):
+            a, b = m.span(1)
+            if not any(a < y and b > x for x, y, _ in kept) and not re.search(PLACEHOLDER_VALUE, m[1]):
+                kept.append((a, b, kind))
+    return sorted(kept)
+
+
+def test_claims_equal_the_definition(spark):
+    rng = random.Random(15)
+    bits = ["SSN ", "ssn: ", "123-45-6789", "123 45 6789", "4111 1111 1111 1111", "4111-111111-11111", "4111111111111111", "é", "😀", "a@b.org", "x.y@b.co.uk", "(212) 555-0147", "+1 212-555-0147", "212.555.0147",
+            "passport ", "passport no. | ", "123456789", "1234567890", "\n", " ", "-", "E12345", "account no. ", "acct ", "D1234567", "DL ", "driver's license # ", "social security number ending in ", "last four ", "4321", "12", "(", ")", "+", "٣٤٥", "[SSN]", "XXX-XX-1234"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(1_200)]
+    got = {}
+    for r in detect(spark.createDataFrame(list(enumerate(texts)), "id int, text string")).collect():
+        got.setdefault(r.id, []).append((r.char_start, r.char_end, r.element_type))
+        text = texts[r.id]
+        assert r.value_raw == text[r.char_start : r.char_end] and r.snippet == text[max(0, r.char_start - 40) : r.char_end + 40]
+    assert {k: sorted(v) for k, v in got.items()} == {k: c for k, t in enumerate(texts) if (c := claimed_by_hand(t))}
+    assert {kind for v in got.values() for _, _, kind in v} == {kind for kind, _, _ in RULES}
+
+
+def test_a_text_of_a_hundred_thousand_hits(spark):
+    text = "E12345 a@b.org 123-45-6789\n" * 35_000
+    found = detect(spark.createDataFrame([(1, text), (2, "no hit")], "id int, text string"))
+    assert {r.element_type: r["count"] for r in found.groupBy("element_type").count().collect()} == {"employee_id": 35_000, "email": 35_000, "ssn": 35_000}
+    plan = detect(spark.createDataFrame([(1, text)], "id int, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_validators(spark):
     df = spark.createDataFrame([("79927398713",), ("4222222222222",), ("378282246310005",), ("79927398710",), ("4",), ("",), ("abc",)], "v string")
     assert [r[0] for r in df.select(luhn_valid(F.col("v"))).collect()] == [True, True, True, False, False, False, False]

@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievemark.functions.names import deletion_keys, iso_date, normal_name
-from sievemark.functions.similarity import jaro_winkler_one, metaphone_one, token_sort_one
+from sievemark.functions.similarity import common_many, jaro_winkler, jaro_winkler_many, metaphone_one, token_sort, token_sort_many
 from sievemark.operators import exposure, resolve
 from sievemark.operators.components import connected_components
+from similarity_by_hand import jaro_winkler_one, token_sort_one
 
 MENTION = "mention_id string, doc_id string, name_raw string, dob string, elements map<string,array<string>>"
 SSN_A, SSN_B, SSN_C, SSN_D = "123456789", "223456789", "323456789", "423456789"
@@ -88,6 +89,19 @@ def test_similarities():
     assert metaphone_one("Thompson") == metaphone_one("Thomson") or metaphone_one("Knight") == metaphone_one("Night")
 
 
+def test_batches_equal_single_pairs(spark):
+    rng = random.Random(21)
+    word = lambda n, letters="abcde é\U0001f600": "".join(rng.choice(letters) for _ in range(n))
+    a = ["", "", "a", "martha", "x" * 63, "x" * 64, "ab" * 100, " ", "é"] + [word(rng.randint(0, 24)) for _ in range(20_000)] + [word(rng.randint(50, 150), "ab ") for _ in range(60)]
+    b = ["", "a", "", "marhta", "x" * 200, "x" * 65, "ba" * 100, "", "é"] + [word(rng.randint(0, 24)) if rng.random() < 0.5 else x[::-1] + "b" for x in a[9:20_009]] + [word(rng.randint(50, 150), "ab ") for _ in range(60)]
+    assert jaro_winkler_many(a, b).tolist() == pytest.approx([jaro_winkler_one(x, y) for x, y in zip(a, b)], abs=1e-12)
+    assert token_sort_many(a, b).tolist() == pytest.approx([token_sort_one(x, y) for x, y in zip(a, b)], abs=1e-12)
+    assert len(common_many([], [])) == len(jaro_winkler_many([], [])) == 0
+    rows = [("martha", "marhta"), (None, "a"), ("a", None), (None, None), ("", ""), ("martha", "marhta")]
+    got = spark.createDataFrame(rows, "a string, b string").select(jaro_winkler("a", "b").alias("j"), token_sort("a", "b").alias("t")).collect()
+    assert [r.j is None for r in got] == [False, True, True, True, False, False] and got[0] == got[5] and got[4].j == got[4].t == 1.0
+
+
 def _brute(nodes, links, foes):
     root = {n: {n} for n in nodes}
     blocked = []
