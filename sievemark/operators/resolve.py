@@ -255,6 +255,7 @@ def explained(pairs: DataFrame) -> DataFrame:
     rule = F.when(conflict, "hard_conflict").when(has("shared_strong"), exact).when(parts != "", parts).otherwise("no_evidence")
     told = F.array_join(F.transform(F.array_sort(F.map_entries(held)), lambda e: F.format_string("%s %+.2f", e["key"], e["value"])), ", ")
     detail = F.when(F.coalesce(F.size(held), F.lit(0)) > 0, told).otherwise("no scoring evidence")
+    # The sentences of a rationale.
     text = F.concat(F.format_string("score %.2f (", F.col("score")), detail, F.lit(")"), F.when(F.col("hard_reason").isNotNull(), F.concat(F.lit("; capped: "), "hard_reason", F.lit(" (uncorroborated name evidence)"))).otherwise(""))
     hard = F.concat(F.lit("hard conflict: both mentions carry disjoint "), F.array_join("conflicting", ", "), F.lit(" values; score forced to 0"))
     return pairs.withColumns({"rule_id": rule, "rationale": F.when(conflict, hard).otherwise(text)})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from sievemark.operators import detect
 from sievemark.plans import star
 from sievemark.sources.parsers import HEADERS
 
@@ -57,11 +58,8 @@ found AS (
   UNION ALL SELECT doc_id, 'credit_card', unnest(regexp_extract_all(u, '[^0-9-]([0-9]{13,19})[^0-9-]', 1)) FROM padded
   UNION ALL SELECT doc_id, 'phone', unnest(regexp_extract_all(text, '(\([2-9][0-9]{2}\)\s?[2-9][0-9]{2}-[0-9]{4})', 1)) FROM padded
 )"""
-_REFERENCE = r"\b(?:order|invoice|ticket|case|claim|p\.?o\.?|purchase\s+order|ref(?:erence)?|confirmation|tracking|serial)\b(?:\s+(?:number|no\.?|num))?\s*[:#]?"
-_AFFIRMING = r"(?:\bssn\b|social\s+security|card\s+number|credit\s+card|card\s+on\s+file|\bcard\b|\bacc(?:oun)?t\b|direct\s+deposit|payroll|w-2|passport|licen[cs]e|\bmember\b|\bemployee\b|\bphone\b|\bcall\b|e-?mail|\bcontact\b)"
-_PLACEHOLDER = r"(?:\bin\s+the\s+format|\bformat[:\s]|\btemplate\b|\bplaceholder\b|\bfor\s+example\b|\be\.g\.|\bsuch\s+as\b|\bmust\s+be\s+replaced\b)"
-_TEST = r"(?i:\b(?:test\s+record|do\s+not\s+process|test\s+user|test\s+data|sample\s+data|sample\s+record|qa\s+automation|dummy)\b)|\b(?:TEST|SAMPLE|DUMMY|EXAMPLE)\b"
-_SIGNATURE = r"(?:\breported\s+by\b|\bhandled\s+by\b|\bregards\b|\bbest\s+regards\b|\bsincerely\b|\byours\s+truly\b|\brespectfully\b|\bsigned\b|\bthanks\b|\bthank\s+you\b)"
+_REFERENCE, _AFFIRMING, _PLACEHOLDER, _SIGNATURE = (p.removeprefix("(?i)") for p in (detect.BUSINESS_REFERENCE[1], detect.AFFIRMING, detect.PLACEHOLDER[1], detect.SIGNATURE[1]))
+_TEST = detect.TEST_RECORD[1]
 _CARD_SUM = "list_sum(list_transform(range(0, length(value_raw)), lambda i: CASE WHEN i % 2 = 0 THEN CAST(reverse(value_raw)[i + 1] AS INT) WHEN CAST(reverse(value_raw)[i + 1] AS INT) < 5 THEN 2 * CAST(reverse(value_raw)[i + 1] AS INT) ELSE 2 * CAST(reverse(value_raw)[i + 1] AS INT) - 9 END))"
 
 ORACLES: dict[str, str] = {
