@@ -79,3 +79,16 @@ def test_detection_over_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.id, r.element_type) for r in spark.table("found").collect()] == [(1, "ssn")]
+
+
+def test_sheets_are_found_by_their_relationship():
+    sheet = lambda v: f'<worksheet {S}><sheetData><row><c><v>h</v></c></row><row><c><v>{v}</v></c></row></sheetData></worksheet>'
+    book = f'<workbook {S} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="Second" r:id="b"/><sheet name="Chart" r:id="c"/><sheet name="First" r:id="a"/><sheet name="Lost" r:id="x"/></sheets></workbook>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", book)
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="a" Target="worksheets/sheet1.xml"/><Relationship Id="b" Target="/xl/worksheets/other.xml"/><Relationship Id="c" Target="chartsheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", sheet("one"))
+        z.writestr("xl/worksheets/other.xml", sheet("two"))
+        z.writestr("xl/chartsheets/sheet1.xml", sheet("none"))
+    assert [(p["sheet"], p["text"]) for p in parsers._xlsx(out.getvalue())] == [("Second", "h\ntwo"), ("First", "h\none")]
