@@ -20,10 +20,10 @@ def one_pass(links, foes):
     return {n: min(p) for n, p in part.items()}, taken
 
 
-def graphs(rng, n):
+def graphs(rng, n, most):
     links, foes, base = [], [], 0
     for _ in range(n):
-        size = rng.randint(2, 5)
+        size = rng.randint(2, most)
         nodes = list(range(base, base + size))
         base += size
         scores = rng.choice([[0.9], [0.85, 0.9, 0.95], [k / 1000 for k in range(850, 1000)]])
@@ -37,7 +37,7 @@ def graphs(rng, n):
 
 @pytest.mark.parametrize("held", [0, 1_000])
 def test_a_thousand_graphs_equal_one_pass(spark, held):
-    links, foes = graphs(random.Random(held), 1_000)
+    links, foes = graphs(random.Random(held), 1_000, 8 if held else 4)
     want, taken = one_pass(links, set(foes))
     table = spark.createDataFrame(links + links[:50] + [(5, 5, 0.99)], "left_id long, right_id long, score double")
     enemies = spark.createDataFrame(foes + [(f[1], f[0]) for f in foes[:30]], "left_id long, right_id long")
