@@ -177,7 +177,7 @@ def _packed(item: int):
 def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every whole text, ``end_id`` after each, into a table of shards at ``path``.
 
-    Shards lie in the order of ``range`` and ``nth``: ids ascend, null ids come last. A
+    Files, and shards in them, lie in the order of ``range`` and ``nth``: ids ascend, null ids come last. A
     null or empty text is the end id alone. Rows with equal ids are kept each; an id that
     fills several ranges, and null ids, are dealt over as many, and each shard has its own
     key for them, so no id is gathered in one task. Other columns are ignored; an empty
@@ -194,7 +194,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
     edges = np.sort(np.array(edges, float)).astype(np.int64)
     item = encoder(tokenizer).kind.itemsize
     encoded = rows.mapInArrow(_encoded(tokenizer, end_id, edges), "range int, id long, ids binary")
-    shards = encoded.repartition(parts, "range").sortWithinPartitions("range", "id", "ids").mapInArrow(_packed(item), SHARD)
+    # four ranges a task, in order, those of null ids after the others, so that files lie in the order of ids
+    dealt = encoded.repartitionById(2 * parts, F.expr("cast(range div 4 as int)"))
+    shards = dealt.sortWithinPartitions("range", "id", "ids").mapInArrow(_packed(item), SHARD)
     shards.write.mode("overwrite").parquet(path)
 
 

@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from sievemark.llm.mixing import mix
@@ -289,6 +290,9 @@ def test_shards_deal_hot_and_null_keys(spark, tmp_path):
     path = str(tmp_path / "hot")
     write_shards(frame(spark, rows), path, public_path("word_bpe_49k.json"), 2)
     assert spark.read.parquet(path).count() > 8
+    files = sorted((tmp_path / "hot").glob("part-*.parquet"))  # file after file, and row after row, in the order of ids
+    places = [(r["range"], r["nth"]) for f in files for r in pq.read_table(f, columns=["range", "nth"]).to_pylist()]
+    assert len(files) > 4 and places == sorted(places)
     got = sorted(read_shards(spark, path).collect(), key=lambda r: r.start)
     assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1]]
     keys = [r.doc_id for r in got]
