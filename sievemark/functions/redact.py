@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Keys whose values never leave, and what stands in their place (fixed values).
 KEYS = ("value_raw", "value", "password", "api_key")
 REDACTED = "[REDACTED]"
 
 _STRING = r'"(?:[^"\\]++|\\.)*+"'
-_TOKENS = rf'(?s){_STRING}|[\[\]{{}}]|[^"\[\]{{}}]++'
+_PIECE = re.compile(r'"(?:[^"\\]++|\\.)*+"|[\[\]{}]', re.DOTALL)
 
 
 def _key(keys: tuple[str, ...]) -> str:
@@ -18,12 +22,35 @@ def _key(keys: tuple[str, ...]) -> str:
     return r'(?<!\\)"(?:' + "|".join(rf"\Q{k}\E" for k in keys) + r')"\s*+:\s*+'
 
 
+def _nested(keys: tuple[str, ...]):
+    """The objects and arrays under ``keys`` replaced: from such a key, brackets outside strings are counted up to the one that closes."""
+    begins = re.compile(_key(keys).replace(r"\Q", "").replace(r"\E", "") + r"(?=[\[{])", re.ASCII)
+
+    def cut(text: str) -> str:
+        out, at = [], 0
+        while found := begins.search(text, at):
+            depth = 0
+            for piece in _PIECE.finditer(text, found.end()):
+                depth += 1 if piece[0] in "[{" else -1 if piece[0] in "]}" else 0
+                if not depth:
+                    break
+            out += [text[at : found.end()], f'"{REDACTED}"']
+            at = piece.end()
+        return "".join([*out, text[at:]]) if out else text
+
+    @F.pandas_udf(StringType())
+    def run(records: pd.Series) -> pd.Series:
+        return records.map(cut, na_action="ignore")
+
+    return run
+
+
 def redact_json(record: Column, keys: tuple[str, ...] = KEYS) -> Column:
     """The JSON text ``record`` with ``"[REDACTED]"`` for the value of each of ``keys``, in objects and arrays of any depth.
 
     Strings, numbers and literals are replaced where they stand, and everything else
     stays letter for letter. Where such a key holds an object or array, the record is
-    scanned token by token for its end, and the whole value goes. A record with escaped
+    scanned once from there for its end, and the whole value goes. A record with escaped
     letters is first put in plain form, so that a key cannot hide. Text that is no
     JSON gives null, as nothing can be said of it; null gives null. Keys are names of letters, digits and underscores.
     """
@@ -32,25 +59,4 @@ def redact_json(record: Column, keys: tuple[str, ...] = KEYS) -> Column:
     parsed = F.try_parse_json(record)
     plain = F.when(record.rlike(r"\\u00[2-7]"), F.to_json(parsed)).otherwise(record)
     simple = F.regexp_replace(plain, rf"(?s)({_key(keys)})(?:{_STRING}|[^\s\[\]{{}},\"]++)", f'$1"{REDACTED}"')
-    tokens = F.regexp_extract_all(simple, F.lit(_TOKENS), F.lit(0))
-
-    def scan(s: Column, token: Column) -> Column:
-        """Depth by brackets; a cut runs from a bracket after a named key to the one that closes it."""
-        opens, closes = token.isin("{", "["), token.isin("}", "]")
-        depth = s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
-        begins = opens & (s["until"] < 0) & s["last"].rlike(r"^\s*+:\s*+$") & s["name"]
-        ends = closes & (s["until"] == depth)
-        cuts = F.when(ends, F.array_append(s["cuts"], F.struct(s["from"].alias("start"), (s["at"] + 1).alias("end")))).otherwise(s["cuts"])
-        named = F.when(token.rlike(r"^\s*+:\s*+$"), s["name"]).otherwise(token.isin(*[f'"{k}"' for k in keys]))
-        return F.struct(
-            (s["at"] + 1).alias("at"), depth.alias("depth"), F.when(begins, s["depth"]).when(ends, F.lit(-1)).otherwise(s["until"]).alias("until"),
-            F.when(begins, s["at"]).otherwise(s["from"]).alias("from"), token.alias("last"), named.alias("name"), cuts.alias("cuts"),
-        )
-
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(-1).alias("until"), F.lit(0).alias("from"), F.lit("").alias("last"), F.lit(False).alias("name"), F.array().cast("array<struct<start:int,end:int>>").alias("cuts"))
-    cuts = F.aggregate(tokens, start, scan, lambda s: s["cuts"])
-    piece = lambda lo, hi: F.array_join(F.slice(tokens, lo + 1, F.greatest(hi - lo, F.lit(0))), "")
-    before = F.transform(cuts, lambda c, k: F.concat(piece(F.when(k > 0, F.try_element_at(cuts, k)["end"]).otherwise(F.lit(0)), c["start"]), F.lit(f'"{REDACTED}"')))
-    last = F.coalesce(F.try_element_at(cuts, F.size(cuts))["end"], F.lit(0))
-    scanned = F.concat(F.array_join(before, ""), piece(last, F.size(tokens)))
-    return F.when(parsed.isNull(), F.lit(None).cast("string")).when(simple.rlike(rf"{_key(keys)}[\[{{]"), scanned).otherwise(simple)
+    return F.when(parsed.isNotNull(), _nested(keys)(simple))
