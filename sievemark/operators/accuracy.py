@@ -129,10 +129,14 @@ def mention_truth(mentions: DataFrame, plantings: DataFrame) -> DataFrame:
     """The planted person whose values a mention shares most in its document; the first planted on ties, null without any.
 
     ``mentions (mention_id, doc, id_type, value)``, ``plantings (uid, doc, id_type, value, place)``.
+    Repeated rows of either are one before they meet, so a mention meets a person once for each value.
     """
-    shared = mentions.join(plantings, ["doc", "id_type", "value"]).groupBy("mention_id", "uid").agg(F.count_distinct("id_type", "value").alias("n"), F.min("place").alias("place"))
-    best = F.row_number().over(Window.partitionBy("mention_id").orderBy(F.desc("n"), F.asc("place"), F.asc("uid")))
-    won = shared.withColumn("_r", best).where("_r = 1").select("mention_id", "uid")
+    place = ["doc", "id_type", "value"]
+    planted = plantings.groupBy(*place, "uid").agg(F.min("place").alias("place"))
+    held = mentions.select("mention_id", *place).distinct()
+    shared = held.join(planted, place).groupBy("mention_id", "uid").agg(F.count_distinct("id_type", "value").alias("n"), F.min("place").alias("place"))
+    best = shared.groupBy("mention_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "place", "uid")).alias("_b"))
+    won = best.select("mention_id", "_b.uid")
     return mentions.select("mention_id").distinct().join(won, "mention_id", "left")
 
 

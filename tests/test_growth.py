@@ -22,3 +22,11 @@ def test_record_with_many_nested_values(spark):
     with within(30):
         got = spark.createDataFrame([(record,)], "r string").select(redact_json(F.col("r"))).first()[0]
     assert got == "[" + ",".join('{"password": "[REDACTED]", "b": 1}' for _ in range(n)) + "]"
+
+
+def test_repeated_mentions_and_plantings_meet_once(spark):
+    rows = spark.range(100_000)
+    m = rows.select(F.lit("m").alias("mention_id"), F.lit("d").alias("doc"), F.lit("ssn").alias("id_type"), F.lit("1").alias("value"))
+    p = rows.select((F.col("id") % 2).alias("uid"), F.lit("d").alias("doc"), F.lit("ssn").alias("id_type"), F.lit("1").alias("value"), (100_000 - F.col("id")).alias("place"))
+    with within(60):
+        assert [tuple(r) for r in accuracy.mention_truth(m, p).collect()] == [("m", 1)]
