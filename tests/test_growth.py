@@ -30,3 +30,12 @@ def test_repeated_mentions_and_plantings_meet_once(spark):
     p = rows.select((F.col("id") % 2).alias("uid"), F.lit("d").alias("doc"), F.lit("ssn").alias("id_type"), F.lit("1").alias("value"), (100_000 - F.col("id")).alias("place"))
     with within(60):
         assert [tuple(r) for r in accuracy.mention_truth(m, p).collect()] == [("m", 1)]
+
+
+def test_sheet_of_many_rows(spark):
+    n = 60_000
+    text = "name | nation\n" + "\n".join(f"é{k} | {k}" for k in range(n))
+    rows = extract.sheet_rows(spark.createDataFrame([("p", text, 2), (None, None, 2)], "passage_id string, text string, row_start int"))
+    with within(60):
+        got = rows.select("row_number", "line", "line_start").orderBy("row_number").collect()
+    assert len(got) == n and all(text[r.line_start : r.line_start + len(r.line)] == r.line == f"é{r.row_number - 2} | {r.row_number - 2}" for r in got)
