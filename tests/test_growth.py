@@ -1,12 +1,13 @@
 """Inputs on which work that grows with a square would not end in time."""
 
+import itertools
 import time
 from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
 from sievemark.functions.redact import redact_json
-from sievemark.operators import accuracy, extract
+from sievemark.operators import accuracy, extract, resolve
 
 
 @contextmanager
@@ -39,3 +40,44 @@ def test_sheet_of_many_rows(spark):
     with within(60):
         got = rows.select("row_number", "line", "line_start").orderBy("row_number").collect()
     assert len(got) == n and all(text[r.line_start : r.line_start + len(r.line)] == r.line == f"é{r.row_number - 2} | {r.row_number - 2}" for r in got)
+
+
+def _mentions(spark, n=60):
+    """Telephones, some null, names of several spellings, addresses and dates that meet, conflict and stay open."""
+    rows = []
+    for k in range(n):
+        phones = [f"212555000{k % 3}"] + ([None] if k % 10 == 0 else []) if k % 4 else None
+        held = {"phone": phones, "ssn": [f"12345{k % 5}789"] if k % 6 == 0 else [], "ssn_last4": ["0789"] if k % 7 == 0 else None, "address": ["1 Main St", None] if k % 5 == 0 else ["1 Main Road"]}
+        rows.append((f"m{k:02}", f"d{k % 4}", (None, "Bob Chen", "Chen, Robert", "R. Chen", "Ann Cheng")[k % 5], "1990-01-02" if k % 8 == 0 else None, {t: v for t, v in held.items() if v is not None}))
+    return resolve.mentions_of(spark.createDataFrame(rows, "mention_id string, doc_id string, name_raw string, dob string, elements map<string,array<string>>"))
+
+
+def _above_join(df):
+    """The plan's operators above its first join."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan[: plan.index("Join")]
+
+
+def test_pairs_are_not_shuffled(spark):
+    m = _mentions(spark)
+    keys = resolve.block_keys(m)
+    pairs = resolve.candidate_pairs(keys, tile=7)
+    assert "Exchange" not in _above_join(pairs)
+    held = {}
+    for r in keys.where("key is not null").collect():
+        held.setdefault(r.key, set()).add(r.mention_id)
+    want = {}
+    for key, ids in held.items():
+        for a, b in itertools.combinations(sorted(ids), 2):
+            want.setdefault((a, b), set()).add(key)
+    got = pairs.collect()
+    assert len(got) == len(want) and {(r.left_id, r.right_id): list(r.blocks) for r in got} == {p: sorted(k) for p, k in want.items()}
+
+
+def test_features_in_tiles_equal_those_of_pairs(spark):
+    m = _mentions(spark)
+    keys = resolve.block_keys(m)
+    tiled = resolve.candidate_features(keys, m, tile=7)
+    assert "Exchange" not in _above_join(tiled)
+    text = lambda df: sorted(r[0] for r in df.select(F.to_json(F.struct("*"))).collect())
+    assert text(tiled) == text(resolve.pair_features(resolve.candidate_pairs(keys), m))
