@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from sievemark.functions.redact import redact_json
 from sievemark.operators import accuracy, extract, resolve
+from sievemark.operators.components import connected_components, spanning_edges
+from sievemark.operators.constrained import constrained_components
 
 
 @contextmanager
@@ -81,3 +83,18 @@ def test_features_in_tiles_equal_those_of_pairs(spark):
     assert "Exchange" not in _above_join(tiled)
     text = lambda df: sorted(r[0] for r in df.select(F.to_json(F.struct("*"))).collect())
     assert text(tiled) == text(resolve.pair_features(resolve.candidate_pairs(keys), m))
+
+
+def test_a_dense_graph_is_thinned_before_it_is_shuffled(spark):
+    edges = spark.range(200).select(F.col("id").alias("u")).crossJoin(spark.range(200).select(F.col("id").alias("v"))).where("u > v and u % 2 = v % 2").coalesce(1)
+    thin = spanning_edges(edges)
+    assert thin.count() == 198
+    assert {r.node: r.component for r in connected_components(thin, "u", "v").collect()} == {k: k % 2 for k in range(200)}
+
+
+def test_torn_components_within_the_bound_go_to_their_tasks(spark):
+    links = [(10 * g + a, 10 * g + b, 0.9) for g in range(40) for a, b in itertools.combinations(range(6), 2)]
+    foes = [(10 * g, 10 * g + 1) for g in range(0, 40, 2)] + [(0, 10)]
+    got = constrained_components(spark.createDataFrame(links, "left_id long, right_id long, score double"), spark.createDataFrame(foes, "left_id long, right_id long"), held=20)
+    # the first end takes all but its foe, which is then refused by all
+    assert {r.node: r.component for r in got.collect()} == {10 * g + k: 10 * g + (k == 1 and g % 2 == 0) for g in range(40) for k in range(6)}
