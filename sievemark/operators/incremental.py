@@ -1,14 +1,14 @@
 """Resolution kept up to date: a few added, corrected or removed mentions, without a full run.
 
-The store holds mentions, their block keys, the scored pairs and the clusters, each in
-folders by what it is looked up by. A change probes the blocks of its mentions, scores
-them with their partners, and clusters anew the components that its pairs touch.
+The store holds mentions, their block keys and the clusters, each in folders by what it is
+looked up by. Pairs are as many as the square of a strong block, so none is stored: those
+that are asked for are made anew from the mentions and keys that make them. A change probes
+the blocks of its mentions, scores them with their partners, and clusters anew the
+components that its pairs touch.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -19,6 +19,8 @@ from sievemark.operators.constrained import constrained_components
 from sievemark.session import Scratch
 from sievemark.sources.buckets import BUCKETS, BucketTable
 
+#: No bound on name blocks, for keys that are known to make pairs.
+_ANY = 2**31 - 1
 _MENTION = ["mention_id", "doc_id", "name_raw", "dob", "elements"]
 
 
@@ -27,7 +29,7 @@ class ResolutionStore:
 
     ``mention_id`` is a string or a long, never null, once each. ``phonetic``, ``most`` and ``auto`` are those
     of the full run and must stay the same. Steps of a change are written in an order
-    that lets the same change be applied again after a failure: pairs, clusters, keys, mentions.
+    that lets the same change be applied again after a failure: clusters, keys, mentions.
     """
 
     def __init__(self, spark: SparkSession, path: str, mentions: DataFrame | None = None, phonetic: bool = True, most: int = resolve.MAX_NAME_BLOCK, auto: float = resolve.AUTO, buckets: int = BUCKETS):
@@ -35,12 +37,9 @@ class ResolutionStore:
         self.spark, self.phonetic, self.most, self.auto = spark, phonetic, most, auto
         raw = mentions if mentions is not None else spark.read.parquet(f"{path}/mentions").drop("_bucket")
         self._raw = raw.select(_MENTION).schema
-        one = spark.createDataFrame([], self._raw)
         kind = self._raw["mention_id"].dataType
-        pairs = self._scored(resolve.candidate_pairs(self._keys(one)), resolve.mentions_of(one)).schema
         self.mentions = BucketTable(spark, f"{path}/mentions", "mention_id", self._raw, buckets)
         self.keys = BucketTable(spark, f"{path}/keys", "key", StructType().add("key", "string").add("mention_id", kind).add("strong", "boolean"), buckets)
-        self.pairs = BucketTable(spark, f"{path}/pairs", "owner", StructType([*pairs.fields]).add("owner", kind), buckets)
         # by "m" and mention: its cluster and component; by "c" and component: its mentions. One table, so that both change together
         self.places = BucketTable(spark, f"{path}/places", "entry", StructType().add("entry", "string").add("mention_id", kind).add("cluster_id", kind).add("component", kind), buckets)
         if mentions is not None:
@@ -49,32 +48,32 @@ class ResolutionStore:
     def _keys(self, raw: DataFrame) -> DataFrame:
         return resolve.block_keys(resolve.mentions_of(raw), self.phonetic)
 
-    def _scored(self, pairs: DataFrame, mentions: DataFrame) -> DataFrame:
-        return resolve.score_pairs(resolve.pair_features(pairs, mentions))
-
-    def _owned(self, scored: DataFrame) -> DataFrame:
-        return scored.withColumn("owner", F.explode(F.array("left_id", "right_id")))
+    def _judged(self, keys: DataFrame, mentions: DataFrame, most: int) -> DataFrame:
+        """What clusters read of the pairs that ``keys`` make; pairs without a say are left out."""
+        scored = resolve.score_pairs(resolve.candidate_features(keys, mentions, most))
+        link = (F.col("score") >= self.auto) & F.col("hard_reason").isNull()
+        return scored.select("left_id", "right_id", F.when(link, F.col("score")).alias("score"), (F.col("hard_reason") == "hard_conflict").alias("foe")).where("score is not null or foe")
 
     def _entries(self, placed: DataFrame) -> DataFrame:
         entry = F.explode(F.array(F.concat(F.lit("m"), F.col("mention_id").cast("string")), F.concat(F.lit("c"), F.col("component").cast("string"))))
         return placed.select(entry.alias("entry"), "mention_id", "cluster_id", "component")
 
-    def _placed(self, ids: DataFrame, scored: DataFrame, scratch: Scratch) -> DataFrame:
+    def _placed(self, ids: DataFrame, judged: DataFrame, scratch: Scratch) -> DataFrame:
         """Clusters and components of ``ids``, whose linked partners are all among them."""
-        links = scratch.keep(scored.where((F.col("score") >= self.auto) & F.col("hard_reason").isNull()).select("left_id", "right_id", "score"), "store-links")
-        foes = scored.where("hard_reason = 'hard_conflict'").select("left_id", "right_id")
-        component = connected_components(links, "left_id", "right_id").withColumnRenamed("node", "mention_id")
-        cluster = constrained_components(links, foes).select(F.col("node").alias("mention_id"), F.col("component").alias("cluster_id"))
+        links, foes = judged.where("score is not null").select("left_id", "right_id", "score"), judged.where("foe").select("left_id", "right_id")
+        label = scratch.keep(connected_components(links, "left_id", "right_id"), "store-label")
+        component = label.withColumnRenamed("node", "mention_id")
+        cluster = constrained_components(links, foes, label=label).select(F.col("node").alias("mention_id"), F.col("component").alias("cluster_id"))
         placed = ids.select("mention_id").join(component, "mention_id", "left").join(cluster, "mention_id", "left")
         return placed.select("mention_id", F.coalesce("cluster_id", "mention_id").alias("cluster_id"), F.coalesce("component", "mention_id").alias("component"))
 
     def _build(self, raw: DataFrame) -> None:
         scratch = Scratch(self.spark)
         raw = scratch.keep(raw, "store-mentions")
-        keys = scratch.keep(self._keys(raw), "store-keys")
-        scored = scratch.keep(self._scored(resolve.candidate_pairs(keys, self.most), resolve.mentions_of(raw)), "store-pairs")
-        self.pairs.create(self._owned(scored))
-        self.places.create(self._entries(self._placed(raw, scored, scratch)))
+        made = resolve.written_mentions(raw)
+        keys = scratch.keep(resolve.block_keys(made, self.phonetic), "store-keys")
+        judged = scratch.keep(self._judged(keys, made, self.most), "store-judged")
+        self.places.create(self._entries(scratch.keep(self._placed(raw, judged, scratch), "store-placed")))
         self.keys.create(keys)
         self.mentions.create(raw)
 
@@ -83,11 +82,9 @@ class ResolutionStore:
         sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.first("strong").alias("strong"))
         return sizes.where((F.col("n") >= 2) & (F.col("strong") | (F.col("n") <= self.most))).select("key")
 
-    def _partners(self, own: DataFrame, blocks: DataFrame) -> DataFrame:
-        """Pairs ``(left_id, right_id, blocks)`` of the mentions in ``own`` with all that share a key in ``blocks``."""
-        usable = blocks.join(self._pairable(blocks), "key", "left_semi").select("key", F.col("mention_id").alias("partner"))
-        met = own.select("key", "mention_id").join(usable, "key").where("mention_id <> partner")
-        return met.groupBy(F.least("mention_id", "partner").alias("left_id"), F.greatest("mention_id", "partner").alias("right_id")).agg(F.array_sort(F.collect_set("key")).alias("blocks"))
+    def _usable(self, rows: DataFrame) -> DataFrame:
+        """Those of all rows of some keys whose key makes pairs."""
+        return rows.join(self._pairable(rows), "key", "left_semi").select("mention_id", "key", "strong")
 
     def apply(self, changed: DataFrame | None = None, removed: DataFrame | None = None) -> DataFrame:
         """Takes in added and corrected mentions, and drops those of ``removed (mention_id)``; returns the new ``(mention_id, cluster_id)`` of all that were clustered anew.
@@ -113,29 +110,25 @@ class ResolutionStore:
         passed = size(before, "was").join(size(after, "now"), "key", "full").where((F.coalesce("was", F.lit(0)) > self.most) != (F.coalesce("now", F.lit(0)) > self.most))
         members = keep("members", after.join(passed, "key", "left_semi").join(ids, "mention_id", "left_anti").select("mention_id").distinct())
 
-        # partners, before and after
+        # links that the change makes, then the components they touch
         anew = keep("anew", ids.union(members))
         member_keys = keep("member-keys", self._keys(self.mentions.read(members)))
         probed = keep("probed", touched.union(member_keys.select("key")).distinct())
-        was = keep("was", self.keys.read(probed).join(ids, "mention_id", "left_anti").unionByName(old_keys))
-        now = keep("now", was.join(ids, "mention_id", "left_anti").unionByName(new_keys))
-        lost = keep("lost", self._partners(old_keys.unionByName(member_keys), was).select("left_id", "right_id"))
-        found = keep("found", self._partners(new_keys.unionByName(member_keys), now))
-        ends = keep("ends", reduce(DataFrame.union, [df.select(F.explode(F.array("left_id", "right_id")).alias("mention_id")) for df in (lost, found)]).distinct())
-        rows = self.mentions.read(ends.join(ids, "mention_id", "left_anti")).unionByName(new)
-        scored = keep("scored", self._scored(found, resolve.mentions_of(rows)))
-
-        # pairs of all whose pairs change, then the components they touch
-        owners = keep("owners", ends.union(anew).distinct())
-        own = F.col("owner")
-        mark = lambda side: anew.select(F.col("mention_id").alias(f"{side}_id"), F.lit(True).alias(f"_{side}"))
-        others = self.pairs.read(owners).join(mark("left"), "left_id", "left").join(mark("right"), "right_id", "left").where("_left is null and _right is null").drop("_left", "_right")
-        self.pairs.replace(owners, keep("pairs", others.unionByName(self._owned(scored).join(owners.withColumnRenamed("mention_id", "owner"), "owner", "left_semi").select(others.columns))))
+        now = keep("now", self.keys.read(probed).join(ids, "mention_id", "left_anti").unionByName(new_keys))
+        usable = keep("usable", self._usable(now))
+        mark = anew.distinct().withColumn("fresh", F.lit(True))
+        asked = usable.join(usable.join(mark, "mention_id", "left_semi").select("key").distinct(), "key", "left_semi")  # keys of these mentions alone
+        met = self.mentions.read(asked.select("mention_id").distinct().join(ids, "mention_id", "left_anti")).unionByName(new)
+        met = resolve.written_mentions(met.join(mark, "mention_id", "left").withColumn("fresh", F.coalesce("fresh", F.lit(False))))
+        linked = self._judged(asked, met, _ANY).where("score is not null").select(F.explode(F.array("left_id", "right_id")).alias("mention_id"))
+        linked = keep("linked", linked.distinct())
         entry = lambda letter, column: F.concat(F.lit(letter), F.col(column).cast("string")).alias("entry")
-        linked = scored.where((F.col("score") >= self.auto) & F.col("hard_reason").isNull()).select(F.explode(F.array("left_id", "right_id")).alias("mention_id"))
         torn = keep("torn", self.places.read(linked.union(anew).distinct().select(entry("m", "mention_id"))).select("component").distinct())
         held = keep("held", self.places.read(torn.select(entry("c", "component"))).select("mention_id").union(new.select("mention_id")).distinct().join(gone, "mention_id", "left_anti"))
-        inner = self.pairs.read(held).where(own == F.col("left_id")).join(held.withColumnRenamed("mention_id", "right_id"), "right_id", "left_semi")
+        rows = resolve.written_mentions(self.mentions.read(held.join(ids, "mention_id", "left_anti")).unionByName(new))
+        own_keys = keep("own-keys", resolve.block_keys(rows, self.phonetic))
+        blocks = keep("blocks", self.keys.read(own_keys.select("key")).join(ids, "mention_id", "left_anti").unionByName(new_keys))
+        inner = self._judged(self._usable(blocks).join(held, "mention_id", "left_semi"), rows, _ANY)
         placed = keep("placed", self._placed(held, keep("inner", inner), scratch))
         entries = keep("entries", self._entries(placed))
         spent = torn.select(entry("c", "component")).union(ids.select(entry("m", "mention_id"))).union(entries.select("entry")).distinct()
@@ -151,5 +144,6 @@ class ResolutionStore:
         return self.places.read(entry).where(F.col("entry").startswith("m")).select("mention_id", "cluster_id")
 
     def banded(self) -> DataFrame:
-        """All scored pairs once, with clusters and bands, as ``resolve.cluster`` returns them."""
-        return resolve.banded(self.pairs.read().where(F.col("owner") == F.col("left_id")).drop("owner"), self.clusters(), self.auto)
+        """All scored pairs once, with clusters and bands, as ``resolve.cluster`` returns them; made anew, each mention taking its cluster along."""
+        made = resolve.written_mentions(self.mentions.read().join(self.clusters().hint("shuffle_hash"), "mention_id"))
+        return resolve.with_bands(resolve.score_pairs(resolve.candidate_features(self.keys.read(), made, self.most)), self.auto)

@@ -97,6 +97,17 @@ def full(spark, rows, most):
     return {r.mention_id: r.cluster_id for r in clusters.collect()}, {(r.left_id, r.right_id): (r.score, r.hard_reason, r.band, tuple(r.blocks)) for r in banded.collect()}
 
 
+def test_no_pair_is_stored_or_shuffled(spark, tmp_path):
+    # a number that all share: pairs are the square of the mentions, what is kept is in proportion to them
+    rows = [(k, "d", f"Ann Chen{k}", None, {"phone": ["2125550000"]}) for k in range(120)]
+    store = ResolutionStore(spark, str(tmp_path / "er"), spark.createDataFrame(rows, MENTION), phonetic=False, buckets=2)
+    kept = sum(spark.read.parquet(str(p)).count() for p in (tmp_path / "er").iterdir())
+    assert kept < 30 * len(rows)
+    pairs = store.banded()
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert pairs.count() == 120 * 119 // 2 and "Exchange" not in plan[: plan.index("Join")]
+
+
 def test_changes_equal_a_full_run(spark, tmp_path):
     rng, most = random.Random(6), 6
     held = {k: random_mention(rng, k) for k in range(32)}
