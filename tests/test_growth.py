@@ -7,7 +7,7 @@ from contextlib import contextmanager
 from pyspark.sql import functions as F
 
 from sievemark.functions.redact import redact_json
-from sievemark.operators import accuracy, extract, resolve
+from sievemark.operators import accuracy, chunks, extract, resolve
 from sievemark.operators.components import connected_components, spanning_edges
 from sievemark.operators.constrained import constrained_components
 
@@ -98,3 +98,13 @@ def test_torn_components_within_the_bound_go_to_their_tasks(spark):
     got = constrained_components(spark.createDataFrame(links, "left_id long, right_id long, score double"), spark.createDataFrame(foes, "left_id long, right_id long"), held=20)
     # the first end takes all but its foe, which is then refused by all
     assert {r.node: r.component for r in got.collect()} == {10 * g + k: 10 * g + (k == 1 and g % 2 == 0) for g in range(40) for k in range(6)}
+
+
+def test_chunk_of_many_passages(spark):
+    n = 6_000
+    passages = spark.range(n).select(F.lit("d").alias("doc"), F.col("id").alias("seq"), F.concat(F.lit("w"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("text"))
+    spans = chunks.chunk_spans(passages, passages.groupBy("doc").agg(F.sort_array(F.collect_list("seq")).alias("seqs")).withColumn("chunk", F.lit(0)), ["doc"])
+    reports = passages.select("doc", F.lit(0).alias("chunk"), F.col("text").alias("value"), F.col("seq").alias("nth"))
+    with within(40):
+        found = chunks.locate_in_chunks(spans, reports, ["doc"]).collect()
+    assert len(found) == n and all((r.seq, r.char_start, r.char_end) == (r.nth, 0, 6) for r in found)
