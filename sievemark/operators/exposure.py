@@ -55,11 +55,11 @@ def attach_by_key(orphans: DataFrame, passage_keys: DataFrame, person_keys: Data
     (key, person_id)``. Returns ``element_id, person_id, via_key``; person_id is null, the
     element parked, unless exactly one person matches; via_key is the least key that matched.
     """
-    found = (
-        orphans.join(passage_keys, "passage_id").join(person_keys, "key").groupBy("element_id")
-        .agg(F.min("person_id").alias("low"), F.max("person_id").alias("high"), F.min("key").alias("via_key"))
-        .where("low = high").select("element_id", F.col("low").alias("person_id"), "via_key")
-    )
+    # persons are counted out per key, then per passage, so elements meet one row each and not every person of every key
+    span = [F.min("low").alias("low"), F.max("high").alias("high"), F.min("via_key").alias("via_key")]
+    keyed = person_keys.groupBy("key").agg(F.min("person_id").alias("low"), F.max("person_id").alias("high"))
+    passed = passage_keys.join(keyed.hint("shuffle_hash"), "key").withColumnRenamed("key", "via_key").groupBy("passage_id").agg(*span)
+    found = orphans.join(passed, "passage_id").groupBy("element_id").agg(*span).where("low = high").select("element_id", F.col("low").alias("person_id"), "via_key")
     return orphans.select("element_id").join(found, "element_id", "left")
 
 

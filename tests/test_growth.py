@@ -7,7 +7,7 @@ from contextlib import contextmanager
 from pyspark.sql import functions as F
 
 from sievemark.functions.redact import redact_json
-from sievemark.operators import accuracy, chunks, extract, resolve
+from sievemark.operators import accuracy, chunks, exposure, extract, resolve
 from sievemark.operators.components import connected_components, spanning_edges
 from sievemark.operators.constrained import constrained_components
 
@@ -108,3 +108,13 @@ def test_chunk_of_many_passages(spark):
     with within(40):
         found = chunks.locate_in_chunks(spans, reports, ["doc"]).collect()
     assert len(found) == n and all((r.seq, r.char_start, r.char_end) == (r.nth, 0, 6) for r in found)
+
+
+def test_persons_of_a_hot_key_are_counted_out_before_elements_meet_them(spark):
+    n = 40_000
+    orphans = spark.range(n).select(F.col("id").alias("element_id"), F.col("id").alias("passage_id"))
+    keys = orphans.select("passage_id", F.when(F.col("passage_id") == 7, "one").otherwise("hot").alias("key"))
+    persons = spark.range(n).select(F.col("id").alias("person_id"), F.lit("hot").alias("key")).union(spark.createDataFrame([(5, "one")], "person_id long, key string"))
+    with within(40):
+        got = exposure.attach_by_key(orphans, keys, persons).where("person_id is not null").collect()
+    assert [tuple(r) for r in got] == [(7, 5, "one")]
