@@ -24,9 +24,11 @@ def clusters_by_threshold(mentions: DataFrame, scored: DataFrame, autos: tuple[f
     Equal to clustering anew at each threshold: a pass by falling score that stops there
     has taken just the forest's links at or above it. All thresholds are labelled
     together, as components of ``(auto, mention)``. Mentions without links are clusters of their own.
+    Where no pair is in conflict, no link is refused, so the links stand for their forest.
     """
     usable = scored.where((F.col("score") >= min(autos)) & F.col("hard_reason").isNull())
-    forest = merge_forest(usable, scored.where("hard_reason = 'hard_conflict'"), held)
+    foes = scored.where("hard_reason = 'hard_conflict'")
+    forest = usable if foes.isEmpty() else merge_forest(usable, foes, held)
     at = lambda c: F.struct("auto", F.col(c).alias("id"))
     kept = _levels(forest, "auto", autos).where("score >= auto").select(at("left_id").alias("l"), at("right_id").alias("r"))
     label = connected_components(kept, "l", "r").select("node.auto", F.col("node.id").alias("mention_id"), F.col("component.id").alias("cluster_id"))

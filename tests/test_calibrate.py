@@ -60,3 +60,10 @@ def test_sweep_of_nothing(spark):
     sweep, gray = calibrate.threshold_sweep(spark.createDataFrame([], SCORED), spark.createDataFrame([], "mention_id long, uid long"))
     assert {(r.linked, r.real, r.precision, r.f1, r.leaks) for r in sweep.collect()} == {(0, 0, 1.0, 1.0, 0)}
     assert gray.count() == 16
+
+
+def test_links_without_conflict_need_no_forest(spark, monkeypatch):
+    monkeypatch.setattr(calibrate, "merge_forest", None)
+    scored = spark.createDataFrame([(0, 1, 0.9, None), (1, 2, 0.8, None), (0, 2, 0.9, None)], SCORED)
+    got = calibrate.clusters_by_threshold(spark.range(4).withColumnRenamed("id", "mention_id"), scored, (0.85, 0.95)).collect()
+    assert {(r.auto, r.mention_id): r.cluster_id for r in got} == {(a, k): 0 if a == 0.85 and k < 3 else k for a in (0.85, 0.95) for k in range(4)}
