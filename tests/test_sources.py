@@ -1,6 +1,8 @@
 import io
+import tracemalloc
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +94,16 @@ def test_sheets_are_found_by_their_relationship():
         z.writestr("xl/worksheets/other.xml", sheet("two"))
         z.writestr("xl/chartsheets/sheet1.xml", sheet("none"))
     assert [(p["sheet"], p["text"]) for p in parsers._xlsx(out.getvalue())] == [("Second", "h\ntwo"), ("First", "h\none")]
+
+
+def test_markup_of_a_batch_is_held_a_few_pages_at_a_time():
+    pages = pa.array(["<p>" + "word " * 2_000 + "</p>", None, ""] * 1_000)
+    tracemalloc.start()
+    try:
+        got = parsers.html_to_text.func(pages)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 4_000_000  # all strings of the batch are 20 MB
+    assert got.to_pylist() == [("word " * 2_000).strip(), None, ""] * 1_000
+    assert parsers.html_to_text.func(pa.array([], pa.string())).to_pylist() == []
