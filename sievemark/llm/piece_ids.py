@@ -9,6 +9,7 @@ from __future__ import annotations
 import array
 import functools
 import os
+from string import punctuation
 
 import numpy as np
 
@@ -30,6 +31,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize  # each look at ``model`` makes a new object
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65_536 else "<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
         self.lowers = self.tokenizer.normalizer is not None
@@ -45,38 +47,39 @@ class Encoder:
             letters = letters.lower()
         if not letters.isascii() or letters[0] == " ":
             letters = letters.encode().decode("latin-1").translate(BYTE_CHARS)
-        return array.array(self.code, [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
+        return array.array(self.code, [t.id for t in self.tokenize(letters)]).tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        core = piece[1:] if piece[0] == " " else piece
-        if core.isalpha() and max(core) < "Ā":
+    def _piece(self, piece: str, core: str) -> bytes:
+        if core.isalpha() and (core.isascii() or max(core) < "Ā"):
             return self._run(piece)
-        if core[-1] in ".," and core[:-1].isalpha() and max(core) < "Ā":
-            return self._known(piece[:-1]) + self._known(core[-1])
+        word = core.rstrip(punctuation)
+        if word.isalpha() and (word.isascii() or max(word) < "Ā"):  # marks after letters are a pre-token of their own
+            tail, word = core[len(word) :], piece[: len(piece) - len(core) + len(word)]
+            if tail not in self.young:
+                self.young[tail] = self._whole(tail)
+            return (self.young.get(word) or self._run(word)) + self.young[tail]
         return self._whole(piece)
 
-    def _known(self, piece: str) -> bytes:
-        found = self.young.get(piece)
-        if found is None:
-            found = self.old.get(piece)
-            if found is None:
-                found = self._piece(piece)
-            self.young[piece] = found
-        return found
-
     def _join(self, pieces: list[str]) -> bytes | None:
         """The pieces' ids in order; None if a piece has white space where it was cut."""
         if len(self.young) >= GENERATION:
             self.old, self.young = self.young, {}
-        found = list(map(self.young.get, pieces))
+        young, old = self.young, self.old
+        found = list(map(young.get, pieces))
         at = -1
         for _ in range(found.count(None)):
             at = found.index(None, at + 1)
             piece = pieces[at]
-            core = piece[1:] if piece[:1] == " " else piece
-            if piece != "\n" and (not core or core[0].isspace() or core[-1].isspace()):
-                return None
-            found[at] = self._known(piece)
+            known = young.get(piece)  # met before in this text
+            if known is None:
+                known = old.get(piece)
+                if known is None:
+                    core = piece[1:] if piece[:1] == " " else piece
+                    if piece != "\n" and (not core or core[0].isspace() or core[-1].isspace()):
+                        return None
+                    known = self._piece(piece, core)
+                young[piece] = known
+            found[at] = known
         return b"".join(found)
 
     def encode(self, text: str) -> bytes:
@@ -87,6 +90,8 @@ class Encoder:
         if not text.isascii() or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
             if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python alone
                 return self._whole(text)
+        if text.isascii():  # the normalizer lowers all letters; what it composes before is not ASCII
+            text = text.lower()
         return self._join(text.split())
 
     def _led(self, text: str) -> bytes:

@@ -10,7 +10,7 @@ import pytest
 from sievemark.llm.mixing import mix
 from sievemark.llm.ngram_join import ngram_components, ngram_link_counts, ngram_links
 from sievemark.llm.packing import _best_fit, _bound, _dominates, pack, plan_sequences, search_plan
-from sievemark.llm.piece_ids import encoder, public_path
+from sievemark.llm.piece_ids import Encoder, encoder, public_path
 from sievemark.llm.token_shards import Shard, build_index, lookup, read_shards, write_shards
 from sievemark.llm.topk_search import top_k
 
@@ -348,3 +348,15 @@ def test_top_k_equals_brute_force(spark):
             got.setdefault(r.query_id, []).append((r["rank"], -r.score, r.vec_id))
         assert {q: [(k + 1, *x) for k, x in enumerate(best)] for q, best in want.items() if best} == {q: sorted(x) for q, x in got.items()}
     assert top_k(df.limit(0), df.limit(0)).isEmpty()
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_marks_after_words_are_not_encoded_anew_for_each_word(name, monkeypatch):
+    own = Encoder(public_path(name))
+    words = [a + b + c for a in "aBéz" for b in "eou" for c in ("nt", "Rq", "ßk")]
+    tails = ["$$$", "'", "'!", ".,", "&&&", "_", "%%%"]
+    text = " ".join(w + t for w in words for t in tails) + "\nit's a'b <s> x</s> ñ.. 1.5, Œuvre$$$"
+    calls, whole = [], own._whole
+    monkeypatch.setattr(own, "_whole", lambda x: calls.append(x) or whole(x))
+    assert own.encode(text) == whole(text)
+    assert len(calls) <= len(tails) + 8
