@@ -24,6 +24,8 @@ from sievemark.session import Scratch, materialize, width
 TOKEN_BITS = 48
 #: A fragment of the global order is a quarter of an octave.
 FRAGMENT_SHIFT = TOKEN_BITS - 2
+#: Bytes of texts whose n-grams are hashed at once; arrays on the way hold 50 times as many.
+AT_ONCE = 1 << 18
 #: Sets and tokens of a block whose links are counted, and columns of its dense part.
 BLOCK_SETS, BLOCK_TOKENS, TOKENS_AT_ONCE = 256, 1 << 18, 8192
 
@@ -96,7 +98,7 @@ def _named(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alone()
         for batch in batches:
-            for lo, hi in slices(batch, "text"):
+            for lo, hi in slices(batch, "text", AT_ONCE):
                 part = cut(batch, lo, hi)
                 sets = shingle_sets(part.column("text"), n)
                 yield pa.RecordBatch.from_arrays(
@@ -144,7 +146,7 @@ def _blocks(n: int, bits: int, per_block: int = 1 << 19):
         alone()
         sigs, sets, held, known = [], [], 0, set()
         for batch in batches:
-            for lo, hi in slices(batch, "text"):
+            for lo, hi in slices(batch, "text", AT_ONCE):
                 for x in shingle_sets(cut(batch, lo, hi).column("text"), n):
                     if not len(x) or (sig := _signature(x)) in known:
                         continue

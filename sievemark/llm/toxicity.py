@@ -221,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alone()
         for batch in batches:
-            for lo, hi in slices(batch, "text"):
+            for lo, hi in slices(batch, "text", 1 << 17):
                 part = cut(batch, lo, hi)
                 found = [sorted(features_of(words_of(t))) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("id").cast(pa.string()), part.column("y"), pa.array(found, pa.list_(pa.string()))], ["id", "y", "features"])

@@ -1,14 +1,16 @@
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
 from sievemark.llm.mixing import mix
-from sievemark.llm.ngram_join import ngram_components, ngram_link_counts, ngram_links
+from sievemark.llm.ngram_join import _named, _powers, ngram_components, ngram_link_counts, ngram_links
 from sievemark.llm.packing import _best_fit, _bound, _dominates, pack, plan_sequences, search_plan
 from sievemark.llm.piece_ids import Encoder, encoder, public_path
 from sievemark.llm.token_shards import Shard, build_index, lookup, read_shards, write_shards
@@ -360,3 +362,15 @@ def test_marks_after_words_are_not_encoded_anew_for_each_word(name, monkeypatch)
     monkeypatch.setattr(own, "_whole", lambda x: calls.append(x) or whole(x))
     assert own.encode(text) == whole(text)
     assert len(calls) <= len(tails) + 8
+
+
+def test_grams_are_hashed_in_bounded_arrays():
+    _powers(1 << 20)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20)), pa.array(["some words of it " * 6_000] * 20)], ["id", "text"])
+    tracemalloc.start()
+    try:
+        got = [len(x) for x in _named(4)(iter([batch]))]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(got) == 20 and peak < 10_000_000
