@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievemark.llm.arrow_text import alone, cut, slices
-from sievemark.llm.piece_ids import encoder
+from sievemark.llm.piece_ids import SLICE, encoder
 from sievemark.session import materialize, width
 
 #: A plan: per kind of sequence, how many there are and the lengths in it, largest first.
@@ -239,14 +239,13 @@ def search_plan(histogram: dict[int, int], size: int, nodes: int = 400, branches
 def _pieces(path: str, size: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alone(encoder)
-        encode = encoder(path).encode
-        kind = encoder(path).kind
+        own = encoder(path)
         for batch in batches:
-            for lo, hi in slices(batch, "text"):
+            for lo, hi in slices(batch, "text", SLICE):
                 part = cut(batch, lo, hi)
                 row, piece, start, length, crc = [], [], [], [], []
-                for k, text in enumerate(part.column("text").to_pylist()):
-                    ids = np.append(np.frombuffer(encode(text or ""), kind), end_id).astype("<u4")
+                for k, body in enumerate(own.encode_all(part.column("text"))):
+                    ids = np.append(body, end_id).astype("<u4")
                     at, n = 0, len(ids) % size or min(size, len(ids))
                     while at < len(ids):
                         row.append(k)

@@ -11,7 +11,7 @@ import pytest
 
 from sievemark.llm.mixing import mix
 from sievemark.llm.ngram_join import _named, _powers, ngram_components, ngram_link_counts, ngram_links
-from sievemark.llm.packing import _best_fit, _bound, _dominates, pack, plan_sequences, search_plan
+from sievemark.llm.packing import _best_fit, _bound, _dominates, _pieces, pack, plan_sequences, search_plan
 from sievemark.llm.piece_ids import Encoder, encoder, public_path
 from sievemark.llm.token_shards import Shard, build_index, lookup, read_shards, write_shards
 from sievemark.llm.topk_search import top_k
@@ -374,3 +374,33 @@ def test_grams_are_hashed_in_bounded_arrays():
     finally:
         tracemalloc.stop()
     assert sum(got) == 20 and peak < 10_000_000
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_columns_give_the_tokenizer_s_ids(name, monkeypatch):
+    monkeypatch.setattr("sievemark.llm.piece_ids.GENERATION", 50)
+    own, rng = encoder(public_path(name)), random.Random(7)
+    marked = ["×.÷,ÿ;À!", "a≮b", "x\x85", "ª.º,µ-", "é.", "\u3000.", "I'll've 'd's''s", "end\n", "Å.B", "a<|endoftext|>'s", "\u1e96."]
+    texts = TEXTS + marked + ["".join(rng.choice(TEXTS + marked + [" ", "\n", ".", "word", "Wörter"]) for _ in range(6)) for _ in range(1000)]
+    texts += ["".join(rng.choice(" \n\t.'aBs9é×−\u0301\xa0\r|<>ſK") for _ in range(rng.randrange(12))) for _ in range(2000)]
+    want = [e.ids for e in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for lo in range(0, len(texts), 300):
+        got = [x.tolist() for x in own.encode_all(pa.array([None, *texts[lo : lo + 300], None]))]
+        assert got == [[], *want[lo : lo + 300], []]
+    assert [len(x) for x in own.encode_all(pa.array(["skipped", "", None]).slice(1))] == [0, 0]
+    assert list(own.encode_all(pa.array([], pa.string()))) == []
+
+
+def test_packing_encodes_a_word_once_for_many_texts(monkeypatch):
+    monkeypatch.setattr("sievemark.llm.piece_ids.GENERATION", 50)
+    path = public_path("byte_bpe_50k.json")
+    own, calls = encoder(path), []
+    tokenize = own.tokenize
+    monkeypatch.setattr(own, "tokenize", lambda x: calls.append(x) or tokenize(x))
+    words = [a + b + c + d for a in ("qua", "Zé", "vlo", "wu") for b in ("nt", "rx", "ßk") for c in "aeiou" for d in ("zim", "pq")]
+    texts = [" ".join(w + mark for w in words) for mark in ("", ".", ",", "!!", "###", "$")] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    got = pa.Table.from_batches(_pieces(path, 2048, 0)(iter([batch])))
+    want = [[*own.tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert got.column("ids_crc32").to_pylist() == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in want]
+    assert len(calls) <= len(words) + 1  # the first word has no space before it
