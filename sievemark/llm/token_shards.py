@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from sievemark.llm.arrow_text import cut, slices
-from sievemark.llm.piece_ids import encoder
+from sievemark.llm.piece_ids import SLICE, encoder
 from sievemark.session import width
 
 _U = np.uint64
@@ -122,7 +122,7 @@ def _encoded(path: str, end_id: int, edges: np.ndarray):
         own = encoder(path)
         end = np.array([end_id], own.kind).tobytes()
         for batch in batches:
-            for lo, hi in slices(batch, "text"):
+            for lo, hi in slices(batch, "text", SLICE):
                 part = cut(batch, lo, hi)
                 keys = np.asarray(part.column("id").fill_null(0)).astype(np.int64)
                 deal = np.asarray(part.column("deal")).view(_U)
@@ -130,7 +130,7 @@ def _encoded(path: str, end_id: int, edges: np.ndarray):
                 at = last - (deal % np.maximum(last - first, 1).astype(_U)).astype(np.int64)
                 spare = len(edges) + 1 + (deal % _U(len(edges) + 1)).astype(np.int64)
                 at = np.where(np.asarray(part.column("id").is_null()), spare, at)
-                ids = pa.array([own.encode(text or "") + end for text in part.column("text").to_pylist()], pa.binary())
+                ids = pa.array([x.tobytes() + end for x in own.encode_all(part.column("text"))], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), part.column("id"), ids], ["range", "id", "ids"])
 
     return run

@@ -13,7 +13,7 @@ from sievemark.llm.mixing import mix
 from sievemark.llm.ngram_join import _named, _powers, ngram_components, ngram_link_counts, ngram_links
 from sievemark.llm.packing import _best_fit, _bound, _dominates, _pieces, pack, plan_sequences, search_plan
 from sievemark.llm.piece_ids import Encoder, encoder, public_path
-from sievemark.llm.token_shards import Shard, build_index, lookup, read_shards, write_shards
+from sievemark.llm.token_shards import Shard, _encoded, build_index, lookup, read_shards, write_shards
 from sievemark.llm.topk_search import top_k
 
 DOCS = "doc_id long, text string, source string, id string, n long, key long"
@@ -404,3 +404,18 @@ def test_packing_encodes_a_word_once_for_many_texts(monkeypatch):
     want = [[*own.tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in texts]
     assert got.column("ids_crc32").to_pylist() == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in want]
     assert len(calls) <= len(words) + 1  # the first word has no space before it
+
+
+def test_shards_encode_a_word_once_for_many_texts(monkeypatch):
+    monkeypatch.setattr("sievemark.llm.piece_ids.GENERATION", 50)
+    path = public_path("word_bpe_49k.json")
+    own, calls = encoder(path), []
+    tokenize = own.tokenize
+    monkeypatch.setattr(own, "tokenize", lambda x: calls.append(x) or tokenize(x))
+    words = [a + b + c + d for a in ("Qua", "zé", "vlo", "wu") for b in ("nt", "rx", "ßk") for c in "aeiou" for d in ("zim", "pq")]
+    texts = [" ".join(w + mark for w in words) for mark in ("", ".", ",", "!!", "###", "$")] * 3 + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), pa.array(range(len(texts)), pa.int64())], ["id", "text", "deal"])
+    got = pa.Table.from_batches(_encoded(path, 2, np.array([5, 9]))(iter([batch])))
+    want = [[*own.tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    assert [np.frombuffer(x, own.kind).tolist() for x in got.column("ids").to_pylist()] == want
+    assert len(calls) <= len(words) + 1  # the first word has no space before it
