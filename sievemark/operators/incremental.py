@@ -13,9 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from sievemark.operators import resolve
-from sievemark.operators.components import connected_components
-from sievemark.operators.constrained import constrained_components
+from sievemark.operators import judged, resolve
 from sievemark.session import Scratch
 from sievemark.sources.buckets import BUCKETS, BucketTable
 
@@ -48,32 +46,17 @@ class ResolutionStore:
     def _keys(self, raw: DataFrame) -> DataFrame:
         return resolve.block_keys(resolve.mentions_of(raw), self.phonetic)
 
-    def _judged(self, keys: DataFrame, mentions: DataFrame, most: int) -> DataFrame:
-        """What clusters read of the pairs that ``keys`` make; pairs without a say are left out."""
-        scored = resolve.score_pairs(resolve.candidate_features(keys, mentions, most))
-        link = (F.col("score") >= self.auto) & F.col("hard_reason").isNull()
-        return scored.select("left_id", "right_id", F.when(link, F.col("score")).alias("score"), (F.col("hard_reason") == "hard_conflict").alias("foe")).where("score is not null or foe")
-
     def _entries(self, placed: DataFrame) -> DataFrame:
         entry = F.explode(F.array(F.concat(F.lit("m"), F.col("mention_id").cast("string")), F.concat(F.lit("c"), F.col("component").cast("string"))))
         return placed.select(entry.alias("entry"), "mention_id", "cluster_id", "component")
 
-    def _placed(self, ids: DataFrame, judged: DataFrame, scratch: Scratch) -> DataFrame:
-        """Clusters and components of ``ids``, whose linked partners are all among them."""
-        links, foes = judged.where("score is not null").select("left_id", "right_id", "score"), judged.where("foe").select("left_id", "right_id")
-        label = scratch.keep(connected_components(links, "left_id", "right_id"), "store-label")
-        component = label.withColumnRenamed("node", "mention_id")
-        cluster = constrained_components(links, foes, label=label).select(F.col("node").alias("mention_id"), F.col("component").alias("cluster_id"))
-        placed = ids.select("mention_id").join(component, "mention_id", "left").join(cluster, "mention_id", "left")
-        return placed.select("mention_id", F.coalesce("cluster_id", "mention_id").alias("cluster_id"), F.coalesce("component", "mention_id").alias("component"))
-
     def _build(self, raw: DataFrame) -> None:
         scratch = Scratch(self.spark)
         raw = scratch.keep(raw, "store-mentions")
         made = resolve.written_mentions(raw)
         keys = scratch.keep(resolve.block_keys(made, self.phonetic), "store-keys")
-        judged = scratch.keep(self._judged(keys, made, self.most), "store-judged")
-        self.places.create(self._entries(scratch.keep(self._placed(raw, judged, scratch), "store-placed")))
+        told = scratch.keep(judged.evidence(keys, made, self.most), "store-told")
+        self.places.create(self._entries(scratch.keep(judged.clusters(told, raw, self.auto), "store-placed")))
         self.keys.create(keys)
         self.mentions.create(raw)
 
@@ -120,16 +103,15 @@ class ResolutionStore:
         asked = usable.join(usable.join(mark, "mention_id", "left_semi").select("key").distinct(), "key", "left_semi")  # keys of these mentions alone
         met = self.mentions.read(asked.select("mention_id").distinct().join(ids, "mention_id", "left_anti")).unionByName(new)
         met = resolve.written_mentions(met.join(mark, "mention_id", "left").withColumn("fresh", F.coalesce("fresh", F.lit(False))))
-        linked = self._judged(asked, met, _ANY).where("score is not null").select(F.explode(F.array("left_id", "right_id")).alias("mention_id"))
-        linked = keep("linked", linked.distinct())
+        linked = keep("linked", judged.linked(keep("told", judged.evidence(keep("asked", asked), met, _ANY)), self.auto))
         entry = lambda letter, column: F.concat(F.lit(letter), F.col(column).cast("string")).alias("entry")
         torn = keep("torn", self.places.read(linked.union(anew).distinct().select(entry("m", "mention_id"))).select("component").distinct())
         held = keep("held", self.places.read(torn.select(entry("c", "component"))).select("mention_id").union(new.select("mention_id")).distinct().join(gone, "mention_id", "left_anti"))
         rows = resolve.written_mentions(self.mentions.read(held.join(ids, "mention_id", "left_anti")).unionByName(new))
         own_keys = keep("own-keys", resolve.block_keys(rows, self.phonetic))
         blocks = keep("blocks", self.keys.read(own_keys.select("key")).join(ids, "mention_id", "left_anti").unionByName(new_keys))
-        inner = self._judged(self._usable(blocks).join(held, "mention_id", "left_semi"), rows, _ANY)
-        placed = keep("placed", self._placed(held, keep("inner", inner), scratch))
+        told = keep("told", judged.evidence(keep("inside", self._usable(blocks).join(held, "mention_id", "left_semi")), rows, _ANY))
+        placed = keep("placed", judged.clusters(told, held, self.auto))
         entries = keep("entries", self._entries(placed))
         spent = torn.select(entry("c", "component")).union(ids.select(entry("m", "mention_id"))).union(entries.select("entry")).distinct()
         self.places.replace(keep("spent", spent), entries)
