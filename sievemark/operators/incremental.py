@@ -125,6 +125,10 @@ class ResolutionStore:
         entry = None if ids is None else ids.select(F.concat(F.lit("m"), F.col("mention_id").cast("string")).alias("entry"))
         return self.places.read(entry).where(F.col("entry").startswith("m")).select("mention_id", "cluster_id")
 
+    def pairs(self) -> DataFrame:
+        """``left_id < right_id`` and ``blocks`` of all candidate pairs, as ``resolve.candidate_pairs`` returns them; from the keys alone."""
+        return resolve.candidate_pairs(self.keys.read(), self.most)
+
     def banded(self) -> DataFrame:
         """All scored pairs once, with clusters and bands, as ``resolve.cluster`` returns them; made anew, each mention taking its cluster along."""
         made = resolve.written_mentions(self.mentions.read().join(self.clusters().hint("shuffle_hash"), "mention_id"))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievemark.operators import judged, resolve
+from sievemark.operators.incremental import ResolutionStore
 from test_growth import within
 
 MENTION = "mention_id long, doc_id string, name_raw string, dob string, elements map<string,array<string>>"
@@ -84,3 +85,12 @@ def test_a_block_of_many_mentions_in_conflict(spark):
     # the least mention takes all but the two other addresses, whose holders then meet each other alone
     assert got == {k: k % 30 if k % 10 == 0 else 0 for k in range(n)}
     assert sum(counts.values()) == n * (n - 1) // 2 and counts["hard_conflict", "no_merge"] == 133 * 133 + 2 * 133 * 134
+
+
+def test_pairs_of_a_store_come_from_keys_alone(spark, tmp_path):
+    rows = [(k, "d", "Ann Ito" if k % 2 else "Bob Chen", None, {"phone": [f"212555000{k % 3}"]}) for k in range(24)]
+    store = ResolutionStore(spark, str(tmp_path / "er"), spark.createDataFrame(rows, MENTION), phonetic=False, buckets=2)
+    store.apply(removed=spark.createDataFrame([(3,)], "mention_id long"))
+    pairs = store.pairs()
+    assert "Python" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert text(pairs) == text(store.banded().select("left_id", "right_id", "blocks"))
